@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,20 @@ def keyed(docs: DataFrame, column: str = "doc_id") -> DataFrame:
         return docs.withColumn("rid", F.col(column).cast("long"))
     ordered = docs.orderBy(F.col(column).asc_nulls_first(), F.col("text").asc_nulls_first())
     return cut(ordered.withColumn("rid", F.monotonically_increasing_id()))
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet below the shared checkpoint folder, and read again.
+
+    Like :func:`cut`, but columnar and compressed. The files stay until the
+    folder is cleared, as later reads need them if an executor is lost.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

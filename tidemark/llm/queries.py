@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("secrets", "licenses", "pieces", "sharding", "decontaminate", "quality")
+_MODULES = ("secrets", "licenses", "suffixes", "pieces", "sharding", "decontaminate", "quality")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
