@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("secrets", "licenses", "suffixes", "jaccard", "pieces", "sharding", "decontaminate", "quality")
+_MODULES = ("secrets", "licenses", "suffixes", "warc", "jaccard", "pieces", "sharding", "chat", "decontaminate", "quality")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
