@@ -69,3 +69,13 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fenced(df: DataFrame, keep: Column) -> DataFrame:
+    """Rows of ``df`` where ``keep`` holds, decided after the columns of ``df`` are computed.
+
+    A filter over columns that long expressions define is otherwise moved below
+    them, with every expression written out in full. The random column, which
+    is never negative, holds it in place and changes no result.
+    """
+    return df.withColumn("_fence", F.rand()).where(keep & (F.col("_fence") >= 0)).drop("_fence")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, SPACES, table, text_of
+from .common import SPACE_RUN, SPACES, fenced, table, text_of
 
 #: Words in a window whose repeats count, and the share of repeated words that fails.
 WINDOW = 8
@@ -145,7 +145,7 @@ def apply_policy(docs: DataFrame, policy: str = POLICY) -> DataFrame:
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     packed = docs.select(row.alias("doc_id"), F.col("text"))
-    return decide(ledger(packed), policy).where("kept").select("doc_id.*")
+    return fenced(decide(ledger(packed), policy), F.col("kept")).select("doc_id.*")
 
 
 def op10_quality_bitmask_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import fenced, table, text_of
 
 
 def _either_case(word: str) -> str:
@@ -124,7 +124,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     found = find(docs)
     some = F.size(F.concat("base", "bare")) > 0
-    held = found.where(some).select("doc_id", "owner", "text", "base", "bare")
+    held = fenced(found, some).select("doc_id", "owner", "text", "base", "bare")
     candidates = _candidates(held)
     judged = candidates.join(ownership(candidates), "value_hash")
     back = judged.groupBy("doc_id", "text_hash").agg(
@@ -157,7 +157,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     Overlapping spans are merged first. Documents without a finding keep their text as it is.
     """
-    hits = scan(docs).where(F.size("found") > 0)
+    hits = fenced(scan(docs), F.size("found") > 0)
     hits = hits.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("found").alias("_found"))
     both = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_d"]) & (F.xxhash64(text_of()) == hits["_h"]), "left")
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
