@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..model import Timeline
 
-TRUE, FALSE = F.lit(True), F.lit(False)
 #: Constructs that the linear-time dialect of indicator lists does not have.
 _UNSUPPORTED = re.compile(r"\(\?[=!<](?!\w+>)|\\[1-9]")
 
@@ -30,7 +29,7 @@ def text(c: Column | str) -> Column:
 def contains(c: Column | str, needle: str, cased: bool = False) -> Column:
     """Substring; the empty needle is in everything."""
     if not needle:
-        return TRUE
+        return F.lit(True)
     return F.contains(text(c), F.lit(needle)) if cased else F.contains(F.lower(text(c)), F.lit(needle.lower()))
 
 
@@ -55,7 +54,7 @@ def one_of(c: Column | str, values: Iterable[str], cased: bool = False) -> Colum
     """Whole-cell equality with any value; no values is no constraint."""
     values = list(values)
     if not values:
-        return TRUE
+        return F.lit(True)
     return text(c).isin(values) if cased else F.lower(text(c)).isin([v.lower() for v in values])
 
 
@@ -70,12 +69,12 @@ def blank(c: Column | str) -> Column:
 
 def any_of(parts: Iterable[Column]) -> Column:
     parts = list(parts)
-    return reduce(lambda a, b: a | b, parts) if parts else FALSE
+    return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
 
 
 def all_of(parts: Iterable[Column]) -> Column:
     parts = list(parts)
-    return reduce(lambda a, b: a & b, parts) if parts else TRUE
+    return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
 def on(t: Timeline, target: str, test) -> Column:
@@ -99,7 +98,7 @@ def has_tag(tag: str) -> Column:
 
 def has_any_tag(tags: Iterable[str]) -> Column:
     tags = list(tags)
-    return F.arrays_overlap("tags", F.array(*[F.lit(x) for x in tags])) if tags else TRUE
+    return F.arrays_overlap("tags", F.array(*[F.lit(x) for x in tags])) if tags else F.lit(True)
 
 
 def tagged() -> Column:
@@ -159,7 +158,7 @@ class FilterSpec:
         if tests:
             parts.append((all_of if self.match_all else any_of)(tests))
         if self.where is not None:
-            parts.append(F.coalesce(self.where, FALSE))
+            parts.append(F.coalesce(self.where, F.lit(False)))
         parts += [quick(t, t.resolve(k), v, self.cased) for k, v in self.quick.items() if v.strip()]
         parts += [one_of(t.text(t.resolve(k)), v, self.cased) for k, v in self.pick.items() if v]
         return all_of(parts)

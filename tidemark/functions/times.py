@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Timeline
-from .predicates import FALSE, text
+from .predicates import text
 
 #: Layouts in the order in which they are tried, as (shape of the cell, Spark pattern).
 _DATE, _TIME, _FRACTION = r"\d{4}-\d{1,2}-\d{1,2}", r"\d{1,2}:\d{1,2}:\d{1,2}", r"(\.\d{1,9})?"
@@ -121,17 +121,17 @@ _NOW = datetime(1970, 1, 1)
 
 
 def before(c: Column, literal: str, now: datetime = _NOW, ntz: bool = False) -> Column:
-    return F.coalesce(c < _at(operand(literal, now)[0], ntz), FALSE)
+    return F.coalesce(c < _at(operand(literal, now)[0], ntz), F.lit(False))
 
 
 def after(c: Column, literal: str, now: datetime = _NOW, ntz: bool = False) -> Column:
     """From the end of the literal's period on."""
-    return F.coalesce(c >= _at(operand(literal, now)[1], ntz), FALSE)
+    return F.coalesce(c >= _at(operand(literal, now)[1], ntz), F.lit(False))
 
 
 def between(c: Column, low: str, high: str, now: datetime = _NOW, ntz: bool = False) -> Column:
     """From the start of ``low`` to the end of ``high``."""
-    return F.coalesce((c >= _at(operand(low, now)[0], ntz)) & (c < _at(operand(high, now)[1], ntz)), FALSE)
+    return F.coalesce((c >= _at(operand(low, now)[0], ntz)) & (c < _at(operand(high, now)[1], ntz)), F.lit(False))
 
 
 def time_of(t: Timeline, name: str) -> Column:
@@ -146,7 +146,7 @@ def time_of(t: Timeline, name: str) -> Column:
 def around(c: Column, instant: datetime, minutes: int = 5, ntz: bool = False) -> Column:
     """Within so many minutes of an instant, at whole seconds: [t - m, t + m + 1 s)."""
     t = instant.replace(microsecond=0)
-    return F.coalesce((c >= _at(t - timedelta(minutes=minutes), ntz)) & (c < _at(t + timedelta(minutes=minutes, seconds=1), ntz)), FALSE)
+    return F.coalesce((c >= _at(t - timedelta(minutes=minutes), ntz)) & (c < _at(t + timedelta(minutes=minutes, seconds=1), ntz)), F.lit(False))
 
 
 def around_anchors(events: DataFrame, time: str, anchors: DataFrame, anchor_time: str, minutes: int = 5) -> DataFrame:
