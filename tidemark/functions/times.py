@@ -40,14 +40,19 @@ SAMPLE, RATE, NAMED_RATE, BONUS = 200, 0.6, 0.3, 0.15
 def parse_time(c: Column | str) -> Column:
     """The instant of a cell in any known spelling, in UTC where it names no offset; null if there is none."""
     cell = F.regexp_replace(text(c), r"^\s+|\s+$", "")
-    # Names of weekdays and of zones after the clock are left out; months get their capital letter.
+    # Names of weekdays and of zones after the clock are left out.
     plain = F.regexp_replace(cell, "^" + _DAY, "")
     plain = F.regexp_replace(plain, r"(:\d{1,2}) [A-Z]{3,4} (\d{4})$", "$1 $2")
     plain = F.regexp_replace(F.regexp_replace(plain, r"^([A-Za-z]{3})\s+(\d)", "$1 $2"), r"^(\d{4}-\d{1,2}-\d{1,2})[Tt]", "$1 ")
-    plain = F.regexp_replace(F.regexp_replace(plain, "z$", "Z"), r"([+-]\d{4}) \S+$", "$1")
-    seen = [cell if i < 3 else plain for i in range(len(LAYOUTS))]  # the first three shapes have parts that are left out
-    tries = [F.when(s.rlike(f"^{shape}$"), F.try_to_timestamp(plain, F.lit(pattern))) for s, (shape, pattern) in zip(seen, LAYOUTS, strict=True)]
-    return F.coalesce(*tries)
+    plain = F.regexp_replace(F.regexp_replace(plain, "z$", "Z"), r"(:\d{1,2}(?:\.\d+)? [+-]\d{4}) \S+$", "$1")
+
+    def tried(s: Column) -> Column:
+        # The first three shapes have parts that are left out of the plain form.
+        seen = [s["cell"] if i < 3 else s["plain"] for i in range(len(LAYOUTS))]
+        return F.coalesce(*[F.when(x.rlike(f"^{shape}$"), F.try_to_timestamp(s["plain"], F.lit(pattern))) for x, (shape, pattern) in zip(seen, LAYOUTS, strict=True)])
+
+    # A one-element array: the two forms are computed once and not written out for every layout.
+    return F.transform(F.array(F.struct(cell.alias("cell"), plain.alias("plain"))), tried)[0]
 
 
 _PERIODS = [
