@@ -123,8 +123,8 @@ def _rows(columns: list, schema: dict[str, pa.DataType]) -> pa.RecordBatch:
 
 
 _BASE = {"rid": pa.int64(), "name": pa.int64(), "size": pa.int64(), "token": pa.int64(), "n": pa.int64()}
-_PLACE = {"deal": pa.int64(), "token": pa.int64(), "name": pa.int64(), "size": pa.int64(), "place": pa.int32(), "rank": pa.int32()}
-_MEET = {"token": pa.int64(), "rank": pa.int32(), "a": pa.int64(), "b": pa.int64()}
+_PLACE = {"token": pa.int64(), "name": pa.int64(), "size": pa.int32(), "rank": pa.int32(), "last": pa.int64()}
+_MEET = {"token": pa.int64(), "a": pa.int64(), "b": pa.int64(), "lack": pa.int32()}
 _EDGE = {"a": pa.int64(), "b": pa.int64()}
 _SQL = {pa.int64(): "bigint", pa.int32(): "int"}
 
@@ -181,20 +181,26 @@ def _places(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
                 place = np.arange(len(doc)) - (np.cumsum(size) - size)[doc - lo]
                 use = new[doc - lo] & (place < _prefix(size, percent)[doc - lo])
                 d, token, rank = (doc - lo)[use], token[use], rank[use]
-                spread = mix(token + np.where(rank > 0, name[d].view(U), U(0)))
-                yield _rows([spread.view(np.int64), token.view(np.int64), name[d], size[d], place[use], rank], _PLACE)
+                # The place of the prefix's last shingle in the global order.
+                order = np.where(rank > 0, (1 << 57) + rank, token.view(np.int64))
+                last = order[np.cumsum(np.bincount(d, minlength=len(size)))[d] - 1]
+                yield _rows([token.view(np.int64), name[d], size[d], rank, last], _PLACE)
 
     return docs.mapInArrow(run, _sql(_PLACE))
 
 
 def _meetings(percent: int):
-    """Sorted prefix rows to pairs (a, b), a the smaller, or to members (a) of a group that meets whole."""
+    """Sorted prefix rows to pairs (a, b), a the smaller, or to members (a) of a group that meets whole.
+
+    ``lack``: common prefix shingles that the pair needs. Once both prefixes are
+    through, only the rest of the set whose prefix ends first can add to them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, "deal", 50_000):
-            token, name, size, place, rank = (rows.column(c).to_numpy() for c in ("token", "name", "size", "place", "rank"))
+        for rows in _groups(batches, "token", 50_000):
+            token, name, size, rank, last = (rows.column(c).to_numpy().astype(np.int64) for c in _PLACE)
             again = np.concatenate([[False], (token[1:] == token[:-1]) & (name[1:] == name[:-1])])
-            token, name, size, place, rank = (x[~again] for x in (token, name, size, place, rank))
+            token, name, size, rank, last = (x[~again] for x in (token, name, size, rank, last))
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             group = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(token)]])))
             members = np.bincount(group)[group]
@@ -203,13 +209,14 @@ def _meetings(percent: int):
             later = np.where(whole, 0, first[group] + members - 1 - np.arange(len(token)))
             a = np.repeat(np.arange(len(token)), later)
             b = ragged(np.arange(len(token)) + 1, later)
-            need = -(-percent * (size[a] + size[b]) // (100 + percent))
-            most = np.minimum(size[a] - place[a], size[b] - place[b])
-            near = (100 * size[a] >= percent * size[b]) & (most >= need)
+            near = 100 * size[a] >= percent * size[b]
             a, b = a[near], b[near]
+            need = -(-percent * (size[a] + size[b]) // (100 + percent))
+            ends = np.where(last[a] <= last[b], size[a], size[b])
+            lack = np.maximum(need - (ends - _prefix(ends, percent)), 1)
             w = np.flatnonzero(whole)
-            none = np.zeros(len(a), np.int64)
-            yield _rows([np.concatenate([none, token[w]]), np.concatenate([none, rank[w]]), np.concatenate([name[a], name[w]]), pa.array([*name[b].tolist(), *[None] * len(w)], pa.int64())], _MEET)
+            b_name = pa.concat_arrays([pa.array(name[b]), pa.nulls(len(w), pa.int64())])
+            yield _rows([np.concatenate([token[a], token[w]]), np.concatenate([name[a], name[w]]), b_name, np.concatenate([lack, np.zeros(len(w), np.int64)])], _MEET)
 
     return run
 
@@ -358,9 +365,15 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     frequent = spark.sparkContext.broadcast(np.array([r["token"] for r in reversed(often)], np.int64).view(U))
     leaders = base.where("size > 0").groupBy("name").agg(F.min("rid").alias("leader"))
 
-    places = _places(docs, words, percent, frequent).repartition("deal").sortWithinPartitions("deal", "token", "size", "name")
+    places = _places(docs, words, percent, frequent)
+    places = places.repartition(F.when(F.col("rank") > 0, F.xxhash64("token", "name")).otherwise(F.xxhash64("token"))).sortWithinPartitions("token", "size", "name")
     met = saved(places.mapInArrow(_meetings(percent), _sql(_MEET)))
-    pairs = met.where("b IS NOT NULL").select("a", "b").distinct()
+    # Shingles of a prefix that are under groups that meet whole are not counted by pairs, but may be common.
+    held = met.where("b IS NULL").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    pairs = met.where("b IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.max("lack").alias("lack"))
+    for c in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("a").alias(c), F.col("n").alias(f"{c}_held")), c, "left")
+    pairs = pairs.where(F.col("common") + F.least(F.coalesce("a_held", F.lit(0)), F.coalesce("b_held", F.lit(0))) >= F.col("lack")).select("a", "b")
     pairs = pairs.select(F.col("a").alias("meet"), F.explode(F.array(F.struct(F.lit(True).alias("probe"), F.col("a").alias("name")), F.struct(F.lit(False).alias("probe"), F.col("b").alias("name")))).alias("x"))
     pairs = pairs.select("meet", F.lit(None).cast("long").alias("token"), F.lit(0).alias("block"), "x.probe", "x.name").distinct()
     members = met.where("b IS NULL").select("token", F.col("a").alias("name")).distinct()
