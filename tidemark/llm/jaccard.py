@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -290,14 +291,24 @@ class PrefixTree:
         return self.order[np.array(done, np.int64)]
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as they are shuffled twice."""
+    pack = zstandard.ZstdCompressor(3).compress
+    for batch in batches:
+        data, at = utf8(batch.column("text"))
+        view = memoryview(np.ascontiguousarray(data))
+        texts = pa.array([pack(view[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), texts], ["rid", "text"])
+
+
 def _joined(words: int, percent: int, frequent):
     """Rows (meet, token, block, probe, rid, text) sorted by meet to links that join classes within a meeting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words, frequent.value)
+        shingles, unpack = Shingles(words, frequent.value), zstandard.ZstdDecompressor().decompress
         for rows in _groups(batches, "meet", 2_000):
-            text = rows.column("text").combine_chunks()
-            data, at = utf8(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)
+            texts = [unpack(x) for x in rows.column("text").to_pylist()]
+            data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(x) for x in texts])
             sets: list[np.ndarray] = []
             for doc, token, lo in shingles.sets(data, at):
                 size = np.bincount(doc - lo, minlength=min(DOCS, len(at) - 1 - lo))
@@ -383,7 +394,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     dealt = dealt.select(F.xxhash64(F.lit("whole"), "token", F.least("block", "other"), F.greatest("block", "other")).alias("meet"), "token", "block", F.lit(True).alias("probe"), "name")
 
     visits = pairs.unionByName(dealt).join(leaders, "name").drop("name").withColumnRenamed("leader", "rid")
-    fetched = docs.join(visits, "rid").select("meet", "token", "block", "probe", "rid", "text")
+    fetched = docs.mapInArrow(_packed, "rid bigint, text binary").join(visits, "rid").select("meet", "token", "block", "probe", "rid", "text")
     edges = saved(fetched.repartition("meet").sortWithinPartitions("meet", "rid").mapInArrow(_joined(words, percent, frequent), _sql(_EDGE)))
     labels = components(edges)
     named = leaders.join(labels, leaders["leader"] == labels["node"], "left").select("name", F.coalesce("label", "leader").alias("class"))
