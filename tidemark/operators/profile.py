@@ -69,13 +69,18 @@ def regex_spans(df: DataFrame, key: str, column: str, pattern: str) -> DataFrame
     return df.select(F.col(key).cast("long").alias(key), column).mapInPandas(run, f"{key} bigint, start int, end int")
 
 
+def _named(column: Column, s: Column) -> Column:
+    return F.struct(column, s["start"].alias("start"), s["end"].alias("end"))
+
+
 def spans(t: Timeline, terms: list[tuple[str, str]]) -> DataFrame:
     """row_id, column, start, end for each (field, literal) term; ``any`` looks into every data column."""
     parts = []
     for name, needle in terms:
         target = t.resolve(name)
         for c in t.data_columns if target == "any" else [target]:
-            parts.append(F.transform(literal_spans(t.text(c), needle), lambda s, c=c: F.struct(F.lit(c).alias("column"), s["start"].alias("start"), s["end"].alias("end"))))
+            named = F.lit(c).alias("column")
+            parts.append(F.transform(literal_spans(t.text(c), needle), lambda s: _named(named, s)))
     return t.df.select("row_id", F.explode(F.concat(*parts)).alias("s")).select("row_id", "s.column", "s.start", "s.end")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import COMMENTS, EDITS, TAG_DEFS, TAGS
+
 _SIDECAR = "tags map<string, array<string>>, comments map<string, string>, edits map<string, map<string, string>>, tag_defs array<struct<name: string, color: string>>, known_tags array<string>"
 
 
@@ -44,9 +46,9 @@ def write_sidecar(path: str, **tables: DataFrame) -> None:
 
 def read_case(spark: SparkSession, folder: str, timeline_id: int) -> dict[str, DataFrame]:
     """tags (sorted lists), comments and edits of one timeline, and the palette; only its partitions are read."""
-    own = lambda n: spark.read.parquet(f"{folder}/{n}").where(F.col("timeline_id") == timeline_id)
-    tags = own("tags").groupBy("row_id").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
-    return {"tags": tags, "comments": own("comments"), "edits": own("edits"), "tag_defs": spark.read.parquet(f"{folder}/tag_defs")}
+    own = lambda n, schema: spark.read.schema(schema).parquet(f"{folder}/{n}").where(F.col("timeline_id") == timeline_id)
+    tags = own("tags", TAGS).groupBy("row_id").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    return {"tags": tags, "comments": own("comments", COMMENTS), "edits": own("edits", EDITS), "tag_defs": spark.read.schema(TAG_DEFS).parquet(f"{folder}/tag_defs")}
 
 
 def write_case(folder: str, **tables: DataFrame) -> None:
