@@ -13,9 +13,10 @@ overlap that is needed. The links are exact; connected components over them
 give the classes.
 
 Groups of sets under one shingle that hold more than ``FEW`` members are not
-paired off: they meet whole, in blocks of at most ``BLOCK`` sets, and a pair is
-handled only under its first common shingle. Frequent shingles are dealt by
-(shingle, set), so none of them is one task's work before that.
+paired off. The sets that such groups tie together, directly or through others,
+form a crowd, found as connected components; each set goes to its crowd once
+and meets the others there, in blocks of about ``BLOCK`` sets. Frequent shingles
+are dealt by (shingle, set), so none of them is one task's work before that.
 
 Shingles are compared as 56-bit hashes, equal sets as a 64-bit sum of hashes.
 
@@ -254,14 +255,11 @@ class PrefixTree:
             differ = self.flat[self.at[k - 1] : self.at[k - 1] + n] != self.flat[self.at[k] : self.at[k] + n]
             self.shared[k] = int(np.argmax(differ)) if differ.any() else n
 
-    def walk(self, probe: np.ndarray, live: np.ndarray, percent: int, token: int | None) -> np.ndarray:
-        """Rows (as given to the constructor) that are similar to ``probe`` (sorted by hash).
-
-        ``live`` says which rows to consider; with ``token``, only rows whose first common token it is.
-        """
+    def walk(self, probe: np.ndarray, live: np.ndarray, percent: int) -> np.ndarray:
+        """Rows (as given to the constructor) that are similar to ``probe`` (sorted by hash); ``live`` says which to consider."""
         need = -(-percent * (len(probe) + self.size) // (100 + percent))
         on = np.flatnonzero(live[self.order] & (np.minimum(self.size, len(probe)) >= need))
-        overlap, met, depth = np.zeros(len(self.size), np.int64), np.zeros(len(self.size), bool), 0
+        overlap, depth = np.zeros(len(self.size), np.int64), 0
         done: list[int] = []
         while len(on):
             # A row whose whole step is shared with the live row just before takes over its count.
@@ -274,14 +272,6 @@ class PrefixTree:
             step = np.bincount(which, weights=hit, minlength=len(lead)).astype(np.int64)
             by = np.cumsum(~follows) - 1
             overlap[on] += step[by]
-            if token is not None:
-                w = np.flatnonzero(hit)
-                w = w[np.concatenate([[True], which[w][1:] != which[w][:-1]])] if len(w) else w
-                wrong = np.zeros(len(lead), bool)
-                wrong[which[w][tokens[w] != U(token)]] = True
-                drop = wrong[by] & ~met[on]
-                met[on] |= step[by] > 0
-                on = on[~drop]
             depth += STEP
             rest = np.minimum(np.maximum(self.size[on] - depth, 0), len(probe) - overlap[on])
             on = on[overlap[on] + rest >= need[on]]
@@ -302,7 +292,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(words: int, percent: int, frequent):
-    """Rows (meet, token, block, probe, rid, text) sorted by meet to links that join classes within a meeting."""
+    """Rows (meet, block, probe, rid, text) sorted by meet to links that join classes within a meeting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, unpack = Shingles(words, frequent.value), zstandard.ZstdDecompressor().decompress
@@ -314,11 +304,10 @@ def _joined(words: int, percent: int, frequent):
                 size = np.bincount(doc - lo, minlength=min(DOCS, len(at) - 1 - lo))
                 sets.extend(np.split(shingles.ordered(doc, token)[0], np.cumsum(size)[:-1]))
             meet, rid, probe, block = (rows.column(c).to_numpy() for c in ("meet", "rid", "probe", "block"))
-            tokens = rows.column("token").to_pylist()
             first = np.flatnonzero(np.concatenate([[True], meet[1:] != meet[:-1]]))
             a, b = [], []
             for lo, hi in zip(first, np.concatenate([first[1:], [len(meet)]]), strict=True):
-                for i, j in _links(sets[lo:hi], probe[lo:hi], block[lo:hi], percent, tokens[lo]):
+                for i, j in _links(sets[lo:hi], probe[lo:hi], block[lo:hi], percent):
                     a.append(rid[lo + i])
                     b.append(rid[lo + j])
             yield _rows([np.minimum(a, b) if a else [], np.maximum(a, b) if a else []], _EDGE)
@@ -326,20 +315,23 @@ def _joined(words: int, percent: int, frequent):
     return run
 
 
-def _links(sets: list[np.ndarray], probe: np.ndarray, block: np.ndarray, percent: int, token: int | None) -> Iterator[tuple[int, int]]:
-    """Links between probes and other rows that join two classes of the meeting."""
+def _links(sets: list[np.ndarray], probe: np.ndarray, block: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between probes and other rows that join two classes of the meeting.
+
+    Rows of two blocks are compared across the blocks only, as each block has a meeting of its own.
+    """
     tree = PrefixTree(sets)
     label = np.arange(len(sets))
-    cross = token is not None and block.min() != block.max()
+    cross = block.min() != block.max()
     for i in np.flatnonzero(probe):
         live = label != label[i]
-        if token is not None:
+        if probe.all():
             live[: i + 1] = False
         if cross:
             live &= block != block[i]
         if not live.any():
             continue
-        for j in tree.walk(np.sort(sets[i]), live, percent, token):
+        for j in tree.walk(np.sort(sets[i]), live, percent):
             if label[i] != label[j]:
                 label[label == label[j]] = label[i]
                 yield int(i), int(j)
@@ -386,15 +378,20 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         pairs = pairs.join(held.select(F.col("a").alias(c), F.col("n").alias(f"{c}_held")), c, "left")
     pairs = pairs.where(F.col("common") + F.least(F.coalesce("a_held", F.lit(0)), F.coalesce("b_held", F.lit(0))) >= F.col("lack")).select("a", "b")
     pairs = pairs.select(F.col("a").alias("meet"), F.explode(F.array(F.struct(F.lit(True).alias("probe"), F.col("a").alias("name")), F.struct(F.lit(False).alias("probe"), F.col("b").alias("name")))).alias("x"))
-    pairs = pairs.select("meet", F.lit(None).cast("long").alias("token"), F.lit(0).alias("block"), "x.probe", "x.name").distinct()
-    members = met.where("b IS NULL").select("token", F.col("a").alias("name")).distinct()
-    counts = members.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = members.join(counts, "token").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    pairs = pairs.select("meet", F.lit(0).alias("block"), "x.probe", "x.name").distinct()
+    # Sets that meet whole under any shingle are one crowd: each goes there once, and all of its pairs are compared there.
+    members = met.where("b IS NULL").select("token", "a").distinct()
+    shared = members.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ties = members.join(shared.select("token"), "token").select("a", F.xxhash64(F.lit("shingle"), "token").alias("b"))
+    crowds = members.select("a").distinct().join(components(ties), F.col("a") == F.col("node")).select(F.col("a").alias("name"), F.col("label").alias("crowd"))
+    counts = crowds.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = crowds.join(counts, "crowd").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64(F.lit("whole"), "token", F.least("block", "other"), F.greatest("block", "other")).alias("meet"), "token", "block", F.lit(True).alias("probe"), "name")
+    meet = F.xxhash64(F.lit("crowd"), "crowd", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = dealt.select(meet.alias("meet"), "block", F.lit(True).alias("probe"), "name")
 
     visits = pairs.unionByName(dealt).join(leaders, "name").drop("name").withColumnRenamed("leader", "rid")
-    fetched = docs.mapInArrow(_packed, "rid bigint, text binary").join(visits, "rid").select("meet", "token", "block", "probe", "rid", "text")
+    fetched = docs.mapInArrow(_packed, "rid bigint, text binary").join(visits, "rid").select("meet", "block", "probe", "rid", "text")
     edges = saved(fetched.repartition("meet").sortWithinPartitions("meet", "rid").mapInArrow(_joined(words, percent, frequent), _sql(_EDGE)))
     labels = components(edges)
     named = leaders.join(labels, leaders["leader"] == labels["node"], "left").select("name", F.coalesce("label", "leader").alias("class"))
