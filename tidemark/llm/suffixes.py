@@ -244,6 +244,7 @@ class Sorter:
         return lo
 
     def less(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether suffix i is below suffix j, by the byte behind their common extension."""
         n = self.extension(i, j)
         a = np.where(n < self.length[i], self.data[self.suffix[i] + n].astype(np.int64), -1)
         b = np.where(n < self.length[j], self.data[self.suffix[j] + n].astype(np.int64), -1)
@@ -296,7 +297,10 @@ def _repeats(data: np.ndarray, start: np.ndarray, offset: np.ndarray, count: np.
     same = np.flatnonzero(group[order[1:]] == group[order[:-1]]) + 1
     a, b = order[same - 1], order[same]
     near[same] = sorter.extension(a, b)
+    # Neighbours must share what the hashes say, and be in order behind it; then all equal suffixes stand together.
     sound = bool(((view[suffix[a]] == view[suffix[b]]) | (np.arange(WINDOW) >= near[same][:, None])).all())
+    behind = [np.where(near[same] < length[x], data[suffix[x] + np.minimum(near[same], length[x])].astype(np.int64), -1) for x in (a, b)]
+    sound &= bool((behind[0] <= behind[1]).all())
     out = np.zeros((n, REACH + 1), bool)
     for o in range(REACH):
         x = order_o = np.flatnonzero((offset[order] >= o) & (offset[order] - count[order] < o))
