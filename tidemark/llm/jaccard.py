@@ -45,8 +45,8 @@ from .rolling import U, Rolling, mix, ragged, utf8
 QUERY_WORDS, QUERY_PERCENT = 4, 85
 WORDS, PERCENT = 5, 80
 #: Different sets of a batch that hold a shingle which counts as frequent; the most frequent shingles kept.
-OFTEN, MOST_FREQUENT = 8, 200_000
-FEW, BLOCK = 32, 1024
+OFTEN, MOST_FREQUENT = 3, 200_000
+FEW, BLOCK = 128, 1024
 #: Tokens of a trie walked in one step; documents hashed at once (at most 256, as 8 bits name them).
 STEP, DOCS = 64, 256
 _SALT = U(0x2545F4914F6CDD1D)
