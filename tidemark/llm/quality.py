@@ -167,10 +167,13 @@ WITH d AS (
          regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM d
+), u AS (
+  SELECT k, unnest(words) AS word, unnest(generate_series(1, len(words))) AS i FROM w
 ), p AS (
-  SELECT k, unnest(generate_series(1, len(words) - {WINDOW - 1})) AS i, words FROM w WHERE len(words) >= {WINDOW}
+  SELECT k, i, string_agg(word, ' ') OVER ahead AS part, count(*) OVER ahead AS size FROM u
+  WINDOW ahead AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)
 ), h AS (
-  SELECT k, i, count(*) OVER (PARTITION BY k, array_to_string(list_slice(words, i, i + {WINDOW - 1}), ' ')) AS n FROM p
+  SELECT k, i, count(*) OVER (PARTITION BY k, part) AS n FROM p WHERE size = {WINDOW}
 ), t AS (
   SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS j FROM h WHERE n > 1
 ), r AS (
