@@ -98,9 +98,9 @@ def remove_tag(tags: DataFrame, rows: DataFrame, tag: str) -> DataFrame:
 def extend_palette(tag_defs: DataFrame, tags: DataFrame, color: str = DEFAULT_COLOR) -> DataFrame:
     """The palette with unknown tags at its end, by name. Numbering sees only the distinct new names."""
     new = tags.select(F.col("tag").alias("name")).distinct().join(tag_defs, "name", "left_anti")
-    last = tag_defs.agg(F.coalesce(F.max("priority"), F.lit(-1)).alias("last"))
-    numbered = new.withColumn("n", F.row_number().over(W.orderBy("name"))).join(F.broadcast(last), how="cross")
-    return tag_defs.unionByName(numbered.select("name", F.lit(color).alias("color"), (F.col("last") + F.col("n")).alias("priority")))
+    last = tag_defs.agg(F.coalesce(F.max("priority"), F.lit(-1)).alias("last")).first()["last"]
+    number = F.row_number().over(W.orderBy("name"))
+    return tag_defs.unionByName(new.select("name", F.lit(color).alias("color"), (number + last).alias("priority")))
 
 
 def set_values(table: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:

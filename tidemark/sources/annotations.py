@@ -30,14 +30,23 @@ def read_sidecar(spark: SparkSession, path: str, timeline_id: int = 0) -> dict[s
 
 def sidecar(tags: DataFrame, comments: DataFrame, edits: DataFrame, tag_defs: DataFrame) -> DataFrame:
     """The sidecar as one JSON text; it is one file for one timeline by its format."""
-    entry = lambda v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("row_id").cast("string"), v))))
-    a = tags.groupBy("row_id").agg(F.array_sort(F.collect_set("tag")).alias("v")).agg(entry("v").alias("tags"))
-    b = comments.agg(entry("comment").alias("comments"))
-    per_row = edits.groupBy("row_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("col").cast("string"), "value")))).alias("v"))
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("row_id").cast("string").alias("k"), F.to_json("v").alias("v"))))
-    c = per_row.agg(F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["k"], F.from_json(x["v"], "map<string,string>")))).alias("edits"))
-    d = tag_defs.agg(F.transform(F.array_sort(F.collect_list(F.struct("priority", "name", "color"))), lambda x: F.struct(x["name"].alias("name"), x["color"].alias("color"))).alias("tag_defs"))
-    return a.join(b, how="cross").join(c, how="cross").join(d, how="cross").select(F.to_json(F.struct("tags", "comments", "edits", "tag_defs")).alias("value"))
+    row = F.col("row_id").cast("string").alias("k")
+    entry = F.concat(F.lit('"'), "k", F.lit('":'), "v")
+
+    def member(order: int, name: str, rows: DataFrame) -> DataFrame:
+        """(order, text) of one object keyed by row, from rows (k, v) whose v is JSON."""
+        joined = F.array_join(F.array_sort(F.collect_list(entry)), ",")
+        return rows.agg(F.lit(order).alias("order"), F.concat(F.lit(f'"{name}":{{'), joined, F.lit("}")).alias("text"))
+
+    a = tags.groupBy(row).agg(F.to_json(F.array_sort(F.collect_set("tag"))).alias("v"))
+    b = comments.select(row, F.regexp_replace(F.to_json(F.array("comment")), r"^\[|\]$", "").alias("v"))
+    cells = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("col").cast("string"), "value"))))
+    c = edits.groupBy(row).agg(F.to_json(cells).alias("v"))
+    defs = F.transform(F.array_sort(F.collect_list(F.struct("priority", "name", "color"))), lambda x: F.struct(x["name"].alias("name"), x["color"].alias("color")))
+    d = tag_defs.agg(F.lit(3).alias("order"), F.concat(F.lit('"tag_defs":'), F.to_json(defs)).alias("text"))
+    parts = member(0, "tags", a).unionByName(member(1, "comments", b)).unionByName(member(2, "edits", c)).unionByName(d)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("order", "text"))), lambda x: x["text"])
+    return parts.agg(F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}")).alias("value"))
 
 
 def write_sidecar(path: str, **tables: DataFrame) -> None:
