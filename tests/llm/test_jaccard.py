@@ -47,10 +47,10 @@ def corpus(prose):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("few", "block", "often"), [(32, 1024, 8), (2, 4, 2)])
+@pytest.mark.parametrize(("few", "block", "often", "edges"), [(128, 1024, 3, 500_000), (2, 4, 2, 0)])
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
-def test_equals_all_pairs(spark, documents, prose, monkeypatch, few, block, often, n, percent):
-    for name, value in (("FEW", few), ("BLOCK", block), ("OFTEN", often)):
+def test_equals_all_pairs(spark, documents, prose, monkeypatch, few, block, often, edges, n, percent):
+    for name, value in (("FEW", few), ("BLOCK", block), ("OFTEN", often), ("TASK_EDGES", edges)):
         monkeypatch.setattr(J, name, value)
     rows = corpus(prose)
     got = J.components_of(documents(rows).repartition(3), n, percent).collect()

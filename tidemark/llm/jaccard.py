@@ -47,6 +47,8 @@ WORDS, PERCENT = 5, 80
 #: Different sets of a batch that hold a shingle which counts as frequent; the most frequent shingles kept.
 OFTEN, MOST_FREQUENT = 3, 200_000
 FEW, BLOCK = 128, 1024
+#: Edges of a graph whose components one task finds.
+TASK_EDGES = 500_000
 #: Tokens of a trie walked in one step; documents hashed at once (at most 256, as 8 bits name them).
 STEP, DOCS = 64, 256
 _SALT = U(0x2545F4914F6CDD1D)
@@ -337,14 +339,36 @@ def _links(sets: list[np.ndarray], probe: np.ndarray, block: np.ndarray, percent
                 yield int(i), int(j)
 
 
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a small graph to the least node that each node reaches."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of ``edges`` (a, b): the smallest node that is reachable.
 
-    Each round takes the least label of the neighbours and then the label of
-    the label; the rounds grow with the logarithm of the longest path for the
-    star-like graphs that meetings yield. Every round is cut by a table in the
-    shared folder.
+    A graph of up to ``TASK_EDGES`` edges is one task's work (a few megabytes).
+    A larger one is labelled in rounds: each takes the least label of the
+    neighbours and then the label of the label; the rounds grow with the
+    logarithm of the longest path for the star-like graphs that meetings yield.
+    Every round is cut by a table in the shared folder.
     """
+    edges = saved(edges)
+    if edges.count() <= TASK_EDGES:
+        return saved(edges.coalesce(1).mapInArrow(_union, "node bigint, label bigint"))
     both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
@@ -392,7 +416,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 
     visits = pairs.unionByName(dealt).join(leaders, "name").drop("name").withColumnRenamed("leader", "rid")
     fetched = docs.mapInArrow(_packed, "rid bigint, text binary").join(visits, "rid").select("meet", "block", "probe", "rid", "text")
-    edges = saved(fetched.repartition("meet").sortWithinPartitions("meet", "rid").mapInArrow(_joined(words, percent, frequent), _sql(_EDGE)))
+    edges = (fetched.repartition("meet").sortWithinPartitions("meet", "rid").mapInArrow(_joined(words, percent, frequent), _sql(_EDGE)))
     labels = components(edges)
     named = leaders.join(labels, leaders["leader"] == labels["node"], "left").select("name", F.coalesce("label", "leader").alias("class"))
     out = base.join(named, "name", "left").select("rid", "size", F.coalesce("class", "rid").alias("class"))
