@@ -238,13 +238,14 @@ def _chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
         yield chunk
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded size."""
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in blocks of bounded size, one at a time."""
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-size // BLOCK_BYTES))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[tuple(r) for r in rows.where(part == b).collect()] for b in range(n)]
+    for b in range(n):
+        yield [tuple(r) for r in rows.where(part == b).collect()]
 
 
 
