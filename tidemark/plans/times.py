@@ -57,10 +57,10 @@ R.add("t6_unparseable_never_matches", t6_unparseable_never_matches, f"{SPELLED_S
 def t8_durations(spark, sf_dir):
     e = base.table(spark, sf_dir, "events")
     text = F.when(F.col("event_id") % 4 == 0, F.concat(F.col("user_id").cast("string"), F.lit("s"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("1d"), (F.col("event_id") % 24).cast("string"), F.lit("h"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("2w"), F.col("user_id").cast("string"), F.lit("m"))).otherwise(F.col("user_id").cast("string"))
-    return e.select(F.col("event_id").alias("row_id"), T.duration_seconds(text).alias("seconds"))
+    return e.select(F.col("event_id").alias("row_id"), F.coalesce(T.duration_seconds(text), F.lit(-1)).cast("long").alias("seconds"))
 
 
-R.add("t8_durations", t8_durations, "SELECT event_id AS row_id, CASE event_id % 4 WHEN 0 THEN user_id WHEN 1 THEN 86400 + 3600 * (event_id % 24) WHEN 2 THEN 1209600 + 60 * user_id END AS seconds FROM events")
+R.add("t8_durations", t8_durations, "SELECT event_id AS row_id, CASE event_id % 4 WHEN 0 THEN user_id WHEN 1 THEN 86400 + 3600 * (event_id % 24) WHEN 2 THEN 1209600 + 60 * user_id ELSE -1 END AS seconds FROM events")
 
 
 def t9_interval_join(spark, sf_dir):
