@@ -418,7 +418,8 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     fetched = docs.mapInArrow(_packed, "rid bigint, text binary").join(visits, "rid").select("meet", "block", "probe", "rid", "text")
     edges = (fetched.repartition("meet").sortWithinPartitions("meet", "rid").mapInArrow(_joined(words, percent, frequent), _sql(_EDGE)))
     labels = components(edges)
-    named = leaders.join(labels, leaders["leader"] == labels["node"], "left").select("name", F.coalesce("label", "leader").alias("class"))
+    # Saved, so that both sides of the last join are plain exchanges and Spark can split a set that very many documents have.
+    named = saved(leaders.join(labels, leaders["leader"] == labels["node"], "left").select("name", F.coalesce("label", "leader").alias("class")))
     out = base.join(named, "name", "left").select("rid", "size", F.coalesce("class", "rid").alias("class"))
     return out
 
