@@ -253,3 +253,9 @@ def test_decontamination_in_spark(spark, documents, prose):
     kept = decontaminate.clean(docs, items)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 3, 3]
     assert decontaminate.clean(docs, items.limit(0)).count() == 7 and decontaminate.hits(documents([]), items).count() == 0
+
+
+def test_decontamination_among_a_frequent_word(prose):
+    items = [(i, prose(1000 + i, 40)) for i in range(30)]
+    texts = [(f"{t.split()[-1]} " * 400 + t + f" {t.split()[-1]}" * 400).encode() for _, t in items]
+    assert [dict(g).get(i) for (i, _), g in zip(items, decontaminate.Matcher(items).match(texts), strict=True)] == [0] * 30

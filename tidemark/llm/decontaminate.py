@@ -1,12 +1,16 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
 Both the benchmark items and the documents are normalised to lower-case words
-one space apart. Item-sized windows are laid over a document where it shares
-runs of words with an item, which fixes where the item would start. Window and
+one space apart. Item-sized windows are laid over a document wherever enough of
+its byte grams agree, within ``SLACK`` bytes, on where an item would start; what
+lies around them takes no window away. Size and number of the grams are what
+every copy within ``EDITS`` keeps, wherever its edits are, so only copies whose
+insertions and deletions shift their grams by more than ``SLACK`` can miss a
+window. Window and
 item are embedded by the same random walk: at each step the current symbol is
 written, and the walk moves on if a random bit of (step, symbol) says so; edit
 distance becomes Hamming distance. Samples of the embedded positions are
-bucket keys; a window that shares a bucket with an item in any of the repeated
+bucket keys; a window that shares a bucket with its item in any of the repeated
 samples is a candidate and is verified by the exact edit distance between the
 item and the best substring of the window with its surroundings.
 
@@ -14,8 +18,8 @@ The benchmark is sent to the tasks in blocks of at most ``BLOCK_BYTES``, one
 pass of narrow work a block, so nothing broadcast grows with the data and no
 shuffle is needed. Documents are read whole, in chunks of bounded size.
 
-Edge cases: null and empty texts and items match nothing; items under
-``SEED_BYTES`` are seeded by all their words; equal items are all reported; repeated
+Edge cases: null and empty texts and items match nothing; short
+items have shorter grams; equal items are all reported; repeated
 rows are judged each on its own; an empty table of either kind gives no match;
 columns of other names pass through :func:`clean` unchanged, whatever they are
 called.
@@ -31,16 +35,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .rolling import Rolling, mix, ragged
+from .rolling import mix, ragged
 
 #: Largest edit distance of a match, as a share of the item's length.
 EDITS = 0.2
-#: Least bytes of a seed; walks; samples of each walk; positions of each sample.
-SEED_BYTES, WALKS, SAMPLES, POSITIONS = 8, 4, 48, 2
+#: Walks; samples of each walk; positions of each sample.
+WALKS, SAMPLES, POSITIONS = 4, 48, 2
 #: Bytes of benchmark text in a block; bytes of document text handled at once.
 BLOCK_BYTES, CHUNK_BYTES = 16_000_000, 2_000_000
-#: Seeds of one window may start this many bytes apart; a single seed must be so long.
-SLACK, LONG_SEED = 16, 12
+#: Grams of one window may be this many bytes apart in where they say that the item starts.
+SLACK = 16
+#: Shared grams that are handled at once.
+SLICE = 2_000_000
 
 _LOWER = np.full(256, 32, np.uint8)
 for _c in range(256):
@@ -89,26 +95,23 @@ class Matcher:
     """The benchmark, prepared once in each task."""
 
     def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, seed: int = 7) -> None:
-        self.edits, self.roll = edits, Rolling()
+        self.edits = edits
         texts = [(i, normalise(t.encode())) for i, t in items if t]
         self.items = [(i, t) for i, t in texts if len(t)]
-        #: Seeds by their number of words; 0 stands for as many words as make SEED_BYTES.
-        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        seeds: dict[int, list[tuple[int, int, int]]] = {}
-        self.few = np.zeros(len(self.items), bool)
-        for k, (_, t) in enumerate(self.items):
-            words = self._words(t)
-            starts, ends = self._seeds(*words, 0)
-            size = 0 if len(starts) else len(words[0])
-            if size:
-                starts, ends = self._seeds(*words, size)
-            self.few[k] = len(starts) < 8
-            keys = self.roll.span(self.roll.prefix(t), starts, ends)
-            seeds.setdefault(size, []).extend((int(h), k, int(s)) for h, s in zip(keys, starts, strict=True))
-        for size, rows in seeds.items():
-            rows.sort()
-            self.sizes[size] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
         self.length = np.array([len(t) for _, t in self.items], np.int64)
+        #: Grams by their size: distinct keys, where the places of each begin and end, and the places' items and offsets.
+        self.sizes: dict[int, tuple[np.ndarray, ...]] = {}
+        most = (self.edits * self.length).astype(np.int64)
+        size = (self.length // (most + 1)).clip(1, 8)
+        # An edit touches at most ``size`` grams; by the choice of the size, one at least is left.
+        self.least = np.maximum(1, self.length - size + 1 - size * most)
+        for q in np.unique(size).tolist():
+            mine = np.flatnonzero(size == q)
+            keys = [self._grams(self.items[k][1], q) for k in mine]
+            key, item = np.concatenate(keys), np.repeat(mine, [len(x) for x in keys])
+            order = np.argsort(key, kind="stable")
+            distinct, first = np.unique(key[order], return_index=True)
+            self.sizes[q] = (distinct, first, np.append(first[1:], len(key)), item[order], np.concatenate([np.arange(len(x)) for x in keys])[order])
         steps = 3 * int(self.length.max(initial=1))
         rng = np.random.default_rng(seed)
         self.bits = rng.integers(0, 2, (WALKS, steps, 256), dtype=np.int64)
@@ -119,22 +122,15 @@ class Matcher:
             grid = np.zeros((len(self.items), width + 1), np.uint8)
             for k, (_, t) in enumerate(self.items):
                 grid[k, : len(t)] = t
-            keys = self.buckets(grid, self.length)
-            self.item_keys = np.sort(keys, axis=1)
-            self.item_order = np.argsort(keys, axis=1)
+            self.item_keys = self.buckets(grid, self.length)
 
     @staticmethod
-    def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        inside = data > 32
-        edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-        return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-    @staticmethod
-    def _seeds(starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Spans of ``size`` words, or of the fewest words that make SEED_BYTES."""
-        last = np.arange(len(starts)) + size - 1 if size else np.searchsorted(ends, starts + SEED_BYTES)
-        whole = last < len(ends)
-        return starts[whole], ends[last[whole]]
+    def _grams(data: np.ndarray, size: int) -> np.ndarray:
+        """All runs of ``size`` bytes (up to 8), each as one number."""
+        out = np.zeros(max(0, len(data) - size + 1), np.uint64)
+        for i in range(size):
+            out = out << np.uint64(8) | data[i : i + len(out)]
+        return out
 
     def buckets(self, grid: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Bucket keys, a row for each sample, of strings padded with zeros in ``grid``."""
@@ -158,32 +154,50 @@ class Matcher:
 
     def _windows(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, start) of the windows that shared seeds lay over the chunk."""
-        words = self._words(data)
-        prefix = self.roll.prefix(data)
         found = []
-        for size, (keys, item, offset) in self.sizes.items():
-            starts, ends = self._seeds(*words, size)
-            hashes = self.roll.span(prefix, starts, ends)
-            lo = np.searchsorted(keys, hashes)
-            hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == hashes)
-            lo, hi = lo[hit], np.searchsorted(keys, hashes[hit], "right")
-            seed = ragged(lo, hi - lo)
-            place = np.repeat(hit, hi - lo)
-            found.append((item[seed], starts[place] - offset[seed], offset[seed], ends[place] - starts[place], np.searchsorted(bounds, starts[place], "right") - 1))
-        if not found or not sum(len(f[0]) for f in found):
+        longest = int(self.length.max())
+        # Places are moved apart by the longest item for each document before, so that starts in two documents never meet.
+        apart = bounds + np.arange(1, len(bounds) + 1) * longest
+        span = len(data) + (len(bounds) + 1) * longest + SLACK + 1
+        for size, (keys, first, last, item, offset) in self.sizes.items():
+            grams = self._grams(data, size)
+            which = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            at = np.flatnonzero(keys[which] == grams)
+            lo, n = first[which[at]], (last - first)[which[at]]
+            place = at + (np.searchsorted(bounds, at, "right")) * longest
+            base, total = item * span - offset, np.cumsum(n)
+            a = 0
+            while a < len(at):
+                # Slices overlap by the longest item on both sides, so that each copy lies whole in one of them.
+                until = max(int(at[min(np.searchsorted(total, total[a] + SLICE), len(at) - 1)]) + 1, int(at[a]) + 6 * longest)
+                b = int(np.searchsorted(at, until))
+                key = base[ragged(lo[a:b], n[a:b])]
+                key += np.repeat(place[a:b], n[a:b])
+                found.append(self._dense(key, span))
+                a = b if b == len(at) else int(np.searchsorted(at, until - 3 * longest))
+        if not found:
             none = np.zeros(0, np.int64)
             return none, none, none
-        item, start, offset, size, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((start, item, doc))
-        item, start, offset, size, doc = (x[order] for x in (item, start, offset, size, doc))
-        new = np.ones(len(item), bool)
-        new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] - start[:-1] > SLACK)
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        several = np.maximum.reduceat(offset, first) > np.minimum.reduceat(offset, first)
-        enough = several | (np.maximum.reduceat(size, first) >= LONG_SEED) | self.few[item[first]]
-        middle = first + (np.bincount(group) - 1) // 2
-        return doc[first][enough], item[first][enough], start[middle][enough]
+        item, start = np.divmod(np.unique(np.concatenate(found)), span)
+        doc = np.searchsorted(apart - longest, start, "right") - 1
+        return doc, item, start - (doc + 1) * longest
+
+    def _dense(self, key: np.ndarray, span: int) -> np.ndarray:
+        """Windows where enough grams agree on item and start within SLACK bytes; keys are item * span + start.
+
+        Each run of SLACK bytes with such a window gets one, where the starts lie closest.
+        """
+        key.sort()
+        few = int(self.least.min())
+        near = np.flatnonzero(key[few - 1 :] - key[: len(key) - few + 1] <= SLACK)
+        least = self.least[key[near] // span]
+        end = near + least - 1
+        spread = key[np.minimum(end, len(key) - 1)] - key[near]
+        whole = (end < len(key)) & (spread <= SLACK)
+        near, least, spread = near[whole], least[whole], spread[whole]
+        middle = key[near + (least - 1) // 2]
+        order = np.lexsort((spread, middle // SLACK))
+        return middle[order[np.flatnonzero(np.diff(middle[order] // SLACK, prepend=-1))]]
 
     def match(self, texts: list[bytes]) -> list[list[tuple[int, int]]]:
         """For each text the (item id, edit distance) of the items it holds, by item id."""
@@ -204,14 +218,8 @@ class Matcher:
             inside = (reach >= bounds[d][:, None]) & (reach < bounds[d + 1][:, None] - 1) & (np.arange(reach.shape[1]) < length[:, None])
             grid = np.where(inside, data[np.clip(reach, 0, len(data) - 1)], 0).astype(np.uint8)
             keys = self.buckets(grid, length)
-            pairs = set()
-            for row, mine, order in zip(keys, self.item_keys, self.item_order, strict=True):
-                lo, hi = np.searchsorted(mine, row), np.searchsorted(mine, row, "right")
-                which = np.flatnonzero(hi > lo)
-                of = ragged(lo[which], (hi - lo)[which])
-                pairs.update(zip(np.repeat(which, (hi - lo)[which]).tolist(), order[of].tolist(), strict=True))
-            for k, j in pairs:
-                size = int(self.length[j])
+            for k in np.flatnonzero((keys == self.item_keys[:, i]).any(axis=0)):
+                j, size = int(i[k]), int(length[k])
                 most = int(self.edits * size)
                 if (known := best.get((int(d[k]), j), size)) == 0:
                     continue
