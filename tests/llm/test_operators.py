@@ -259,3 +259,17 @@ def test_decontamination_among_a_frequent_word(prose):
     items = [(i, prose(1000 + i, 40)) for i in range(30)]
     texts = [(f"{t.split()[-1]} " * 400 + t + f" {t.split()[-1]}" * 400).encode() for _, t in items]
     assert [dict(g).get(i) for (i, _), g in zip(items, decontaminate.Matcher(items).match(texts), strict=True)] == [0] * 30
+
+
+def test_decontamination_of_edits_spread_evenly(prose):
+    items = [(i, prose(1000 + i, 40)) for i in range(30)] + [(30, "".join(chr(0x4E00 + random.Random(3).randrange(900) + 7 * k) for k in range(90)))]
+    texts, want = [], []
+    for i, t in items:
+        whole = decontaminate.normalise(t.encode()).tobytes()
+        z = bytearray(whole)
+        for k in range(5, len(z), 6) if i < 30 else range(12, len(z), 18):
+            z[k : k + 1 if i < 30 else k + 3] = b"0" if i < 30 else "龠".encode()
+        texts.append(prose(i, 60).encode() + b" " + bytes(z) + b" " + prose(i + 500, 60).encode())
+        want.append(decontaminate.edits_within(whole, bytes(z)) <= int(decontaminate.EDITS * len(whole)))
+    got = decontaminate.Matcher(items).match(texts)
+    assert want == [True] * 31 == [i in dict(g) for (i, _), g in zip(items, got, strict=True)]
