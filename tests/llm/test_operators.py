@@ -273,3 +273,10 @@ def test_decontamination_of_edits_spread_evenly(prose):
         want.append(decontaminate.edits_within(whole, bytes(z)) <= int(decontaminate.EDITS * len(whole)))
     got = decontaminate.Matcher(items).match(texts)
     assert want == [True] * 31 == [i in dict(g) for (i, _), g in zip(items, got, strict=True)]
+
+
+def test_decontamination_by_items_without_id(spark, documents, prose):
+    items = spark.createDataFrame([(1, prose(1, 30)), (None, prose(2, 30)), (None, prose(1, 30))], "item_id bigint, text string")
+    docs = documents([(0, prose(7) + prose(1, 30)), (1, prose(8) + prose(2, 30)), (2, prose(9))])
+    got = {r["row"]["doc_id"]: [x["item_id"] for x in r["hits"]] for r in decontaminate.hits(docs, items).collect()}
+    assert got == {0: [None, 1], 1: [None], 2: []} and [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [2]

@@ -18,7 +18,8 @@ The benchmark is sent to the tasks in blocks of at most ``BLOCK_BYTES``, one
 pass of narrow work a block, so nothing broadcast grows with the data and no
 shuffle is needed. Documents are read whole, in chunks of bounded size.
 
-Edge cases: null and empty texts and items match nothing; short
+Edge cases: null and empty texts and items match nothing; an item with a null
+id counts like any other and is reported as null; short
 items have shorter grams; equal items are all reported; repeated
 rows are judged each on its own; an empty table of either kind gives no match;
 columns of other names pass through :func:`clean` unchanged, whatever they are
@@ -94,7 +95,7 @@ def edits_within(item: bytes, text: bytes) -> int:
 class Matcher:
     """The benchmark, prepared once in each task."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, seed: int = 7) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], edits: float = EDITS, seed: int = 7) -> None:
         self.edits = edits
         texts = [(i, normalise(t.encode())) for i, t in items if t]
         self.items = [(i, t) for i, t in texts if len(t)]
@@ -199,9 +200,9 @@ class Matcher:
         order = np.lexsort((spread, middle // SLACK))
         return middle[order[np.flatnonzero(np.diff(middle[order] // SLACK, prepend=-1))]]
 
-    def match(self, texts: list[bytes]) -> list[list[tuple[int, int]]]:
-        """For each text the (item id, edit distance) of the items it holds, by item id."""
-        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    def match(self, texts: list[bytes]) -> list[list[tuple[int | None, int]]]:
+        """For each text the (item id, edit distance) of the items it holds, by item id, null first."""
+        out: list[list[tuple[int | None, int]]] = [[] for _ in texts]
         if not self.items:
             return out
         parts = [normalise(t) for t in texts]
@@ -230,7 +231,7 @@ class Matcher:
                     best[int(d[k]), j] = edits
         for (d, j), edits in best.items():
             out[d].append((self.items[j][0], edits))
-        return [sorted(x) for x in out]
+        return [sorted(x, key=lambda h: (h[0] is not None, h)) for x in out]
 
 
 def _chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
@@ -246,9 +247,9 @@ def _chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
         yield chunk
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """The benchmark in blocks of bounded size, one at a time."""
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
+    rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-size // BLOCK_BYTES))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
