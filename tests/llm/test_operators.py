@@ -280,3 +280,9 @@ def test_decontamination_by_items_without_id(spark, documents, prose):
     docs = documents([(0, prose(7) + prose(1, 30)), (1, prose(8) + prose(2, 30)), (2, prose(9))])
     got = {r["row"]["doc_id"]: [x["item_id"] for x in r["hits"]] for r in decontaminate.hits(docs, items).collect()}
     assert got == {0: [None, 1], 1: [None], 2: []} and [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [2]
+
+
+def test_secrets_of_one_owner_in_many_documents(spark, documents):
+    docs = documents([(5 * i, f"note {i} k9Qw3zLm7Xc1Vb5Nt8Rp end") for i in range(30)])
+    assert {(r["n_added"], r["n_live"]) for r in secrets.scan(docs).collect()} == {(1, 1)}
+    assert not secrets.redact(docs).where("text like '%k9Qw3z%'").count()

@@ -41,8 +41,9 @@ KINDS: dict[str, tuple[str, int, int]] = {
 _FAST = {"hex": "[0-9a-f]{24,}"}
 #: Bare candidates: a run with letters and digits that no base span touches.
 BARE = "[A-Za-z0-9_+-]{20,}"
-#: Values of more owners or repositories than this are examples that people copy.
+#: Values of more owners than this are examples that people copy, however many documents an owner holds them in.
 MAX_OWNERS = 2
+#: The SQL below still calls values of more repositories examples; the operator does not.
 MAX_REPOSITORIES = 20
 #: Distinct characters that a value needs to look live.
 MIN_DISTINCT = 8
@@ -111,7 +112,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
     repositories = candidates.groupBy("value_hash", "owner", "doc_id", "text_hash").agg(F.first("live").alias("live"))
     owners = repositories.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("n"), F.first("live").alias("live"))
     per = owners.groupBy("value_hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"), F.first("live").alias("live"))
-    few = (F.col("n_owners") <= MAX_OWNERS) & (F.col("n_repositories") <= MAX_REPOSITORIES)
+    few = F.col("n_owners") <= MAX_OWNERS
     return per.withColumn("verdict", F.when(~F.col("live"), "placeholder").when(few, "live").otherwise("example")).drop("live")
 
 
