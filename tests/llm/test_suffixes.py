@@ -57,7 +57,7 @@ def test_dedup_keeps_columns_and_cuts_text(spark, documents, prose):
     assert {r["doc_id"]: r["text"] for r in out}[2] == " tail" and set(out[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "row", "kept"}
 
 
-def test_mergesort_sorts_suffixes_and_survives_collisions(monkeypatch):
+def test_mergesort_sorts_suffixes_and_survives_collisions():
     rng = np.random.default_rng(0)
     data = np.concatenate([rng.integers(97, 99, 3000).astype(np.uint8), np.zeros(S.WINDOW, np.uint8)])
     start = np.sort(rng.integers(0, 2900, 300))
@@ -75,5 +75,5 @@ def test_mergesort_sorts_suffixes_and_survives_collisions(monkeypatch):
     start = np.arange(n) * 110
     data = np.tile(rng.integers(97, 123, 110 * 10).astype(np.uint8), 7)
     data[5000] ^= 1
-    args = (start, np.full(n, 4), np.full(n, 8), np.repeat([0, 1], n // 2), np.arange(n))
+    args = (start, np.full(n, 4), np.full(n, 5), np.repeat([0, 1], n // 2), np.arange(n))
     assert (S._repeats(data, *args, Weak(3)) == S._repeats(data, *args, Rolling(3))).all()

@@ -285,9 +285,11 @@ class Sorter:
 def _repeats(data: np.ndarray, start: np.ndarray, offset: np.ndarray, count: np.ndarray, group: np.ndarray, rank: np.ndarray, roll: Rolling) -> np.ndarray:
     """For each context and each of its windows whether an earlier context of its group has the same one.
 
-    Contexts are sorted by group; ``rank`` is their order in the corpus.
+    Contexts are sorted by group; ``rank`` is their order in the corpus. Every
+    window of a context holds its anchor, so ``count`` is at most ``offset + 1``.
     """
     n = len(start)
+    assert (count <= offset + 1).all()
     suffix = start + offset
     length = count - 1 + WINDOW - offset
     view = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
