@@ -286,3 +286,58 @@ def test_secrets_of_one_owner_in_many_documents(spark, documents):
     docs = documents([(5 * i, f"note {i} k9Qw3zLm7Xc1Vb5Nt8Rp end") for i in range(30)])
     assert {(r["n_added"], r["n_live"]) for r in secrets.scan(docs).collect()} == {(1, 1)}
     assert not secrets.redact(docs).where("text like '%k9Qw3z%'").count()
+
+
+@pytest.mark.parametrize("n_words", [(2, 3), (3, 8), (8, 13), (14, 25), (26, 50), (200, 300)])
+def test_decontamination_recall_at_every_distance(prose, n_words):
+    """At least 0.9 of the copies in each fifth of the distances up to EDITS, for short and long items."""
+    rng = random.Random(12)
+    items = [(i, prose(3000 + i, rng.randint(*n_words))) for i in range(120 if n_words[1] < 100 else 12)]
+    matcher = decontaminate.Matcher(items)
+    texts, want = [], []
+    for i, t in items:
+        whole = decontaminate.normalise(t.encode()).tobytes()
+        for rate in (0.03, 0.07, 0.1, 0.13, 0.16, 0.19, 0.22):
+            z = noisy(t, rate, rng)
+            edits = decontaminate.edits_within(whole, decontaminate.normalise(z.encode()).tobytes())
+            if edits <= int(decontaminate.EDITS * len(whole)):
+                texts.append((prose(i, 60) + " " + z + " " + prose(i + 500, 60)).encode())
+                want.append((i, min(4, int(25 * edits / len(whole)))))
+    got = matcher.match(texts)
+    for part in sorted({d for _, d in want}):
+        hit = [i in dict(g) for (i, d), g in zip(want, got, strict=True) if d == part]
+        assert len(hit) < 10 or sum(hit) >= 0.9 * len(hit), (part, sum(hit), len(hit))
+
+
+def test_batched_edit_distances_equal_the_scalar_ones():
+    rng = random.Random(5)
+    items = [bytes(rng.choice(b"abcd") for _ in range(n)) for n in (1, 5, 63, 64, 65, 130, 300, 511, 512, 600) for _ in range(4)]
+    texts = []
+    for x in items:
+        y = bytearray(x)
+        for _ in range(rng.randrange(1 + len(y) // 4)):
+            y.insert(rng.randrange(len(y) + 1), rng.choice(b"abcd"))
+            del y[rng.randrange(len(y))]
+        texts.append(bytes(rng.choice(b"abcd") for _ in range(rng.randrange(40))) + bytes(y) + bytes(rng.choice(b"abcd") for _ in range(rng.randrange(40))))
+    ends = np.cumsum([len(t) for t in texts])
+    got = decontaminate.edits_of(items, np.arange(len(items)), np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends)
+    assert got.tolist() == [decontaminate.edits_within(x, t) for x, t in zip(items, texts, strict=True)]
+
+
+def test_decontamination_where_many_items_share_a_bucket(prose, monkeypatch):
+    """Items with one beginning, among its repeats, in parts and at once, and in blocks."""
+    start = prose(1, 12)
+    items = [(i, start + " " + prose(7000 + i, 10)) for i in range(40)]
+    texts = [((start + " ") * 30 + items[i][1] + (" " + start) * 30).encode() for i in range(8)]
+    whole = decontaminate.Matcher(items).match(texts)
+    assert all(dict(g)[i] == 0 for i, g in enumerate(whole))
+    monkeypatch.setattr(decontaminate, "SEEDS", 100)
+    assert decontaminate.Matcher(items).match(texts) == whole
+
+
+def test_decontamination_in_blocks(spark, documents, prose, monkeypatch):
+    items = spark.createDataFrame([(i, prose(7000 + i, 20)) for i in range(12)], "item_id bigint, text string")
+    docs = documents([(i, prose(i) + " " + prose(7000 + i, 20)) for i in range(14)])
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
+    got = {r["row"]["doc_id"]: [x["item_id"] for x in r["hits"]] for r in decontaminate.hits(docs, items).collect()}
+    assert got == {i: [i] if i < 12 else [] for i in range(14)}
