@@ -9,10 +9,13 @@ base spans under the kind ``live``.
 
 Positions are code points, end exclusive. They are taken by cutting a text at
 the matches of a pattern: pieces and matches alternate, so the running sum of
-their lengths gives each start.
+their lengths gives each start. Texts are read once, and the pieces of those
+with a match are written; from there on a match is a row, running sums are
+windows within a text, and the work grows with the matches and not with their
+square.
 
 Edge cases: a null text is an empty one and has no findings; a null owner
-counts as one owner of its own; repeated rows are one repository but keep a
+counts as one owner of its own; a text that is one secret is redacted whole; repeated rows are one repository but keep a
 row each; an empty table gives an empty result; only ``doc_id``, ``text`` and
 ``source`` are read, so other columns cannot clash. Two kinds that start at
 one place are ordered as listed in ``KINDS``.
@@ -21,9 +24,10 @@ one place are ordered as listed in ``KINDS``.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fenced, table, text_of
+from .common import saved, table, text_of
 
 
 def _either_case(word: str) -> str:
@@ -43,72 +47,57 @@ _FAST = {"hex": "[0-9a-f]{24,}"}
 BARE = "[A-Za-z0-9_+-]{20,}"
 #: Values of more owners than this are examples that people copy, however many documents an owner holds them in.
 MAX_OWNERS = 2
-#: The SQL below still calls values of more repositories examples; the operator does not.
-MAX_REPOSITORIES = 20
 #: Distinct characters that a value needs to look live.
 MIN_DISTINCT = 8
 
-_SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+_MATCH = "array<struct<gap:int,length:int,value:string>>"
+_RANK = {k: i for i, k in enumerate([*KINDS, "live"])}
 
 
-def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Matches of one kind as an array of (kind, start, end, value), in order."""
+def _matches(text: Column, pattern: str, group: int) -> Column:
+    """Matches of a pattern in order: the length of what lies between it and the one before, its own length, and its value."""
     matched = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matched
-    lengths = F.zip_with(F.transform(F.split(text, pattern, -1), F.length), F.transform(matched, F.length), lambda p, m: F.struct(p.alias("p"), F.coalesce(m, F.lit(0)).alias("m")))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    placed = F.aggregate(
-        lengths,
-        state,
-        lambda s, x: F.struct(
-            (s["at"] + x["p"] + x["m"]).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + x["p"]).alias("start"), (s["at"] + x["p"] + x["m"]).alias("end")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    both = F.zip_with(placed, values, lambda x, v: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), v.alias("value")))
-    kept = F.filter(both, lambda x: x["value"].isNotNull() & (F.length(x["value"]) >= least))
-    return F.when(text.rlike(pattern), kept).otherwise(F.array().cast(_SPAN))
-
-
-def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-
-
-def _ordered(spans: Column, kinds: list[str]) -> Column:
-    rank = F.array(*[F.lit(k) for k in kinds])
-    keyed = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.array_position(rank, x["kind"]).alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
-    return F.transform(F.array_sort(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
-
-
-def find(docs: DataFrame) -> DataFrame:
-    """Base spans and bare candidates of each document, beside doc_id, owner and text."""
-    out = docs.select("doc_id", F.col("source").alias("owner"), text_of().alias("text"))
-    for kind, (pattern, group, least) in KINDS.items():
-        out = out.withColumn(kind, _spans(F.col("text"), kind, _FAST.get(kind, pattern), group, least))
-    out = out.withColumn("base", _ordered(F.concat(*KINDS), list(KINDS)))
-    out = out.withColumn("runs", _spans(F.col("text"), "live", BARE, 0, 20))
-    apart = F.filter(
-        "runs",
-        lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
-    return out.withColumn("bare", apart).drop("runs")
-
-
-def _candidates(found: DataFrame) -> DataFrame:
-    """A row for each distinct value of a document: doc_id, owner, text hash, value hash, looks."""
-    values = F.array_distinct(F.transform(F.concat("base", "bare"), lambda x: x["value"]))
-    one = found.select("doc_id", "owner", F.xxhash64("text").alias("text_hash"), F.explode(values).alias("value"))
-    live = (F.size(F.array_distinct(F.split("value", ""))) >= MIN_DISTINCT) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
-    return one.select("doc_id", "owner", "text_hash", F.sha2("value", 256).alias("value_hash"), live.alias("live"))
-
-
-def ownership(candidates: DataFrame) -> DataFrame:
-    """Distinct repositories and owners of each candidate hash, and its class.
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(matched))
+    both = F.zip_with(F.zip_with(gaps, F.transform(matched, F.length), lambda g, m: F.struct(g.alias("gap"), m.alias("length"))), values, lambda x, v: F.struct(x["gap"].alias("gap"), x["length"].alias("length"), v.alias("value")))
+    return F.when(text.rlike(pattern), both).otherwise(F.array().cast(_MATCH))
+
+
+def survey(docs: DataFrame, *more: Column) -> DataFrame:
+    """One saved row for each document: rid, doc_id, owner, text_hash, an array of matches for each kind, and ``more``."""
+    text = text_of()
+    kinds = {k: _matches(text, _FAST.get(k, p), g) for k, (p, g, _) in KINDS.items()} | {"live": _matches(text, BARE, 0)}
+    one = docs.select("doc_id", F.col("source").alias("owner"), F.xxhash64(text).alias("text_hash"), *[c.alias(f"m_{k}") for k, c in kinds.items()], *more)
+    return saved(one.withColumn("rid", F.monotonically_increasing_id()))
+
+
+def spans(found: DataFrame) -> DataFrame:
+    """Base spans and bare candidates of a survey, a row each: rid, doc_id, owner, text_hash, kind, rank, start, end, value."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(r).alias("rank"), F.lit(KINDS[k][2] if k in KINDS else 20).alias("least"), F.col(f"m_{k}").alias("m")) for k, r in _RANK.items()])
+    some = F.filter(kinds, lambda x: F.size(x["m"]) > 0)
+    by_kind = found.select("rid", "doc_id", "owner", "text_hash", F.explode(some).alias("x"))
+    rows = by_kind.select("rid", "doc_id", "owner", "text_hash", "x.kind", "x.rank", "x.least", F.posexplode("x.m").alias("i", "m"))
+    running = W.partitionBy("rid", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    placed = rows.withColumn("end", F.sum(F.col("m.gap") + F.col("m.length")).over(running).cast("int")).withColumn("start", F.col("end") - F.col("m.length"))
+    value, bare = F.col("m.value"), F.col("kind") == "live"
+    usable = (F.length(value) >= F.col("least")) & (~bare | (value.rlike("[0-9]") & value.rlike("[A-Za-z]")))
+    kept = placed.where(usable).select("rid", "doc_id", "owner", "text_hash", "kind", "rank", "start", "end", value.alias("value"))
+    # A bare run counts where no base span before it reaches into it and none behind it starts in it.
+    before = W.partitionBy("rid").orderBy("start", "rank").rowsBetween(W.unboundedPreceding, -1)
+    behind = W.partitionBy("rid").orderBy(F.col("start").desc(), F.col("rank").desc()).rowsBetween(W.unboundedPreceding, -1)
+    marked = kept.withColumn("reach", F.max(F.when(~bare, F.col("end"))).over(before)).withColumn("next", F.min(F.when(~bare, F.col("start"))).over(behind))
+    touched = (F.coalesce("reach", F.lit(0)) > F.col("start")) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    return marked.where(~bare | ~touched).drop("reach", "next")
+
+
+def ownership(found: DataFrame) -> DataFrame:
+    """Distinct repositories and owners of the hash of each value of ``found`` (:func:`spans`), and its class.
 
     Both levels of grouping combine before the shuffle, so a value that a third
     of all documents hold arrives as one row for each task and owner.
     """
+    live = (F.size(F.array_distinct(F.split("value", ""))) >= MIN_DISTINCT) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    candidates = found.select("doc_id", "owner", "text_hash", F.sha2("value", 256).alias("value_hash"), live.alias("live"))
     repositories = candidates.groupBy("value_hash", "owner", "doc_id", "text_hash").agg(F.first("live").alias("live"))
     owners = repositories.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("n"), F.first("live").alias("live"))
     per = owners.groupBy("value_hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"), F.first("live").alias("live"))
@@ -116,68 +105,67 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return per.withColumn("verdict", F.when(~F.col("live"), "placeholder").when(few, "live").otherwise("example")).drop("live")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row for each document: base and all spans, and how many are live, example or placeholder.
+def judged(survey_: DataFrame) -> DataFrame:
+    """The spans of a survey with the verdict on their value; bare ones only if it is live.
 
-    Only documents with a candidate take part in the joins. The candidate side
-    of the join with the ownership table can be split by Spark where one value
-    is hot; the findings go back to their documents by (doc_id, hash of text).
+    The side of the spans can be split by Spark where one value is hot.
     """
-    found = find(docs)
-    some = F.size(F.concat("base", "bare")) > 0
-    held = fenced(found, some).select("doc_id", "owner", "text", "base", "bare")
-    candidates = _candidates(held)
-    judged = candidates.join(ownership(candidates), "value_hash")
-    back = judged.groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.when(F.col("verdict") == "live", F.col("value_hash"))).alias("live_values"),
-        F.collect_set(F.when(F.col("verdict") == "example", F.col("value_hash"))).alias("example_values"),
-    )
-    left = found.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", "bare", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS])
-    back = back.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "live_values", "example_values")
-    both = left.join(back, left["doc_id"].eqNullSafe(back["d"]) & (left["text_hash"] == back["h"]), "left")
-    none = F.array().cast("array<string>")
-    both = both.withColumns({"live_values": F.coalesce("live_values", none), "example_values": F.coalesce("example_values", none)})
-    added = F.filter("bare", lambda x: F.array_contains("live_values", F.sha2(x["value"], 256)))
-    both = both.withColumn("added", added).withColumn("spans", _ordered(F.concat("base", "added"), [*KINDS, "live"]))
-    count = lambda spans, values: F.size(F.filter(spans, lambda x: F.array_contains(values, F.sha2(x["value"], 256)))).cast("long")
-    return both.select(
-        "doc_id",
-        *[f"n_{k}" for k in KINDS],
-        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        _joined(F.col("spans")).alias("spans"),
-        count("spans", "live_values").alias("n_live"),
-        count("base", "example_values").alias("n_example"),
-        F.size("added").cast("long").alias("n_added"),
-        "text_hash",
-        F.col("spans").alias("found"),
+    found = saved(spans(survey_))
+    both = found.withColumn("value_hash", F.sha2("value", 256)).join(ownership(found).select("value_hash", "verdict"), "value_hash")
+    return both.where((F.col("kind") != "live") | (F.col("verdict") == "live")).drop("value_hash")
+
+
+def _joined(spans_: Column) -> Column:
+    """``kind:start:end`` of (start, rank, kind, end) by start, then rank."""
+    return F.array_join(F.transform(F.array_sort(spans_), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """One row for each document: base and all spans, and how many are live, example or placeholder."""
+    found = survey(docs)
+    span, base = F.struct("start", "rank", "kind", "end"), F.col("kind") != "live"
+    per = judged(found).groupBy("rid").agg(
+        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(_joined(F.collect_list(F.when(base, span))), 256).alias("base_sha256"),
+        _joined(F.collect_list(span)).alias("spans"),
+        F.count_if(F.col("verdict") == "live").alias("n_live"),
+        F.count_if(base & (F.col("verdict") == "example")).alias("n_example"),
+        F.count_if(~base).alias("n_added"),
     )
+    out = found.select("rid", "doc_id").join(per, "rid", "left")
+    texts = {"base_sha256": F.sha2(F.lit(""), 256), "spans": F.lit("")}
+    names = [*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_live", "n_example", "n_added"]
+    return out.select("doc_id", *[F.coalesce(n, texts.get(n, F.lit(0).cast("long"))).alias(n) for n in names])
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with the value of every found span replaced; all columns stay.
 
-    Overlapping spans are merged first. Documents without a finding keep their text as it is.
+    Overlapping spans are merged first. Documents without a match never leave
+    their task; the others meet their spans by row.
     """
-    hits = fenced(scan(docs), F.size("found") > 0)
-    hits = hits.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("found").alias("_found"))
-    both = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_d"]) & (F.xxhash64(text_of()) == hits["_h"]), "left")
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate(
-        "_found",
-        state,
-        lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(
-            F.struct(
-                x["end"].alias("at"),
-                F.concat(s["out"], F.when(x["start"] >= s["at"], F.concat(F.substring("text", s["at"] + 1, x["start"] - s["at"]), F.lit(mask))).otherwise(F.lit(""))).alias("out"),
-            )
-        ),
-    )
-    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.concat(cut["out"], F.substring("text", cut["at"] + 1, F.length("text"))))
-    return both.select(*[text.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns])
+    found = survey(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    by_start = W.partitionBy("rid").orderBy("start", "rank")
+    far = F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1))
+    new = judged(found).withColumn("new", F.when(F.col("start") < far, 0).otherwise(1))
+    islands = new.withColumn("island", F.sum("new").over(by_start.rowsBetween(W.unboundedPreceding, 0))).groupBy("rid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    hits = islands.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("hits"))
+    matched = F.greatest(*[F.size(f"m_{k}") for k in _RANK]) > 0
+    text = F.col("row")["text"]
+
+    def piece(x: Column, i: Column) -> Column:
+        at = F.when(i > 0, F.get("hits", i - 1)["end"]).otherwise(0)
+        return F.concat(F.substring(text, at + 1, x["start"] - at), F.lit(mask))
+
+    last = F.get("hits", F.size("hits") - 1)["end"]
+    cut = F.concat(F.array_join(F.transform("hits", piece), ""), F.substring(text, last + 1, F.length(text)))
+    held = found.where(matched).select("rid", "row").join(hits, "rid", "left")
+    columns = [F.when(F.col("hits").isNull(), text).otherwise(cut).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    return found.where(~matched).select("row.*").unionAll(held.select(*columns))
 
 
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents")).drop("text_hash", "found")
+    return scan(table(spark, sf_dir, "documents"))
 
 
 def _sql_spans(kind: str, pattern: str, group: int, least: int) -> str:
@@ -211,9 +199,9 @@ base AS (
 ), cand AS (
   SELECT * FROM base UNION ALL SELECT * FROM bare
 ), owned AS (
-  SELECT value, count(DISTINCT (doc_id, text)) AS reps, count(DISTINCT coalesce(source, chr(0))) AS owners FROM cand JOIN d USING (k) GROUP BY value
+  SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners FROM cand JOIN d USING (k) GROUP BY value
 ), verdict AS (
-  SELECT value, CASE WHEN NOT ({_LIVE_LOOK}) THEN 'placeholder' WHEN owners <= {MAX_OWNERS} AND reps <= {MAX_REPOSITORIES} THEN 'live' ELSE 'example' END AS verdict FROM owned
+  SELECT value, CASE WHEN NOT ({_LIVE_LOOK}) THEN 'placeholder' WHEN owners <= {MAX_OWNERS} THEN 'live' ELSE 'example' END AS verdict FROM owned
 ), judged AS (
   SELECT cand.*, verdict FROM cand JOIN verdict USING (value)
 ), per AS (
