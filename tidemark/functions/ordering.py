@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import Timeline
@@ -42,9 +43,9 @@ def page(t: Timeline, keys: list[tuple[str, bool]], low: int, high: int) -> Data
 def positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """``df`` sorted, with dense 0-based positions.
 
-    The sort deals the rows by range; the rows before each partition are counted
-    (one number for each partition passes through the driver), so no single
-    task sees all rows. The sorted rows are cut first, as the two passes have to
+    The sort deals the rows by range; the rows before each partition are counted in a
+    table of one row for each partition, which meets the rows by a broadcast, so
+    no single task sees all rows. The sorted rows are cut first, as the two passes have to
     see the same ranges.
     """
     ordered = cut(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
@@ -53,11 +54,9 @@ def positions(df: DataFrame, order: list[Column], name: str = "position") -> Dat
 
 def _dense(df: DataFrame, name: str) -> DataFrame:
     part = F.shiftright("_id", 33)
-    counts = df.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
-    offsets, total = [], 0
-    for r in counts:
-        offsets += [F.lit(r["part"]), F.lit(total)]
-        total += r["n"]
-    if not offsets:
-        return df.withColumn(name, F.col("_id")).drop("_id")
-    return df.withColumn(name, (F.create_map(*offsets)[part] + F.col("_id").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_id")
+    counts = df.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))
+    placed = df.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    position = F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn(name, position.cast("long")).drop("_id", "_part", "_before")

@@ -18,14 +18,21 @@ from pyspark.sql import functions as F
 
 from ..model import Timeline
 
+#: White space at the ends of cells.
+SPACES = " \t\n\x0b\f\r"
 #: Constructs that the linear-time dialect of indicator lists does not have.
-_UNSUPPORTED = re.compile(r"\(\?[=!<](?!\w+>)|\\[1-9]")
+_UNSUPPORTED = re.compile(r"\(\?(?:[=!]|<[=!])|\\[1-9]|\\k<")
 
 
 def text(c: Column | str) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
 
+def stripped(c: Column | str) -> Column:
+    """Without white space at the ends, in time that grows with the length only."""
+    return F.btrim(text(c), F.lit(SPACES))
+
+
 def contains(c: Column | str, needle: str, cased: bool = False) -> Column:
     """Substring; the empty needle is in everything."""
     if not needle:
@@ -34,19 +41,27 @@ def contains(c: Column | str, needle: str, cased: bool = False) -> Column:
 
 
 def check_regex(pattern: str) -> str:
-    """The pattern, or an error before anything runs."""
-    if _UNSUPPORTED.search(pattern):
+    """The pattern as it will run, or an error before anything runs.
+
+    It is compiled by the very class that Spark matches with; named groups may
+    be written ``(?P<name>...)``.
+    """
+    from pyspark import SparkContext
+    from pyspark.errors import IllegalArgumentException
+
+    if _UNSUPPORTED.search(re.sub(r"\\\\", "", pattern)):
         raise ValueError(f"look-around and back-references are not supported: {pattern}")
+    pattern = pattern.replace("(?P<", "(?<")
     try:
-        re.compile(pattern)
-    except re.error as e:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as e:
         raise ValueError(f"invalid regular expression {pattern!r}: {e}") from None
     return pattern
 
 
 def matches(c: Column | str, pattern: str, cased: bool = False) -> Column:
     """Unanchored regular expression search."""
-    check_regex(pattern)
+    pattern = check_regex(pattern)
     return text(c).rlike(pattern if cased else f"(?iu){pattern}")
 
 
@@ -124,6 +139,33 @@ class Condition:
         found = (all_of if self.every else any_of)(on(t, target, test(v)) for v in values)
         return ~found if self.exclude else found
 
+    def terms(self, negated: bool = False) -> list[Term]:
+        """What the condition looks for; nothing if it is excluded."""
+        return [] if self.exclude != negated else [(self.target, v, self.regex) for v in self.values if v.strip()]
+
+
+#: What a filter looks for: field, value, whether it is a regular expression.
+Term = tuple[str, str, bool]
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Conditions joined by ``and`` or ``or``, or one of them under ``not``."""
+
+    op: str
+    parts: tuple[Tree | Condition, ...]
+
+    def to_column(self, t: Timeline, cased: bool = False) -> Column | None:
+        tests = [c for c in (x.to_column(t, cased) for x in self.parts) if c is not None]
+        if not tests:
+            return None
+        return ~tests[0] if self.op == "not" else (all_of if self.op == "and" else any_of)(tests)
+
+    def terms(self, negated: bool = False) -> list[Term]:
+        """The terms under an even number of negations."""
+        negated ^= self.op == "not"
+        return [x for p in self.parts for x in p.terms(negated)]
+
 
 @dataclass(frozen=True)
 class FilterSpec:
@@ -139,7 +181,7 @@ class FilterSpec:
     match_all: bool = True
     quick: dict[str, str] = field(default_factory=dict)
     pick: dict[str, list[str]] = field(default_factory=dict)
-    where: Column | None = None
+    where: Column | Tree | None = None
     cased: bool = False
 
     def to_column(self, t: Timeline) -> Column:
@@ -157,12 +199,21 @@ class FilterSpec:
         tests = [c for c in (x.to_column(t, self.cased) for x in self.conditions) if c is not None]
         if tests:
             parts.append((all_of if self.match_all else any_of)(tests))
-        if self.where is not None:
-            parts.append(F.coalesce(self.where, F.lit(False)))
+        where = self.where.to_column(t, self.cased) if isinstance(self.where, Tree) else self.where
+        if where is not None:
+            parts.append(F.coalesce(where, F.lit(False)))
         parts += [quick(t, t.resolve(k), v, self.cased) for k, v in self.quick.items() if v.strip()]
         parts += [one_of(t.text(t.resolve(k)), v, self.cased) for k, v in self.pick.items() if v]
         return all_of(parts)
 
+    def terms(self) -> list[Term]:
+        """The positive terms of all parts; a condition that is given as a Column has none."""
+        out = self.where.terms() if isinstance(self.where, Tree) else []
+        if self.query and self.query_on is not None:
+            out.append((self.query_on, self.query, self.query_regex))
+        out += [x for c in self.conditions for x in c.terms()]
+        return out + [(k, v, False) for k, v in self.quick.items() if v.strip() not in ("", "*")]
+
     @classmethod
     def from_json(cls, saved: str, t: Timeline) -> FilterSpec:
         """A saved view for another timeline: columns by exact title, those it lacks are dropped."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Timeline
-from .predicates import text
+from .predicates import stripped, text
 
 #: Layouts in the order in which they are tried, as (shape of the cell, Spark pattern).
 _DATE, _TIME, _FRACTION = r"\d{4}-\d{1,2}-\d{1,2}", r"\d{1,2}:\d{1,2}:\d{1,2}", r"(\.\d{1,9})?"
@@ -39,7 +39,7 @@ SAMPLE, RATE, NAMED_RATE, BONUS = 200, 0.6, 0.3, 0.15
 
 def parse_time(c: Column | str) -> Column:
     """The instant of a cell in any known spelling, in UTC where it names no offset; null if there is none."""
-    cell = F.regexp_replace(text(c), r"^\s+|\s+$", "")
+    cell = stripped(c)
     # Names of weekdays and of zones after the clock are left out.
     plain = F.regexp_replace(cell, "^" + _DAY, "")
     plain = F.regexp_replace(plain, r"(:\d{1,2}) [A-Z]{3,4} (\d{4})$", "$1 $2")
@@ -58,8 +58,9 @@ def parse_time(c: Column | str) -> Column:
 _PERIODS = [
     (re.compile(r"(\d{4})$"), "year"),
     (re.compile(r"(\d{4})-(\d{1,2})$"), "month"),
-    (re.compile(r"(\d{4})-(\d{1,2})-(\d{1,2})$"), "day"),
+    (re.compile(r"(\d{4})([-/])(\d{1,2})\2(\d{1,2})$"), "day"),
     (re.compile(r"(\d{4})-(\d{1,2})-(\d{1,2})[ T](\d{1,2}):(\d{1,2})$"), "minute"),
+    (re.compile(r"(\d{4})/(\d{1,2})/(\d{1,2}) (\d{1,2}):(\d{1,2})$"), "minute"),
 ]
 _FULL = ["%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y %H:%M:%S", "%m/%d/%Y %I:%M:%S %p", "%d/%m/%Y %H:%M:%S", "%m/%d/%Y %H:%M", "%d-%b-%Y %H:%M:%S", "%b %d, %Y %H:%M:%S", "%Y/%m/%d %H:%M:%S"]
 
@@ -69,7 +70,7 @@ def period(literal: str) -> tuple[datetime, datetime]:
     literal = literal.strip()
     for pattern, unit in _PERIODS:
         if m := pattern.match(literal):
-            n = [int(x) for x in m.groups()]
+            n = [int(x) for x in m.groups() if x not in "-/"]
             start = datetime(n[0], *(n[1:] or [1]), *([1] if len(n) == 2 else []), *([] if len(n) > 1 else [1]))
             if unit == "year":
                 return start, datetime(n[0] + 1, 1, 1)

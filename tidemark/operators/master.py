@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import text
+from ..functions.predicates import stripped, text
 from ..functions.times import time_of
 from ..model import TAG_SEPARATOR, Timeline
 from .overlay import COMMENT_HEADERS, TAG_HEADERS
@@ -17,7 +17,7 @@ SUMMARY_LENGTH = 400
 
 def summary(cells: Column) -> Column:
     """Trimmed non-empty cells joined by bars, cut after 400 characters."""
-    trimmed = F.filter(F.transform(cells, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    trimmed = F.filter(F.transform(cells, lambda x: stripped(x)), lambda x: x != "")
     joined = F.array_join(trimmed, " | ")
     return F.when(F.length(joined) > SUMMARY_LENGTH, F.concat(F.left(joined, F.lit(SUMMARY_LENGTH)), F.lit("…"))).otherwise(joined)
 
@@ -85,3 +85,8 @@ def as_timeline(grid: DataFrame, columns: list[str]) -> Timeline:
     """The grid as an ordinary timeline; rows are named by their source keys."""
     tags = F.filter(F.split("tags", TAG_SEPARATOR), lambda x: x != "")
     return Timeline(grid.withColumn("tags", tags).withColumn("comment", text("comment")), columns, time_column="time")
+
+
+def master_tags(t: Timeline) -> DataFrame:
+    """The tags of a master's rows as a table, for its counts and palette."""
+    return t.df.select("timeline_id", "row_id", F.explode("tags").alias("tag"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.predicates import filled
+from ..functions.predicates import filled, stripped
 from ..model import DEFAULT_COLOR, NO_COLOR, Timeline
 
 KEY = ["timeline_id", "row_id"]
@@ -118,7 +118,7 @@ def adoptable(headers: list[str]) -> tuple[int | None, int | None]:
 
 def split_tags(c: Column) -> Column:
     """Tags of a cell: split at commas and semicolons, trimmed, without blanks and ``-``, sorted and distinct."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "[,;]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "[,;]"), stripped)
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: (x != "") & (x != "-"))))
 
 
@@ -130,7 +130,7 @@ def adopt(t: Timeline) -> Timeline:
         df = df.withColumn("tags", split_tags(F.col(f"`{t.columns[tag]}`")))
         adopted.append(t.columns[tag])
     if comment is not None:
-        df = df.withColumn("comment", F.regexp_replace(F.coalesce(F.col(f"`{t.columns[comment]}`"), F.lit("")), r"^\s+|\s+$", ""))
+        df = df.withColumn("comment", stripped(F.col(f"`{t.columns[comment]}`")))
         adopted.append(t.columns[comment])
     return Timeline(df, t.columns, t.titles, t.time_column, adopted, t.timeline_id, t.name)
 
