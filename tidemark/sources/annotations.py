@@ -60,10 +60,25 @@ def read_case(spark: SparkSession, folder: str, timeline_id: int) -> dict[str, D
     return {"tags": tags, "comments": own("comments", COMMENTS), "edits": own("edits", EDITS), "tag_defs": spark.read.schema(TAG_DEFS).parquet(f"{folder}/tag_defs")}
 
 
-def write_case(folder: str, **tables: DataFrame) -> None:
-    """Replaces the annotations of the timelines that occur in each table, and of no other."""
+def write_case(folder: str, *, timelines: list[int] | None = None, **tables: DataFrame) -> None:
+    """Replaces the annotations of the timelines that occur in each table, and of no other.
+
+    A timeline named in ``timelines`` is replaced in every table that is given
+    even where it has no rows left: its old partition is removed.
+    """
     for name, df in tables.items():
         writer = df.write.mode("overwrite")
         if "timeline_id" in df.columns:
             writer = writer.partitionBy("timeline_id").option("partitionOverwriteMode", "dynamic")
         writer.parquet(f"{folder}/{name}")
+        if timelines and "timeline_id" in df.columns:
+            left = {r["timeline_id"] for r in df.where(F.col("timeline_id").isin(timelines)).select("timeline_id").distinct().collect()}
+            for i in set(timelines) - left:
+                _remove(df.sparkSession, f"{folder}/{name}/timeline_id={i}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """A folder removed through Hadoop's file systems, wherever it lies."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(conf).delete(found, True)

@@ -12,11 +12,13 @@ from ..model import Timeline, timeline
 #: Delimiters in the order of ties.
 DELIMITERS = [",", "\t", ";", "|"]
 _RAW, _EXTRA = "_raw", "_extra"
+#: A quoted part. Possessive, as Java else goes one call deeper for each character of a long cell.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 
 
 def sniff(spark: SparkSession, path: str) -> str:
     """The delimiter that is most frequent outside quotes in the first line."""
-    lines = spark.read.text(path).limit(1).select(F.regexp_replace("value", r'"(?:[^"]|"")*"?', "").alias("line"))
+    lines = spark.read.text(path).limit(1).select(F.regexp_replace("value", _QUOTED + '?', "").alias("line"))
     counts = lines.select(*[(F.length("line") - F.length(F.replace("line", F.lit(d), F.lit("")))).alias(f"n{i}") for i, d in enumerate(DELIMITERS)]).first()
     if counts is None:
         raise ValueError(f"{path} is empty")
@@ -33,8 +35,8 @@ def _options(delimiter: str, multi_line: bool) -> dict:
     return {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": multi_line, "header": False, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "\u0000", "emptyValue": ""}
 
 
-def with_row_ids(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """``df`` of a file scan with dense 0-based ``row_id`` in the order of (file, block, row).
+def with_row_ids(df: DataFrame, order: list[str] | None = None, headers: bool = False) -> DataFrame:
+    """``df`` of a file scan with dense 0-based ``row_id`` in the order of (file, block, row), without the first row of each file if that is its header.
 
     Rows of a block are read one after the other, so the running id minus the
     least of its block is the place in the block; the rows of earlier blocks are
@@ -42,14 +44,16 @@ def with_row_ids(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """
     keys = order or ["_file", "_block"]
     marked = df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()})
-    blocks = marked.groupBy(*keys).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    head = (F.col("_block") == 0).cast("long") if headers else F.lit(0)
+    blocks = marked.groupBy(*keys).agg(F.min("_id").alias("_first"), (F.count(F.lit(1)) - F.max(head)).alias("_n"), F.max(head).alias("_head"))
     before = F.coalesce(F.sum("_n").over(W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = blocks.select(*keys, "_first", before.alias("_before"))
-    return marked.join(offsets, keys).withColumn("row_id", F.col("_before") + F.col("_id") - F.col("_first")).drop("_file", "_block", "_id", "_first", "_before")
+    offsets = blocks.select(*keys, (F.col("_first") + F.col("_head")).alias("_first"), before.alias("_before"))
+    rows = marked.join(offsets, keys).where(F.col("_id") >= F.col("_first"))
+    return rows.withColumn("row_id", F.col("_before") + F.col("_id") - F.col("_first")).drop("_file", "_block", "_id", "_first", "_before")
 
 
 def read_timeline(spark: SparkSession, path: str, delimiter: str | None = None, **more) -> Timeline:
-    """A timeline from delimited files whose first record holds the headers.
+    """A timeline from delimited files, each with the headers in its first record.
 
     Columns get unique internal names (c0, c1, ...), the headers stay as titles.
     Short records are filled with empty cells; cells beyond the header are kept
@@ -65,10 +69,10 @@ def read_timeline(spark: SparkSession, path: str, delimiter: str | None = None,
     columns = [f"c{i}" for i in range(len(titles))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _RAW]])
     rows = spark.read.options(**options, columnNameOfCorruptRecord=_RAW).schema(schema).csv(path)
-    rows = with_row_ids(rows.select("*", "_metadata")).drop("_metadata").where("row_id > 0").withColumn("row_id", F.col("row_id") - 1)
-    quoted = r'(?:"(?:[^"]|"")*"|[^' + ("\\t" if delimiter == "\t" else "\\" + delimiter) + r"])*"
-    cells = F.split(F.regexp_replace(F.regexp_replace(_RAW, "(" + quoted + ")(" + ("\\t" if delimiter == "\t" else "\\" + delimiter) + "|$)", "$1\u0001"), "\u0001+$", ""), "\u0001")
-    bare = F.transform(cells, lambda x: F.regexp_replace(F.regexp_replace(x, r'^"(.*)"$', "$1"), '""', '"'))
+    rows = with_row_ids(rows.select("*", "_metadata"), headers=True).drop("_metadata")
+    mark = "\\t" if delimiter == "\t" else "\\" + delimiter
+    cells = F.regexp_extract_all(F.concat(F.lit(delimiter), _RAW), F.lit(rf"""{mark}((?:[^"{mark}]++|{_QUOTED}|")*+)"""), F.lit(1))
+    bare = F.transform(cells, lambda x: F.regexp_replace(F.regexp_replace(x, r'(?s)^"(.*)"$', "$1"), '""', '"'))
     extra = F.when(F.col(_RAW).isNotNull() & (F.size(cells) > len(columns)), F.slice(bare, len(columns) + 1, 1 << 20)).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn(_EXTRA, extra).drop(_RAW)
     rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
