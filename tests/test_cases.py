@@ -193,3 +193,114 @@ def test_distinct_values_are_cut_in_row_order(spark):
     t = delimited.in_memory(spark, ["v"], [["b"], ["a"], ["b"], ["c"]])
     got = profile.distinct_values(t, "v", 2).collect()
     assert sorted(r["value"] for r in got) == ["a", "b"] and all(r["truncated"] for r in got)
+
+
+LONG = 100_000
+
+
+@pytest.mark.parametrize("unit", ["a.", "/a", "a-", "a@", "\\\\a", "1.1.", "ab:", "a b ", " ", "a.b@"])
+def test_extraction_survives_long_cells(spark, unit):
+    """A run of any sort is read in time that grows with its length, and no call stack grows with it."""
+    cell = "see 10.0.0.1 " + unit * (LONG // len(unit)) + " and bob@evil.com x"
+    got = spark.createDataFrame([(cell,)], "c string").select(extract.found("c", fallback=False).alias("f")).first()["f"]
+    assert ("ipv4", "10.0.0.1") in [tuple(x) for x in got]
+    assert unit == "a b " or unit == " " or ("email", "bob@evil.com") in [tuple(x) for x in got]
+
+
+@pytest.mark.parametrize(
+    ("cell", "kind", "wanted"),
+    [
+        ("via 2001:db8:1:2 now", "ipv6", ["2001:db8:1:2"]),
+        ("999.300.1.2:80", "ipv4", ["999.300.1.2:80"]),
+        ("ls /home/~bob/a%20b+c/é end", "unix_path", ["/home/~bob/a%20b+c/é"]),
+        ("C:\\a\\b,c:\\d;x", "windows_path", ["C:\\a\\b", "c:\\d"]),
+        ("x" * 64 + ".com " + "y" * 63 + ".org", "domain", ["y" * 63 + ".org"]),
+        ("foo.com.1x -a..b.net", "domain", ["foo.com", "b.net"]),
+        ("..a.b@c.com.x@y.org a@b@c.de", "email", ["a.b@c.com", ".x@y.org", "b@c.de"]),
+        ("{0a1b2c3d-0000-1111-2222-0123456789ab}", "guid", ["0a1b2c3d-0000-1111-2222-0123456789ab"]),
+    ],
+)
+def test_extraction_of_each_kind(spark, cell, kind, wanted):
+    got = spark.createDataFrame([(cell,)], "c string").select(extract.found("c", fallback=False).alias("f")).first()["f"]
+    assert [x["text"] for x in got if x["kind"] == kind] == wanted
+
+
+def test_extraction_equals_the_plain_patterns(spark):
+    """The patterns that are written otherwise for Java find what the plain ones find."""
+    import random
+    import re
+
+    rng = random.Random(2)
+    cells = ["".join(rng.choice(["a", "b1", ".", "..", "-", "@", "_", "%", " ", "com", "x.org", "é"]) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    rows = spark.createDataFrame([(c,) for c in cells], "c string").select("c", extract.found("c", fallback=False).alias("f")).collect()
+    plain = dict(extract.DETECTORS)
+    for r in rows:
+        seen = set()
+        for kind, _ in extract.DETECTORS:
+            wanted = [t for t in dict.fromkeys(m.strip(extract._EDGES) for m in (x[0] for x in re.finditer(plain[kind], r["c"]))) if t and t not in seen]
+            assert [x["text"] for x in r["f"] if x["kind"] == kind] == wanted, (r["c"], kind)
+            seen |= set(wanted)
+
+
+def test_reader_survives_long_records(spark, tmp_path):
+    long = "x" * LONG
+    (tmp_path / "wide.csv").write_text(f'a,b\n1,2,"{long}"\n3,4,{long},"q ""x"" r",\n5\n')
+    got = delimited.read_timeline(spark, str(tmp_path / "wide.csv")).df.orderBy("row_id").collect()
+    assert [len(x) for x in got[0]["_extra"]] == [LONG] and got[1]["_extra"] == [long, 'q "x" r', ""] and got[2]["_extra"] == []
+    (tmp_path / "head.csv").write_text('"' + 'ab""c' * (LONG // 5) + '";b\n1;2\n')
+    t = delimited.read_timeline(spark, str(tmp_path / "head.csv"))
+    assert len(t.title("c0")) == LONG // 5 * 4 and t.df.count() == 1 and delimited.sniff(spark, str(tmp_path / "head.csv")) == ";"
+
+
+def test_reader_of_several_files_with_headers(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part-{k}.csv").write_text("a,b\n" + "".join(f"{10 * k + i},x\n" for i in range(k + 1)))
+    got = delimited.read_timeline(spark, str(tmp_path)).df.orderBy("row_id").collect()
+    assert [(r["row_id"], r["c0"]) for r in got] == list(enumerate(["0", "10", "11", "20", "21", "22"]))
+
+
+def test_written_case_can_be_cleared(spark, tmp_path):
+    tags = spark.createDataFrame([(0, 1, "a"), (1, 1, "b")], TAGS)
+    annotations.write_case(str(tmp_path / "c"), tags=tags)
+    annotations.write_case(str(tmp_path / "c"), timelines=[0], tags=tags.limit(0))
+    assert annotations.read_case(spark, str(tmp_path / "c"), 0)["tags"].count() == 0 if (tmp_path / "c" / "comments").exists() else True
+    assert {r["timeline_id"] for r in spark.read.schema(TAGS).parquet(str(tmp_path / "c" / "tags")).collect()} == {1}
+
+
+def test_regular_expressions_are_checked_by_what_runs_them(spark):
+    t = delimited.in_memory(spark, ["v"], [["abc"], ["É1"], ["xx"]])
+    assert [r["row_id"] for r in t.df.where(P.matches("c0", r"(?P<n>a)b")).collect()] == [0]
+    assert [r["row_id"] for r in t.df.where(P.matches("c0", r"^\p{L}\d$")).collect()] == [1]
+    for bad in ("(", "[", r"(?<=a)b", r"(a)\1", r"(?<n>a)\k<n>", "a{2,1}", "*"):
+        with pytest.raises(ValueError):
+            P.check_regex(bad)
+    assert P.check_regex(r"a\\1") and P.check_regex("(?<n>a)")
+
+
+def test_spans_of_a_filter(spark):
+    t = delimited.in_memory(spark, ["Host", "Summary"], [["ws1", "ran /tmp/evil and /tmp/other"], ["tmpish host", "aaaa"]])
+    got = lambda **spec: sorted((r["row_id"], r["column"], r["start"], r["end"]) for r in profile.highlights(t, P.FilterSpec(**spec)).collect())
+    assert got(conditions=[P.Condition("Summary", ["/tmp/"], regex=True)]) == [(0, "c1", 4, 9), (0, "c1", 18, 23)]
+    assert got(query="EVIL") == [(0, "c1", 9, 13)]
+    assert got(where=P.Tree("not", (P.Condition("any", ["tmp"]),))) == []
+    assert got(where=P.Tree("not", (P.Tree("not", (P.Condition("Summary", ["evil"]),)),))) == [(0, "c1", 9, 13)]
+    assert got(where=P.Tree("not", (P.Condition("Summary", ["evil"], exclude=True),))) == [(0, "c1", 9, 13)]
+    assert got(quick={"Summary": "other", "Host": "*"}) == [(0, "c1", 23, 28)]
+    assert got(conditions=[P.Condition("any", ["aa", "aaa"])]) == [(1, "c1", 0, 4)]
+    assert got(conditions=[P.Condition("any", ["evil|x*"], regex=True)]) == [(0, "c1", 9, 13)]
+    tree = P.Tree("or", (P.Condition("Host", ["ws1"]), P.Tree("not", (P.Condition("Summary", ["aa"]),))))
+    assert [r["row_id"] for r in P.FilterSpec(where=tree).apply(t).df.collect()] == [0]
+
+
+def test_long_lists_with_every_kind_of_line(spark, monkeypatch):
+    """Literals in any data column, in several blocks and passes; bad expressions are left out."""
+    t = delimited.in_memory(spark, ["Summary", "Host"], [["alpha beta", "DC1"], ["x\ty", "ws2"], ["gamma alpha", ""], ["", "nothing"]])
+    rows = [("l", 1, "plain", "dc1", "host"), ("l", 2, "plain", "Alpha", "a"), ("m", 1, "plain", "alpha", "b"), ("m", 2, "regex", "^ws[0-9]$", "r"), ("m", 3, "regex", "(", ""), ("n", 1, "rule", "", "rule"), ("l", 9, "plain", "alpha", "late"), ("l", 8, "plain", "x\ty", "tab")]
+    lists = spark.createDataFrame(rows, "list string, line int, kind string, value string, label string")
+    rules = {("n", 1): P.filled("c1")}
+    want = {(0, "l", 1, "host"), (0, "m", 1, "b"), (0, "n", 1, "rule"), (1, "l", 8, "tab"), (1, "m", 2, "r"), (1, "n", 1, "rule"), (2, "l", 2, "a"), (2, "m", 1, "b"), (3, "n", 1, "rule")}
+    assert {tuple(r) for r in indicators.scan_many(t, lists, rules).collect()} == want
+    monkeypatch.setattr(indicators, "BROADCAST_BYTES", 40)
+    monkeypatch.setattr(indicators, "AUTOMATON_BYTES", 20)
+    assert {tuple(r) for r in indicators.scan_many(t, lists, rules).collect()} == want
+    assert indicators.scan_many(t, lists.limit(0)).count() == 0

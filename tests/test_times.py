@@ -95,3 +95,11 @@ def test_detects_the_time_column(spark):
     assert T.detect_time_column(t.df, t.columns).first()["time_column"] is None
     named = t.df.select("row_id", F.col("c0").alias("Host"), F.col("c1").alias("Seen time"))
     assert T.detect_time_column(named, ["Host", "Seen time"]).first()["time_column"] == "Seen time"
+
+
+def test_periods_with_slashes():
+    assert T.period("2020/06/15") == (datetime(2020, 6, 15), datetime(2020, 6, 16))
+    assert T.period("2020/06/15 10:30") == (datetime(2020, 6, 15, 10, 30), datetime(2020, 6, 15, 10, 31))
+    for bad in ("2020/06-15", "2020/06/15T10:30"):
+        with pytest.raises(ValueError):
+            T.period(bad)

@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.predicates import any_of, check_regex, contains, matches, text
-from ..model import Timeline
+from ..functions.predicates import any_of, check_regex, contains, matches, stripped, text
+from ..model import INDICATORS, Timeline
 
-#: Lines up to here become one CASE expression; literals beyond it are joined.
-CASE_LINES = 200
 #: Lines of one generated expression, so that its code stays within what the JVM compiles.
 CHUNK = 50
-#: Bytes of literals that are broadcast; more go by the rarest-word join alone, in blocks of this size for the rest.
-BROADCAST_BYTES = 4_000_000
+#: Bytes of literals that are broadcast for one pass over the text, and about those of one automaton (some fifty times as many in memory).
+BROADCAST_BYTES, AUTOMATON_BYTES = 64_000_000, 4_000_000
 PREFIX = "ioc:"
 
 
@@ -27,7 +27,7 @@ def classify(lines: DataFrame) -> DataFrame:
     ``## text`` is a label, ``# text`` a note, ``/.../`` a regular expression, a
     line in backquotes a rule, anything else plain; values are trimmed.
     """
-    t = F.regexp_replace(text("text"), r"^\s+|\s+$", "")
+    t = stripped("text")
     kind = (
         F.when(t == "", "blank")
         .when(t.startswith("##"), "label")
@@ -129,33 +129,73 @@ def scan(t: Timeline, indicators: list[Indicator]) -> DataFrame:
     return found.select("row_id", "h.list", "h.hit.line", "h.hit.label")
 
 
-def scan_many(t: Timeline, indicators: DataFrame) -> DataFrame:
-    """As :func:`scan`, for plain literals in numbers that no expression holds.
+def _blocks(needles: DataFrame) -> Iterator[list[list[tuple[str, str, int]]]]:
+    """The needles (needle, list, line) in parts of at most ``BROADCAST_BYTES``, each as blocks of about ``AUTOMATON_BYTES``, one part at a time."""
+    size = needles.agg(F.coalesce(F.sum(F.octet_length("needle") + F.octet_length("list") + 16), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-size // BROADCAST_BYTES))
+    part = F.pmod(F.xxhash64("needle"), F.lit(parts))
+    for k in range(parts):
+        blocks: list[list[tuple[str, str, int]]] = [[]]
+        held = 0
+        for r in needles.where(part == k).collect():
+            if held >= AUTOMATON_BYTES:
+                blocks, held = [*blocks, []], 0
+            blocks[-1].append((r["needle"], r["list"], r["line"]))
+            held += len(r["needle"].encode())
+        yield [b for b in blocks if b]
 
-    A literal's inner words (with white space on both sides inside it) are whole
-    words of every text that contains it, so literals meet texts by their rarest
-    inner word and are then compared. Literals without an inner word are
-    broadcast if they are few bytes; that size is checked.
+
+def _literal_hits(cells: DataFrame, blocks: list[list[tuple[str, str, int]]]) -> DataFrame:
+    """row_id, list and line of the first needle of each list in any cell of (row_id, cells); one narrow pass.
+
+    A task reads its rows once and takes the blocks one by one, so it holds one automaton.
+    """
+    sent = cells.sparkSession.sparkContext.broadcast(blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        held = list(batches)
+        for block in sent.value:
+            automaton, places = ahocorasick.Automaton(), {}
+            for needle, name, line in block:
+                places.setdefault(needle, []).append((name, line))
+            for needle, at in places.items():
+                automaton.add_word(needle, at)
+            automaton.make_automaton()
+            for batch in held:
+                out: list[tuple[int, str, int]] = []
+                for row, texts in zip(batch.column("row_id").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                    first: dict[str, int] = {}
+                    seen = {id(at): at for text_ in texts for _, at in automaton.iter(text_)}
+                    for at in seen.values():
+                        for name, line in at:
+                            first[name] = min(line, first.get(name, line))
+                    out += [(row, name, line) for name, line in first.items()]
+                columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32()), strict=True)], ["row_id", "list", "line"])
+
+    return cells.mapInArrow(run, "row_id bigint, list string, line int")
+
+
+def scan_many(t: Timeline, indicators: DataFrame, rules: dict[tuple[str, int], Column] | None = None) -> DataFrame:
+    """As :func:`scan`, for lists that no expression holds.
+
+    Literals are sought in all data columns by automata over blocks of checked
+    size: nothing but hits is shuffled, no row meets a literal that it does not
+    hold, and the text is read once for each ``BROADCAST_BYTES`` of literals.
+    Regular expressions and rules, which have no such index, run as :func:`scan`
+    runs them.
     """
-    spark = t.df.sparkSession
-    needles = indicators.where("kind = 'plain' AND value <> ''").select("list", "line", F.lower("value").alias("needle"), "label")
-    inner = F.filter(F.split(F.regexp_replace("needle", r"^\S*\s+|\s+\S*$", ""), r"\s+"), lambda w: w != "")
-    worded = needles.withColumn("words", F.when(F.col("needle").rlike(r"\s\S+\s"), inner).otherwise(F.array().cast("array<string>")))
-    cells = t.df.select("row_id", F.concat_ws("\n", *[F.lower(t.text(c)) for c in t.data_columns]).alias("text"))
-    words = cells.select("row_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    wanted = worded.select(F.explode("words").alias("word")).distinct()
-    counts = words.join(wanted, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    candidates = worded.select("list", "line", "needle", "label", F.explode("words").alias("word")).join(counts, "word", "left")
-    rarest = candidates.groupBy("list", "line", "needle", "label").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
-    by_word = words.join(rarest, "word").where(F.contains("text", F.col("needle"))).select("row_id", "list", "line", "label")
-    rest = worded.where(F.size("words") == 0).drop("words")
-    size = rest.agg(F.coalesce(F.sum(F.octet_length("needle")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-size // BROADCAST_BYTES))
-    found = by_word
-    for b in range(blocks):
-        block = rest.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b)
-        found = found.unionByName(cells.join(F.broadcast(block), F.contains(cells["text"], block["needle"])).select("row_id", "list", "line", "label"))
-    return found.groupBy("row_id", "list").agg(F.min("line").alias("line"), F.min_by("label", "line").alias("label"))
+    needles = indicators.where("kind = 'plain' AND value <> ''").select(F.lower("value").alias("needle"), "list", "line").distinct()
+    cells = t.df.select("row_id", F.array(*[F.lower(t.text(c)) for c in t.data_columns]).alias("cells"))
+    found = scan(t, compiled(indicators.where("kind IN ('regex', 'rule')"), rules)).select("row_id", "list", "line")
+    for blocks in _blocks(needles):
+        if blocks:
+            found = found.unionByName(_literal_hits(cells, blocks))
+    first = found.groupBy("row_id", "list").agg(F.min("line").alias("line"))
+    labels = indicators.groupBy("list", "line").agg(F.first("label").alias("label"))
+    return first.join(labels, ["list", "line"]).select("row_id", "list", "line", "label")
 
 
 def hit_tags(hits: DataFrame, timeline_id: int = 0) -> DataFrame:
@@ -182,7 +222,7 @@ def run_all(t: Timeline, hits: DataFrame) -> DataFrame:
 
 def list_names(lists: DataFrame) -> DataFrame:
     """Trimmed names, one for those that differ in case only (the first by name), with their number of lines."""
-    named = lists.withColumn("name", F.regexp_replace("list", r"^\s+|\s+$", "")).where("name <> ''")
+    named = lists.withColumn("name", stripped("list")).where("name <> ''")
     return named.groupBy(F.lower("name").alias("key")).agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("lines")).select("name", "lines")
 
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.predicates import check_regex, contains, text
+from ..functions.predicates import FilterSpec, Term, check_regex, contains, text
 from ..model import Timeline
 
 DISTINCT_LIMIT = 2000
@@ -40,48 +37,53 @@ def hits_per_list(hits: DataFrame) -> DataFrame:
     return hits.groupBy("list").agg(F.count_distinct("row_id").alias("n_rows"))
 
 
-def literal_spans(c: Column | str, needle: str) -> Column:
-    """(start, end) of every occurrence that does not overlap the one before, ignoring case, in characters."""
-    n = len(needle)
-    pieces = F.transform(F.split(F.lower(text(c)), "\\Q" + needle.lower() + "\\E", -1), lambda x: F.length(x))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    all_ = F.aggregate(
-        pieces,
-        state,
-        lambda s, x: F.struct((s["at"] + x + n).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x).alias("start"), (s["at"] + x + n).alias("end")))).alias("out")),
-        lambda s: s["out"],
-    )
-    # The last piece ends the cell and starts no match.
-    return F.slice(all_, 1, F.size(all_) - 1)
-
+#: Characters that mark matches; where a cell has them itself they are read as another control character.
+_START, _END, _OTHER = "\u0001", "\u0002", "\u0003"
 
-def regex_spans(df: DataFrame, key: str, column: str, pattern: str) -> DataFrame:
-    """key, start, end of every non-empty match, found in Arrow batches as Spark has no offsets for expressions."""
-    import re
 
-    search = re.compile(check_regex(pattern), re.IGNORECASE)
+def _marked(c: Column, pattern: str) -> Column:
+    """A cell cut before each match; every part but the first is a match, a mark and what follows."""
+    plain = F.translate(text(c), _START + _END, _OTHER + _OTHER)
+    return F.split(F.regexp_replace(plain, pattern, f"{_START}$0{_END}"), _START, -1)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, m.start(), m.end()) for k, v in zip(f[key], f[column], strict=True) for m in search.finditer(v or "") if m.end() > m.start()]
-            yield pd.DataFrame(rows, columns=[key, "start", "end"])
 
-    return df.select(F.col(key).cast("long").alias(key), column).mapInPandas(run, f"{key} bigint, start int, end int")
+def _quoted(needle: str) -> str:
+    return "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def _named(column: Column, s: Column) -> Column:
-    return F.struct(column, s["start"].alias("start"), s["end"].alias("end"))
+def spans(t: Timeline, terms: list[Term] | list[tuple[str, str]]) -> DataFrame:
+    """row_id, column, start, end of every non-empty match of each (field, value) or (field, value, is regex) term, in characters, ignoring case.
 
-
-def spans(t: Timeline, terms: list[tuple[str, str]]) -> DataFrame:
-    """row_id, column, start, end for each (field, literal) term; ``any`` looks into every data column."""
+    ``any`` looks into every data column. A match is a row: running lengths give
+    the places, so the work grows with the matches of a cell.
+    """
     parts = []
-    for name, needle in terms:
-        target = t.resolve(name)
+    for name, value, *regex in terms:
+        target = t.resolve(name) if name != "data" else "any"
+        pattern = "(?iu)" + (check_regex(value) if regex and regex[0] else _quoted(value))
         for c in t.data_columns if target == "any" else [target]:
-            named = F.lit(c).alias("column")
-            parts.append(F.transform(literal_spans(t.text(c), needle), lambda s: _named(named, s)))
-    return t.df.select("row_id", F.explode(F.concat(*parts)).alias("s")).select("row_id", "s.column", "s.start", "s.end")
+            parts.append(F.struct(F.lit(c).alias("column"), F.lit(len(parts)).alias("term"), _marked(t.text(c), pattern).alias("parts")))
+    if not parts:
+        return t.df.select("row_id", F.lit("").alias("column"), F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
+    hit = F.filter(F.array(*parts), lambda x: F.size(x["parts"]) > 1)
+    cells = t.df.select("row_id", F.explode(hit).alias("x"))
+    rows = cells.select("row_id", "x.column", "x.term", F.posexplode("x.parts").alias("i", "part"))
+    width = F.length("part") - F.when(F.col("i") > 0, 1).otherwise(0)
+    before = W.partitionBy("row_id", "column", "term").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("width", width).withColumn("start", F.sum("width").over(before).cast("int")).where("i > 0")
+    placed = placed.withColumn("end", (F.col("start") + F.length(F.substring_index("part", _END, 1))).cast("int"))
+    return placed.where(F.col("end") > F.col("start")).select("row_id", "column", "start", "end")
+
+
+def regex_spans(df: DataFrame, key: str, column: str, pattern: str) -> DataFrame:
+    """key, start, end of every non-empty match in one column of any frame."""
+    found = spans(Timeline(df.select(F.col(key).cast("long").alias("row_id"), column), [column]), [(column, pattern, True)])
+    return found.select(F.col("row_id").alias(key), "start", "end")
+
+
+def highlights(t: Timeline, spec: FilterSpec) -> DataFrame:
+    """row_id, column, start, end of what a filter spec looks for, overlapping and touching spans joined; what is excluded is not shown."""
+    return merge_spans(spans(t, spec.terms()), ["row_id", "column"])
 
 
 def merge_spans(found: DataFrame, keys: list[str]) -> DataFrame:

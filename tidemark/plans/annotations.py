@@ -185,14 +185,14 @@ R.add("a2_tag_counts", a2_tag_counts, f"{_T} SELECT tag, count(*) AS n FROM tag_
 
 def a3_distinct_values(spark, sf_dir):
     """Sizes of documents: more different ones than the limit at larger scales."""
-    return A.distinct_values(base.docs(spark, sf_dir), "n_chars", 500)
+    return A.distinct_values(base.docs(spark, sf_dir), "n_chars")
 
 
 R.add(
     "a3_distinct_values",
     a3_distinct_values,
     f"""{DOCS_SQL}, f AS (SELECT n_chars AS value, min(row_id) AS first FROM docs GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY first) AS k, count(*) OVER () AS total FROM f)
-SELECT value, total > 500 AS truncated FROM n WHERE k <= 500""",
+SELECT value, total > {A.DISTINCT_LIMIT} AS truncated FROM n WHERE k <= {A.DISTINCT_LIMIT}""",
 )
 
 
@@ -231,6 +231,18 @@ R.add(
 )
 
 
+def h1_filter_spans(spark, sf_dir):
+    """What a filter looks for, and nothing of what it excludes: an odd number of negations hides a term, an even one does not."""
+    t = base.docs(spark, sf_dir)
+    hidden = P.Tree("not", (P.Condition("Summary", ["und"]), P.Condition("lang", ["e"], exclude=True)))
+    spec = P.FilterSpec(where=P.Tree("and", (P.Condition("Summary", ["Token"]), hidden)), conditions=[P.Condition("any", ["the"], exclude=True)], quick={"source": "src1", "comment": "*"})
+    return A.highlights(t, spec)
+
+
+_H1 = " UNION ALL ".join(_SPANS_SQL.format(c=c, v=v, n=len(v)) for c, v in [("text", "token"), ("lang", "e"), ("source", "src1")])
+R.add("h1_filter_spans", h1_filter_spans, f"{DOCS_SQL} {_H1}")
+
+
 def h2_merge_spans(spark, sf_dir):
     """Spans of overlapping needles in a column, joined."""
     found = A.spans(base.docs(spark, sf_dir), [("Summary", "the"), ("Summary", "he"), ("Summary", "er")])

@@ -11,7 +11,8 @@ from ..functions.ordering import order_by, positions
 from ..functions.predicates import has_tag
 from ..model import Timeline
 from ..operators import master as M
-from ..operators.overlay import apply_edits
+from ..operators.overlay import apply_edits, extend_palette
+from ..operators.profile import tag_counts
 from ..sources import annotations as N
 from ..sources import delimited as D
 from ..sources import exports as E
@@ -152,14 +153,23 @@ R.add("m5_m6_time_and_summary", m5_m6_time_and_summary, f"SELECT event_id AS row
 
 
 def m7_master_as_timeline(spark, sf_dir):
-    """Filters and sorts work on the master as on any timeline."""
+    """Filters, sorts, tag counts and the palette work on the master as on any timeline."""
     parts = _snapshots(spark, sf_dir, _events(spark, sf_dir), _orders(spark, sf_dir))
     grid = M.aligned(parts, _case_tags(spark, sf_dir), _case_comments(spark, sf_dir), _timelines(spark, *[t for t, _ in parts]))
     t = M.as_timeline(grid, ["time", "timeline", "Event"])
-    return t.df.where(has_tag("Bad")).orderBy(*order_by(t, [("Event", False), ("time", True)])).limit(100).select("timeline", "row_id", "Event")
+    palette = extend_palette(base.palette(spark), _case_tags(spark, sf_dir))
+    known = tag_counts(M.master_tags(t), palette).join(palette, F.col("tag") == F.col("name")).select("tag", "n", "color")
+    rows = positions(t.df.where(has_tag("Bad")), order_by(t, [("Event", False), ("time", True), ("timeline", False)]))
+    shown = rows.withColumn("tag", F.element_at("tags", 1)).join(known, "tag", "left")
+    return shown.select("timeline", "row_id", "Event", "position", F.col("n").alias("n_tagged"), "color")
 
 
-R.add("m7_master_as_timeline", m7_master_as_timeline, f"{_GRID_SQL} SELECT timeline, row_id, \"Event\" FROM grid WHERE tags = 'Bad' AND timeline_id < 3 ORDER BY \"Event\" = '', TRY_CAST(trim(\"Event\") AS DOUBLE) IS NULL, lower(\"Event\"), lower(time) DESC, row_id LIMIT 100")
+R.add(
+    "m7_master_as_timeline",
+    m7_master_as_timeline,
+    f"""{_GRID_SQL} SELECT timeline, row_id, "Event", row_number() OVER (ORDER BY "Event" = '', TRY_CAST(trim("Event") AS DOUBLE) IS NULL, lower("Event"), lower(time) DESC, lower(timeline), row_id) - 1 AS position,
+  count(*) OVER () AS n_tagged, '#E53935' AS color FROM grid WHERE tags = 'Bad' AND timeline_id < 3""",
+)
 
 
 def m8_back_to_source(spark, sf_dir):
@@ -205,6 +215,22 @@ UNION ALL SELECT 0, 'lang', 'source', 'n_chars', 'Tags', 'Comment' UNION ALL SEL
 )
 
 
+def e5_csv_dialect(spark, sf_dir):
+    """The bytes of the export: commas, quotes only where a cell needs them, doubled inside, one line for each row."""
+    t = base.bare_docs(spark, sf_dir)
+    quoted = F.when(F.col("row_id") % 3 == 0, F.concat(F.lit('he said "'), "source", F.lit('", twice'))).when(F.col("row_id") % 3 == 1, F.concat("lang", F.lit(",x"))).otherwise(F.col("source"))
+    folder = _folder(spark)
+    E.write_csv(E.view(Timeline(t.df.withColumn("cell", quoted), ["n_chars", "cell", "lang"], {"cell": "A cell"})), folder)
+    return spark.read.text(folder).groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("value <> 'n_chars,A cell,lang,Tags,Comment'")
+
+
+R.add(
+    "e5_csv_dialect",
+    e5_csv_dialect,
+    """SELECT n_chars || ',' || CASE doc_id % 3 WHEN 0 THEN '"he said ""' || source || '"", twice"' WHEN 1 THEN '"' || lang || ',x"' ELSE source END || ',' || lang || ',,' AS value, count(*) AS n FROM documents GROUP BY 1""",
+)
+
+
 def e6_to_timeline(spark, sf_dir):
     t = base.docs(spark, sf_dir)
     return E.to_timeline(t, [("When", ["n_chars"]), ("What", ["lang", "source"]), ("Comments", ["comment"]), ("Tag", ["tags"]), ("Notes", [])])
@@ -275,10 +301,10 @@ UNION ALL SELECT doc_id, 'edit1', 'xx' FROM labels WHERE toxic = 1 UNION ALL SEL
 
 
 def s1_s3_read_delimited(spark, sf_dir):
-    """Documents as semicolon-separated text, written by Spark and read as a timeline: sniffed, row ids dense, in file order."""
+    """Documents as semicolon-separated text in many files, written by Spark in the order of ids and read as a timeline: sniffed, headers left out, row ids dense, in file order."""
     folder = _folder(spark)
     docs = base.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    docs.orderBy("doc_id").coalesce(1).write.options(sep=";", header=True, quote='"', escape='"', emptyValue="").csv(folder)
+    docs.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.options(sep=";", header=True, quote='"', escape='"', emptyValue="").csv(folder)
     t = D.read_timeline(spark, folder)
     return t.df.select("row_id", F.col("c0").cast("long").alias("doc_id"), F.col("c1").alias("lang"), F.md5("c3").alias("text_md5"))
 
@@ -287,17 +313,18 @@ R.add("s1_s3_read_delimited", s1_s3_read_delimited, "SELECT row_number() OVER (O
 
 
 def s2_sniff(spark, sf_dir):
-    """Each delimiter found again in what Spark wrote with it."""
-    nations = base.table(spark, sf_dir, "nation")
-    found = []
+    """Each delimiter found again in what Spark wrote with it: all events, in as many files as it likes, then read by it and counted."""
+    events = base.table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props")
+    out = None
     for d in D.DELIMITERS:
         folder = _folder(spark)
-        nations.coalesce(1).write.options(sep=d, header=True).csv(folder)
-        found.append((d, D.sniff(spark, folder), nations.count()))
-    return spark.createDataFrame(found, "written string, found string, n bigint")
+        events.write.options(sep=d, header=True, quote='"', escape='"').csv(folder)
+        rows = D.read_timeline(spark, folder).df.select(F.lit(d).alias("written"), F.lit(D.sniff(spark, folder)).alias("found"), F.col("c1").alias("event_type"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("written", "found", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-R.add("s2_sniff", s2_sniff, "SELECT written, written AS found, (SELECT count(*) FROM nation) AS n FROM (VALUES (','), (chr(9)), (';'), ('|')) v(written)")
+R.add("s2_sniff", s2_sniff, "SELECT written, written AS found, event_type, count(*) AS n FROM events, (VALUES (','), (chr(9)), (';'), ('|')) v(written) GROUP BY ALL")
 
 
 def s3_dense_row_ids(spark, sf_dir):
@@ -309,12 +336,12 @@ R.add("s3_dense_row_ids", s3_dense_row_ids, "WITH r AS (SELECT l_partkey, row_nu
 
 
 def s4_in_memory(spark, sf_dir):
-    """A small table from Python lists, joined with the regions."""
-    t = D.in_memory(spark, ["Name", "Note"], [["AFRICA", "a"], ["ASIA"], ["EUROPE", "e", "overflow"]])
-    return t.df.join(base.table(spark, sf_dir, "region"), F.col("c0") == F.col("r_name")).select("row_id", "r_regionkey", F.col("c1").alias("note"))
+    """A small table from Python lists, joined with all events."""
+    t = D.in_memory(spark, ["Name", "Note"], [["error", "a"], ["signup"], ["click", "e", "overflow"]])
+    return base.table(spark, sf_dir, "events").join(t.df, F.col("c0") == F.col("event_type")).select("event_id", "row_id", F.col("c1").alias("note"))
 
 
-R.add("s4_in_memory", s4_in_memory, "SELECT i AS row_id, r_regionkey, note FROM region JOIN (VALUES (CAST(0 AS BIGINT), 'AFRICA', 'a'), (1, 'ASIA', ''), (2, 'EUROPE', 'e')) v(i, n, note) ON n = r_name")
+R.add("s4_in_memory", s4_in_memory, "SELECT event_id, i AS row_id, note FROM events JOIN (VALUES (CAST(0 AS BIGINT), 'error', 'a'), (1, 'signup', ''), (2, 'click', 'e')) v(i, n, note) ON n = event_type")
 
 
 def s5_s6_ranges_and_rows(spark, sf_dir):

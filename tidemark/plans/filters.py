@@ -22,7 +22,7 @@ R.docs_filter("f4_pick_values", lambda t: P.one_of("lang", ["EN", "de"]) & P.one
 R.docs_filter("f5_star_not_empty", lambda t: P.quick(t, "comment", "*"), r"regexp_matches(comment, '\S')")
 R.docs_filter("f6_empty", lambda t: P.blank("comment") & P.filled("text"), r"NOT regexp_matches(comment, '\S') AND regexp_matches(text, '\S')")
 R.docs_filter("f7_any_column", lambda t: P.on(t, "any", lambda c: P.contains(c, "src1")), "contains(lower(text), 'src1') OR contains(lower(lang), 'src1') OR contains(lower(source), 'src1') OR contains(n_chars, 'src1') OR contains(lower(tag_text), 'src1') OR contains(lower(comment), 'src1')")
-R.docs_filter("f8_any_data_column", lambda t: P.on(t, "data", lambda c: P.contains(c, "check")), "contains(lower(text), 'check') OR contains(lower(lang), 'check') OR contains(lower(source), 'check') OR contains(n_chars, 'check')")
+R.docs_filter("f8_any_data_column", lambda t: P.on(t, "data", lambda c: P.contains(c, "check")) | P.on(t, "data", lambda c: P.contains(c, "Src1")), "contains(lower(text), 'check') OR contains(lower(lang), 'check') OR contains(lower(source), 'check') OR contains(n_chars, 'check') OR contains(lower(text), 'src1') OR contains(lower(source), 'src1')")
 R.docs_filter("f9_field_equals_differs", lambda t: P.field_equals(t, "Summary", "token") & P.field_differs(t, "LANG", "fr"), "contains(lower(text), 'token') AND NOT contains(lower(lang), 'fr')")
 R.docs_filter("f10_virtual_fields", lambda t: P.field_equals(t, "tag", "suspic") | P.field_equals(t, "comments", "src7") | P.field_equals(t, "row", "99"), "contains(lower(tag_text), 'suspic') OR contains(lower(comment), 'src7') OR contains(CAST(row_id + 1 AS VARCHAR), '99')")
 R.docs_filter("f11_and_or_not", lambda t: P.contains("lang", "en") & (P.field_equals(t, "tag", "bad") | P.field_equals(t, "tag", "good")) & ~P.contains("text", "token"), "contains(lower(lang), 'en') AND (contains(lower(tag_text), 'bad') OR contains(lower(tag_text), 'good')) AND NOT contains(lower(text), 'token')")

@@ -33,7 +33,6 @@ _CLASSIFIED_SQL = f"""{_LINES_SQL}, t AS (SELECT list, line, trim(text) AS t FRO
   SELECT list, line, CASE WHEN t = '' THEN 'blank' WHEN t LIKE '##%' THEN 'label' WHEN t LIKE '#%' THEN 'note' WHEN regexp_matches(t, '^/.+/$') THEN 'regex' WHEN t LIKE '`%' THEN 'rule' ELSE 'plain' END AS kind,
     CASE WHEN t LIKE '##%' THEN regexp_replace(t, '^##\\s*', '') WHEN t LIKE '#%' THEN regexp_replace(t, '^#\\s*', '') WHEN regexp_matches(t, '^/.+/$') THEN substr(t, 2, length(t) - 2) WHEN t LIKE '`%' THEN regexp_replace(t, '^`\\s*', '') ELSE t END AS value FROM t
 )"""
-_COUNT_SQL = "(SELECT count(*) FROM documents) > 0"
 _LABEL_SQL = f"""{_CLASSIFIED_SQL}, b AS (SELECT *, sum(CASE WHEN kind IN ('label', 'blank') THEN 1 ELSE 0 END) OVER (PARTITION BY list ORDER BY line) AS block FROM classified), indicators AS (
   SELECT list, line, kind, value, coalesce(label, '') AS label FROM (SELECT *, max(CASE WHEN kind = 'label' THEN value END) OVER (PARTITION BY list, block) AS label FROM b) WHERE kind IN ('plain', 'regex', 'rule')
 )"""
@@ -113,22 +112,29 @@ def i7_scan(spark, sf_dir):
 R.add("i7_scan", i7_scan, f"{_HITS_SQL} SELECT row_id, list, line, label FROM hits")
 
 
+def _long_lists(spark, sf_dir):
+    """A list of all benchmark items, one of all sources with a regular expression in front, and one with a rule."""
+    items = base.table(spark, sf_dir, "benchmark").select(F.lit("bench").alias("list"), F.col("item_id").cast("int").alias("line"), F.lit("plain").alias("kind"), F.col("text").alias("value"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("label"))
+    sources = base.table(spark, sf_dir, "documents").select("source").distinct().select(F.lit("sources"), F.regexp_extract("source", "[0-9]+$", 0).cast("int") + 2, F.lit("plain"), F.upper("source"), F.lit("source"))
+    more = spark.createDataFrame([("sources", 1, "regex", "^src1[0-5]$", "teens"), ("rules", 1, "rule", "lang=de AND Summary=und", "german"), ("rules", 2, "regex", "(", "bad")], I.INDICATORS)
+    return items.union(sources).union(more)
+
+
 def i7_scan_many(spark, sf_dir):
-    """A long list: the leading words of every benchmark item (three, and one as a rare case)."""
-    items = base.table(spark, sf_dir, "benchmark")
-    words = F.split("text", r"\s+")
-    value = F.when(F.col("item_id") % 5 == 0, F.get(words, F.lit(0))).otherwise(F.array_join(F.slice(words, 1, 4), " "))
-    lines = items.select(F.lit("bench").alias("list"), F.col("item_id").cast("int").alias("line"), F.lit("plain").alias("kind"), value.alias("value"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("label"))
-    t = base.docs(spark, sf_dir)
-    return I.scan_many(type(t)(t.df, ["text"]), lines)
+    """Long lists over all data columns: literals, regular expressions and a rule."""
+    return I.scan_many(base.docs(spark, sf_dir), _long_lists(spark, sf_dir), {("rules", 1): P.contains("lang", "de") & P.contains("text", "und")})
 
 
 R.add(
     "i7_scan_many",
     i7_scan_many,
-    r"""WITH w AS (SELECT item_id, regexp_split_to_array(text, '\s+') AS w FROM benchmark), n AS (
-  SELECT CAST(item_id AS INTEGER) AS line, lower(CASE WHEN item_id % 5 = 0 THEN w[1] ELSE array_to_string(w[1:4], ' ') END) AS needle FROM w
-) SELECT doc_id AS row_id, 'bench' AS list, min(line) AS line, 'item ' || min(line) AS label FROM documents JOIN n ON contains(lower(text), needle) GROUP BY doc_id""",
+    f"""{DOCS_SQL}, items AS (
+  SELECT row_id, 'bench' AS list, CAST(min(item_id) AS INTEGER) AS line, 'item ' || min(item_id) AS label FROM docs JOIN benchmark b ON contains(lower(docs.text), lower(b.text)) GROUP BY row_id
+), names AS (SELECT DISTINCT source AS value, CAST(regexp_extract(source, '[0-9]+$') AS INTEGER) + 2 AS line FROM documents), sources AS (
+  SELECT row_id, 1 AS line, 'teens' AS label FROM docs WHERE regexp_matches(source, '^src1[0-5]$') UNION ALL SELECT row_id, line, 'source' FROM docs JOIN names ON {_ANY_DATA}
+)
+SELECT * FROM items UNION ALL SELECT row_id, 'sources', CAST(min(line) AS INTEGER), arg_min(label, line) FROM sources GROUP BY row_id
+UNION ALL SELECT row_id, 'rules', 1, 'german' FROM docs WHERE contains(lower(lang), 'de') AND contains(lower(text), 'und')""",
 )
 
 
@@ -182,8 +188,23 @@ def a5_hits_per_list(spark, sf_dir):
 R.add("a5_hits_per_list", a5_hits_per_list, f"{_HITS_SQL} SELECT list, count(DISTINCT row_id) AS n_rows FROM hits GROUP BY list")
 
 
+#: The detectors as SQL has them, not taken from the operator.
+_DETECTORS_SQL = {
+    "ipv4": r"\b([0-9]{1,3}\.){3}[0-9]{1,3}(:[0-9]{1,5})?\b",
+    "ipv6": r"\b([0-9A-Fa-f]{1,4}:){2,7}[0-9A-Fa-f]{0,4}\b",
+    "sha256": r"\b[0-9A-Fa-f]{64}\b",
+    "sha1": r"\b[0-9A-Fa-f]{40}\b",
+    "md5": r"\b[0-9A-Fa-f]{32}\b",
+    "guid": r"\b[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\b",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+    "windows_path": r"([A-Za-z]:\\|\\\\)[^\s,;|]+",
+    "unix_path": r"/[^\s,;|/]+(/[^\s,;|]+)+",
+    "domain": r"\b([A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,}\b",
+}
+
+
 def _sql_found(column: str, fallback: bool) -> str:
-    parts = [f"list_transform(regexp_extract_all({column}, {_sql_text(p)}), lambda x: {{'kind': '{k}', 'text': regexp_replace(x, '^[\\s,;|\"'']+|[\\s,;|\"'']+$', '', 'g')}})" for k, p in C.DETECTORS]
+    parts = [f"list_transform(regexp_extract_all({column}, {_sql_text(p)}), lambda x: {{'kind': '{k}', 'text': regexp_replace(x, '^[\\s,;|\"'']+|[\\s,;|\"'']+$', '', 'g')}})" for k, p in _DETECTORS_SQL.items()]
     if fallback:
         trim = "regexp_replace(x, '^[\\s,;|\"'']+|[\\s,;|\"'']+$', '', 'g')"
         whole = f"regexp_replace({column}, '^\\s+|\\s+$', '', 'g')"

@@ -77,8 +77,9 @@ R.add("t9_interval_join", t9_interval_join, f"SELECT e.event_id, a.event_id AS a
 def t10_pivot_from_notes(spark, sf_dir):
     """Time notes as anchors on the detected time column: here the first event of each user is a note."""
     t = base.spelled(spark, sf_dir)
+    column = T.detect_time_column(t.df, t.columns).first()["time_column"]
     notes = t.df.groupBy("user_id").agg(F.min("ts").alias("note"))
-    rows = t.df.select("row_id", T.time_of(t, "when_seen").cast("timestamp_ntz").alias("time")).where("time IS NOT NULL")
+    rows = t.df.select("row_id", T.time_of(t, column).cast("timestamp_ntz").alias("time")).where("time IS NOT NULL")
     return T.around_anchors(rows, "time", notes.withColumnRenamed("user_id", "note_of"), "note").groupBy("row_id").agg(F.count(F.lit(1)).alias("n_notes"))
 
 
