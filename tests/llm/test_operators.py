@@ -107,12 +107,60 @@ def test_sharding(spark, documents, prose):
     assert sharding.shuffle(documents([])).count() == 0
 
 
+def test_sharding_against_plain_python(spark, documents, prose, monkeypatch):
+    """Every row's shard and slot, from the keys and the drawn counts, by sorting lists; one level and three levels of splits."""
+    rows = [(i, prose(i % 60, 5)) for i in range(400)] + [(None, None), (None, "x"), (7, "again")]
+    for fan in (1024, 5):
+        monkeypatch.setattr(sharding, "FAN", fan)
+        docs = documents(rows)
+        n, seed, n_parts = len(rows), sharding.SEED, 64
+        text = F.coalesce("text", F.lit(""))
+        keys = docs.select("doc_id", F.octet_length(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("first"), F.xxhash64(F.lit(seed + 1), "doc_id", text).alias("second"))
+        keyed = [tuple(r) for r in keys.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 2), "first"), F.lit(n_parts))).collect()]
+        counts = spark.createDataFrame([(p, sum(1 for k in keyed if k[4] == p)) for p in sorted({k[4] for k in keyed})], "part int, n bigint")
+        rooms = {r["part"]: r["room"] for r in sharding.allotted(counts, sharding.shard_sizes(n, 8), n_parts, seed).collect()}
+        assert [sum(x) for x in zip(*rooms.values())] == sharding.shard_sizes(n, 8) and all(sum(rooms[p]) == c for p, c in map(tuple, counts.collect()))
+        shards = {j: [] for j in range(8)}
+        for p, room in rooms.items():
+            mine = sorted((k for k in keyed if k[4] == p), key=lambda k: (k[2], k[0] is not None, k[0] or 0, k[1]))
+            for j, m in enumerate(room):
+                shards[j] += mine[:m]
+                mine = mine[m:]
+        want = sorted((-1 if k[0] is None else k[0], k[1] + 1, j, slot) for j, x in shards.items() for slot, k in enumerate(sorted(x, key=lambda k: k[3] % 2**64)))
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["shard"], r["slot"]) for r in sharding.shuffle(docs).collect())
+        assert got == want
+
+
 def test_hypergeometric_matrix_has_exact_margins():
     counts = [7, 0, 13, 100, 1]
-    m = sharding.matrix(counts, 8, 1)
+    rng = np.random.default_rng(1)
+    m = sharding.matrix(counts, sharding.shard_sizes(121, 8), rng)
     assert m.sum(axis=1).tolist() == counts and m.sum(axis=0).tolist() == sharding.shard_sizes(121, 8)
-    first = np.mean([sharding.matrix([40, 40], 2, s)[0, 0] for s in range(400)])
-    assert abs(first - 20) < 0.6
+    drawn = np.array([sharding.matrix([40, 40], [40, 40], rng)[0, 0] for _ in range(2000)])
+    assert abs(drawn.mean() - 20) < 0.3 and abs(drawn.var() - 40 * 0.25 * 40 / 79) < 0.5
+
+
+def test_hypergeometric_beyond_the_bound_of_numpy():
+    rng = np.random.default_rng(2)
+    good, bad, sample = 3 * 10**9, 10**9, 4000
+    drawn = np.array([sharding.hypergeometric(rng, good, bad, sample) for _ in range(800)])
+    assert abs(drawn.mean() - 3000) < 4 and abs(drawn.var() / (sample * 0.75 * 0.25) - 1) < 0.2
+    assert sharding.hypergeometric(rng, 2 * 10**9, 0, 5) == 5 and sharding.hypergeometric(rng, 0, 2 * 10**9, 5) == 0
+
+
+def test_chat_turns_without_order(spark):
+    """Null turns, equal turns, very long turns and odd roles: pieces lie end to end in the order that is stated."""
+    import hashlib
+
+    rows = [(1, None, f"r {k % 2}", f"t{k}", k) for k in range(300)] + [(1, 5, "r-0", f"u{k % 40}", 0) for k in range(200)] + [(1, -300, "r_0", "x" * 100_000, 0), (2, 1, "r 0", "", 0), (2, 1, "r\t0", None, 0)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, block int")
+    got = chat.render(df.repartition(5)).toPandas()
+    for _, g in got.groupby(["conv_id", "perspective"]):
+        g = g.sort_values(["start", "end"])
+        assert g.start.iloc[0] == 0 and list(g.start[1:]) == list(g.end[:-1])
+        order = [(-(10**9) if t != t else t, r, hashlib.md5(p.encode()).hexdigest()) for t, r, p in zip(g.turn, g.role, g.piece, strict=True)]
+        assert order == sorted(order)
+    assert set(got[got.conv_id == 2].perspective) == {"r 0", "r\t0"} and "user name=r_0" in "".join(got[got.conv_id == 2].piece)
 
 
 def test_chat(spark):
@@ -130,14 +178,21 @@ def test_chat(spark):
 
 
 def test_merkle_audit_finds_exactly_the_damage(spark):
-    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (i % 50)) for i in range(700)] + [(None, None, None), (5, "http://h/5", "x" * 5)], "page_id bigint, url string, html string")
-    left = warc.layout(pages, 300).select("file", "seq", "offset", "length", "digest").cache()
-    spot = F.xxhash64("file", "seq") % 100
-    right = left.where(spot != 3).withColumn("digest", F.when(spot == 7, F.md5("digest")).otherwise(F.col("digest")))
-    want = {(r["file"], r["seq"], "lost" if r["s"] == 3 else "changed") for r in left.withColumn("s", spot).where("s IN (3, 7)").collect()}
-    assert {(r["file"], r["seq"], r["status"]) for r in warc.audit(left, right).collect()} == want and want
-    assert warc.audit(left, left).count() == 0
-    assert warc.audit(left, left.limit(0)).count() == 702 and warc.audit(left.limit(0), left.limit(0)).count() == 0
+    """Two layouts of their own: lost, added and shortened records shift what follows, and nothing else is reported."""
+    schema = "page_id bigint, url string, html string, digest string, seq int"
+    rows = [(i, f"http://h/{i}", "x" * (i % 50), "clash", 0) for i in range(700)] + [(None, None, None, None, None), (None, "u", "y", "", 1), (5, "http://h/5", "x" * 5, "", 1), (6, "http://h/6", "other", "", 1)]
+    other = [(i, u, h + "cut" if i and i % 97 == 3 else h, d, q) for i, u, h, d, q in rows if not i or i % 89 != 7] + [(1000 + i, None, "new", "", 2) for i in range(4)]
+    other.remove((5, "http://h/5", "x" * 5, "", 1))
+    other[other.index((None, "u", "y", "", 1))] = (None, "u", "z", "", 1)
+    lay = lambda x: warc.saved(warc.layout(spark.createDataFrame(x, schema), 1))
+    left, right = lay(rows), lay(other)
+    got = sorted((r["page_id"] if r["page_id"] is not None else -1, r["status"]) for r in warc.audit(left, right).collect())
+    want = [(i, "changed") for i in range(700) if i % 97 == 3 and i % 89 != 7] + [(i, "lost") for i in range(700) if i % 89 == 7] + [(1000 + i, "added") for i in range(4)] + [(5, "lost"), (-1, "lost"), (-1, "added")]
+    assert got == sorted(want)
+    moved = {r["page_id"]: r for r in warc.audit(left, right).where("status = 'changed'").collect()}
+    assert any(r["seq"] != r["other_seq"] and r["offset"] != r["other_offset"] for r in moved.values()) and all(r["other_length"] == r["length"] + 3 for r in moved.values())
+    assert warc.audit(left, lay(list(reversed(rows)))).count() == 0
+    assert warc.audit(left, left.limit(0)).count() == 704 and warc.audit(left.limit(0), left).count() == 704 and warc.audit(left.limit(0), left.limit(0)).count() == 0
 
 
 MODEL = pieces.MODEL
@@ -358,3 +413,17 @@ def test_secrets_of_many_matches_in_one_text(spark, documents):
     assert got[1]["n_assign"] == 30_000 and got[1]["spans"] == secret_spans(many)
     out = sorted((r["doc_id"], r["text"]) for r in secrets.redact(docs).where("doc_id <> 3").collect())
     assert out == [(1, " ".join(["[SECRET]"] * 30_000)), (2, "[SECRET]"), (4, "x [SECRET]"), (4, "x [SECRET]")]
+
+
+def test_licenses_known_inside_and_odd_documents(spark, documents, prose):
+    whole = dict(licenses.WHOLE)
+    rows = [(i, prose(i) + "\n" + t + "\n" + prose(i + 100)) for i, t in enumerate(whole.values())] + [(100 + i, "  (C) 2001 X\n" + t.upper() + "\nAll rights reserved.") for i, t in enumerate(whole.values())]
+    rows += [(200, prose(1, 20_000)), (201, "MIT License\n" * 3_000 + whole["MIT"]), (202, "\n".join(whole["MIT"].split("\n")[:-3])), (203, "© x\n \t\n")]
+    docs = documents(rows)
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    for i, name in enumerate(whole):
+        assert got[i]["whole_license"] == "" and name in got[i]["notices"].split(",") and got[100 + i]["whole_license"] == name, name
+    assert [got[k]["notices"] for k in (200, 201, 202, 203)] == ["", "MIT", "", ""] and got[201]["terms"] == "permissive"
+    assert licenses.scan(docs, []).where("notices <> '' OR whole_license <> ''").count() == 0
+    with pytest.raises(ValueError):
+        licenses.known(spark, [("x", "permissive", str(i)) for i in range(licenses.MOST_KNOWN + 1)])
