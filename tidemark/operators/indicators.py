@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from ..model import INDICATORS, Timeline
 
 #: Lines of one generated expression, so that its code stays within what the JVM compiles.
 CHUNK = 50
+#: Lines of lists that are turned into expressions.
+MOST_LINES = 10_000
 #: Bytes of literals that are broadcast for one pass over the text, and about those of one automaton (some fifty times as many in memory).
 BROADCAST_BYTES, AUTOMATON_BYTES = 64_000_000, 4_000_000
 PREFIX = "ioc:"
@@ -56,11 +58,18 @@ def label_blocks(classified: DataFrame) -> DataFrame:
     return out.where(F.col("kind").isin("plain", "regex", "rule")).select("list", "line", "kind", "value", "label")
 
 
+def _lines(indicators: DataFrame) -> list[Row]:
+    """Lines that become expressions, on the driver; more than ``MOST_LINES`` are an error, as no row can be tested against so many."""
+    rows = indicators.orderBy("list", "line").limit(MOST_LINES + 1).collect()
+    if len(rows) > MOST_LINES:
+        raise ValueError(f"more than {MOST_LINES} lines; use scan_many, with no more regular expressions and rules than that")
+    return rows
+
+
 def regex_errors(indicators: DataFrame) -> DataFrame:
     """Lines whose regular expression cannot be used, as (list, line, value, error); the rest still run."""
-    rows = indicators.where("kind = 'regex'").select("list", "line", "value").collect()
     bad = []
-    for r in rows:
+    for r in _lines(indicators.where("kind = 'regex'")):
         try:
             check_regex(r["value"])
         except ValueError as e:
@@ -81,7 +90,7 @@ class Indicator:
 def compiled(indicators: DataFrame, rules: dict[tuple[str, int], Column] | None = None) -> list[Indicator]:
     """The usable lines of small lists, in order; rules are given as Columns by (list, line)."""
     out = []
-    for r in indicators.orderBy("list", "line").collect():
+    for r in _lines(indicators):
         rule = (rules or {}).get((r["list"], r["line"]))
         if r["kind"] == "regex":
             try:

@@ -168,7 +168,16 @@ _RUN_SQL = f"""{_HITS_SQL}, one AS (SELECT d.row_id, d.tags, coalesce({_MERGE.re
 two AS (SELECT one.row_id, tags, coalesce({_MERGE.replace('label', 'b.label')}, comment) AS comment, a_list, b.list AS b_list FROM one LEFT JOIN hits b ON b.row_id = one.row_id AND b.list = 'words' WHERE a_list IS NOT NULL OR b.list IS NOT NULL)
 SELECT row_id, array_to_string(list_sort(list_concat(tags, list_filter([CASE WHEN a_list IS NOT NULL THEN 'ioc:tokens' END, CASE WHEN b_list IS NOT NULL THEN 'ioc:words' END], lambda x: x IS NOT NULL))), ', ') AS tags, comment FROM two"""
 R.add("flagship", flagship, _RUN_SQL)
-R.add("i10_run_all_lists", flagship, _RUN_SQL)
+
+
+def i10_run_all_lists(spark, sf_dir):
+    """The same lists as long ones: literals by automata, the rest as expressions."""
+    t = base.docs(spark, sf_dir)
+    hits = I.scan_many(t, _indicators(spark), {("words", 3): P.contains("lang", "de") & P.contains("text", "und")})
+    return I.run_all(t, hits).select("row_id", F.array_join("tags", ", ").alias("tags"), "comment")
+
+
+R.add("i10_run_all_lists", i10_run_all_lists, _RUN_SQL)
 
 
 def i11_list_names(spark, sf_dir):
