@@ -6,12 +6,15 @@ users with their names, and only the assistant's own words are trained on. The
 result is a row for each turn of each rendering, in pieces whose places in the
 whole rendering are given, so that no conversation is gathered into one row.
 
-Places are running lengths: inside blocks of ``BLOCK`` turn numbers, plus the
-lengths of the blocks before, so one long conversation is spread over tasks.
+Places are running lengths within parts of blocks of ``BLOCK`` turn numbers, plus
+the lengths before, so one long conversation is spread over tasks, as are many
+turns of one number. Names are printed with ``_`` for runs of other characters
+than letters, digits, ``_``, ``.`` and ``-``, so two roles that differ in those
+only are printed alike; they stay two participants.
 
 Edge cases: a null text is empty; a null role is a speaker called ``unknown``;
 null conversation ids form one conversation; null turns come first; equal turn
-numbers are ordered by role and text; repeated rows are repeated turns; a
+numbers are ordered by role and the MD5 of the rendered turn; repeated rows are repeated turns; a
 conversation of system turns only has no participant and gives no row; control
 marks inside a text are broken up; an empty table gives an empty result; only
 conv_id, turn, role and text are read.
@@ -66,23 +69,38 @@ def pieces(conversations: DataFrame) -> DataFrame:
     )
 
 
-def placed(rendered: DataFrame, length: str, order: list[str]) -> DataFrame:
-    """``rendered`` with ``start`` and ``end`` of each piece in the whole rendering."""
-    rows = rendered.withColumn("block", F.floor(F.col("turn") / BLOCK))
-    inside = W.partitionBy("conv_id", "perspective", "block").orderBy(F.col("turn").asc_nulls_first(), *order).rowsBetween(W.unboundedPreceding, 0)
+def placed(rendered: DataFrame, length: str) -> DataFrame:
+    """``rendered`` (with ``piece_md5``) with ``start`` and ``end`` of each piece in the whole rendering.
+
+    A piece's place is its running length within its part, plus the lengths of
+    the parts before in its block, plus those of the blocks before. A part is a
+    turn, a role and the first digits of the digest, so that turns of one number,
+    or without one, are spread over parts however many they are.
+    """
+    whole, block, part = ["conv_id", "perspective"], ["block"], ["turn_", "role", "digits"]
+    rows = rendered.withColumn("turn_", F.coalesce("turn", F.lit(-(1 << 63)))).withColumn("block", F.floor(F.col("turn_") / BLOCK)).withColumn("digits", F.left("piece_md5", F.lit(2)))
+    inside = W.partitionBy(*whole, *block, *part).orderBy("piece_md5").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(length).over(inside))
-    totals = rendered.groupBy("conv_id", "perspective", F.floor(F.col("turn") / BLOCK).alias("block")).agg(F.sum(length).alias("n"))
-    before = W.partitionBy("conv_id", "perspective").orderBy(F.col("block").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    same = rows["conv_id"].eqNullSafe(totals["c"]) & (rows["perspective"] == totals["p"]) & rows["block"].eqNullSafe(totals["b"])
-    out = rows.join(totals, same).drop("c", "p", "b", "block")
-    return out.withColumn("end", (F.col("end") + F.col("before")).cast("long")).withColumn("start", F.col("end") - F.col(length)).drop("before")
+    parts = rows.groupBy(*whole, *block, *part).agg(F.sum(length).alias("n"))
+    earlier = W.partitionBy(*whole, *block).orderBy(*part).rowsBetween(W.unboundedPreceding, -1)
+    blocks = parts.groupBy(*whole, *block).agg(F.sum("n").alias("n"))
+    before = W.partitionBy(*whole).orderBy(*block).rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    blocks = blocks.withColumn("block_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    for table_, keys, name in ((parts, [*whole, *block, *part], "before"), (blocks, [*whole, *block], "block_before")):
+        other = table_.select(*[F.col(k).alias(f"_{k}") for k in keys], name)
+        same = F.lit(True)
+        for k in keys:
+            same &= rows[k].eqNullSafe(other[f"_{k}"])
+        rows = rows.join(other, same).drop(*[f"_{k}" for k in keys])
+    end = F.col("end") + F.col("before") + F.col("block_before")
+    return rows.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.col(length)).drop("turn_", "block", "digits", "before", "block_before")
 
 
 def render(conversations: DataFrame) -> DataFrame:
     """The pieces with their places and masks; ``mask_start`` to ``mask_end`` is trained on (equal: nothing)."""
-    rows = pieces(conversations).withColumn("size", F.length("piece").cast("long"))
-    return _masked(placed(rows, "size", ["role", "piece"]))
+    rows = pieces(conversations).withColumn("size", F.length("piece").cast("long")).withColumn("piece_md5", F.md5("piece"))
+    return _masked(placed(rows, "size")).drop("piece_md5")
 
 
 def _masked(rows: DataFrame) -> DataFrame:
@@ -93,7 +111,7 @@ def _masked(rows: DataFrame) -> DataFrame:
 
 def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces(table(spark, sf_dir, "conversations")).withColumn("size", F.length("piece").cast("long")).withColumn("piece_md5", F.md5("piece")).drop("piece")
-    return _masked(placed(rows, "size", ["role", "piece_md5"])).select("conv_id", "perspective", "turn", "role", "start", "end", "mask_start", "mask_end", "piece_md5")
+    return _masked(placed(rows, "size")).select("conv_id", "perspective", "turn", "role", "start", "end", "mask_start", "mask_end", "piece_md5")
 
 
 QUERIES = {"op8_perspective_rotation": op8_perspective_rotation}
