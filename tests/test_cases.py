@@ -252,6 +252,37 @@ def test_reader_survives_long_records(spark, tmp_path):
     assert len(t.title("c0")) == LONG // 5 * 4 and t.df.count() == 1 and delimited.sniff(spark, str(tmp_path / "head.csv")) == ";"
 
 
+@pytest.mark.parametrize(("split", "delimiter", "end"), [(64, ",", "\n"), (700, ";", "\r\n"), (10_000_000, "\t", "\n")])
+def test_quoted_line_breaks_over_many_splits(spark, tmp_path, split, delimiter, end):
+    """Records of many lines, stray quotes, blank lines and cells of nothing but quotes and breaks, cut anywhere, against the csv module."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(split)
+    bits = ["x", "word", "\n", "\n\n", '"', '""', delimiter, " ", "é", end]
+    want = []
+    for k in range(3):
+        rows = [["a", "b", "c"]] + [["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(3)] for _ in range(80)]
+        rows[5][1] = "line\n" * 200
+        out = io.StringIO()
+        csv.writer(out, delimiter=delimiter, lineterminator=end).writerows(rows)
+        out.write(f'stray"quote{delimiter}{delimiter}1{end}{end}last{delimiter}{delimiter}2')
+        (tmp_path / f"f{k}.csv").write_bytes(out.getvalue().encode())
+        want += [*rows[1:], ['stray"quote', "", "1"], ["last", "", "2"]]
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.set(n, str(split))
+    try:
+        got = delimited.read_timeline(spark, str(tmp_path), delimiter).df.orderBy("row_id").collect()
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert [r["row_id"] for r in got] == list(range(len(want)))
+    assert [[r["c0"], r["c1"], r["c2"]] for r in got] == want
+
+
 def test_reader_of_several_files_with_headers(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"part-{k}.csv").write_text("a,b\n" + "".join(f"{10 * k + i},x\n" for i in range(k + 1)))

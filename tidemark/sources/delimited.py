@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import Timeline, timeline
+from .records import cells, read_records
 
 #: Delimiters in the order of ties.
 DELIMITERS = [",", "\t", ";", "|"]
@@ -52,12 +53,13 @@ def with_row_ids(df: DataFrame, order: list[str] | None = None, headers: bool =
     return rows.withColumn("row_id", F.col("_before") + F.col("_id") - F.col("_first")).drop("_file", "_block", "_id", "_first", "_before")
 
 
-def read_timeline(spark: SparkSession, path: str, delimiter: str | None = None, **more) -> Timeline:
+def read_timeline(spark: SparkSession, path: str, delimiter: str | None = None, **more_) -> Timeline:
     """A timeline from delimited files, each with the headers in its first record.
 
     Columns get unique internal names (c0, c1, ...), the headers stay as titles.
     Short records are filled with empty cells; cells beyond the header are kept
-    in ``_extra``. Files without quoted line breaks are split among tasks.
+    in ``_extra``. All files are split among tasks; where some cell holds a line
+    break, their records are put together by :mod:`.records`.
     """
     delimiter = delimiter or sniff(spark, path)
     multi_line = has_quoted_newlines(spark, path)
@@ -65,18 +67,34 @@ def read_timeline(spark: SparkSession, path: str, delimiter: str | None = None,
     head = spark.read.options(**options).csv(path).limit(1).first()
     if head is None:
         raise ValueError(f"{path} is empty")
-    titles = [(h or "").removeprefix("﻿") for h in head]
+    titles = [(h or "").removeprefix("\ufeff") for h in head]
     columns = [f"c{i}" for i in range(len(titles))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _RAW]])
-    rows = spark.read.options(**options, columnNameOfCorruptRecord=_RAW).schema(schema).csv(path)
-    rows = with_row_ids(rows.select("*", "_metadata"), headers=True).drop("_metadata")
-    mark = "\\t" if delimiter == "\t" else "\\" + delimiter
-    cells = F.regexp_extract_all(F.concat(F.lit(delimiter), _RAW), F.lit(rf"""{mark}((?:[^"{mark}]++|{_QUOTED}|")*+)"""), F.lit(1))
-    bare = F.transform(cells, lambda x: F.regexp_replace(F.regexp_replace(x, r'(?s)^"(.*)"$', "$1"), '""', '"'))
-    extra = F.when(F.col(_RAW).isNotNull() & (F.size(cells) > len(columns)), F.slice(bare, len(columns) + 1, 1 << 20)).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn(_EXTRA, extra).drop(_RAW)
+    if multi_line:
+        rows = _numbered(read_records(spark, path, delimiter)).withColumn("_cells", cells(F.col("value"), delimiter))
+        rows = rows.select("row_id", *[F.get("_cells", F.lit(i)).alias(c) for i, c in enumerate(columns)], "_cells")
+        known = F.lit(True)
+    else:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _RAW]])
+        rows = spark.read.options(**options, columnNameOfCorruptRecord=_RAW).schema(schema).csv(path)
+        rows = with_row_ids(rows.select("*", "_metadata"), headers=True).drop("_metadata").withColumn("_cells", cells(F.col(_RAW), delimiter))
+        known = F.col(_RAW).isNotNull()
+    more = F.slice("_cells", len(columns) + 1, 1 << 20)
+    extra = F.when(known & (F.size("_cells") > len(columns)), more).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn(_EXTRA, extra).drop(_RAW, "_cells")
     rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
-    return timeline(rows, columns, titles=dict(zip(columns, titles, strict=True)), **more)
+    return timeline(rows, columns, titles=dict(zip(columns, titles, strict=True)), **more_)
+
+
+def _numbered(records: DataFrame) -> DataFrame:
+    """Records with dense ``row_id`` in the order of (file, block, n), without the first of each file, its header."""
+    order = W.orderBy("_file", "_block")
+    counts = records.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    first = F.row_number().over(W.partitionBy("_file").orderBy("_block")) == 1
+    counts = counts.withColumn("_n", F.col("_n") - first.cast("int")).withColumn("_head", first.cast("int"))
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_file", "_block", "_head", before.alias("_before"))
+    rows = records.join(offsets, ["_file", "_block"]).where(F.col("n") > F.col("_head"))
+    return rows.withColumn("row_id", (F.col("_before") + F.col("n") - 1 - F.col("_head")).cast("long")).drop("_file", "_block", "_head", "_before", "n")
 
 
 def rows_between(t: Timeline, low: int, high: int) -> DataFrame:
