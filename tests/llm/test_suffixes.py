@@ -34,7 +34,7 @@ def corpus(prose):
     return texts
 
 
-@pytest.mark.parametrize("hot", [64, 4])
+@pytest.mark.parametrize("hot", [256, 4])
 def test_equals_brute_force(spark, documents, prose, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT", hot)
     texts = corpus(prose)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +82,23 @@ def fenced(df: DataFrame, keep: Column) -> DataFrame:
     is never negative, holds it in place and changes no result.
     """
     return df.withColumn("_fence", F.rand()).where(keep & (F.col("_fence") >= 0)).drop("_fence")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
+    """Batches sorted by ``key`` as tables of at least ``least`` rows (but the last) that end where the key changes; each batch is looked at once."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        before = held[-1].column(key)[-1].as_py() if held else keys[-1]
+        if n + cut >= least and (cut or before != keys[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held, n = [batch.slice(cut)], batch.num_rows - cut
+        else:
+            held.append(batch)
+            n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -23,9 +23,11 @@ a smaller document, or further left in the same one) is removed.
 4. The removed ranges go back to their documents.
 
 Anchors with many contexts (an edge of a very common passage) are found first,
-by counts over all documents; they are not gathered by anchor, but each of
-their windows is dealt on its own hash. That list only chooses how rows are
-dealt, never what is compared, and holds at most ``MOST_HOT`` anchors.
+by counts over all documents of what has two contexts or more in some batch;
+they are not gathered by anchor, but each of their windows is dealt on its own
+hash. That list only chooses how rows are dealt, never what is compared, and
+holds at most ``MOST_HOT`` anchors, the most frequent ones; the others are
+gathered by anchor.
 
 Edge cases: a null text is an empty one; texts under ``WINDOW`` bytes keep all
 bytes; repeated rows and rows that share a doc_id count as documents one after
@@ -44,13 +46,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, saved, table, text_of
+from .common import keyed, saved, table, text_of, whole_groups
 from .rolling import U, Rolling, mix, ragged, utf8
 
 WINDOW, GRAM = 100, 24
 REACH = WINDOW - GRAM + 1
-#: Contexts of one anchor in a batch from which it counts as hot, and the most hot anchors.
-HOT, MOST_HOT = 64, 10_000
+#: Contexts of one anchor, over all batches, from which it counts as hot, and the most hot anchors (8 bytes each, sent to all tasks).
+HOT, MOST_HOT = 256, 200_000
 #: Windows handled at once while anchors are sought; contexts sorted at once.
 BLOCK, CONTEXTS = 1_000_000, 20_000
 _LOW = U((1 << 24) - 1)
@@ -143,18 +145,18 @@ def _occurrences(anchors: Anchors, batch: pa.RecordBatch, hot: np.ndarray) -> tu
 
 
 def hot_anchors(docs: DataFrame) -> np.ndarray:
-    """Anchors that have many different contexts in some batch, the most frequent ones, counted over all documents."""
+    """Anchors that have many different contexts, the most frequent ones, counted over all documents; one context in a batch is not counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors()
         for batch in batches:
             rows, _ = _occurrences(anchors, batch, np.zeros(0, U))
             key, n = np.unique(rows["k1"], return_counts=True)
-            yield _batch([key[n >= HOT], n[n >= HOT]], ["k1", "n"])
+            yield _batch([key[n > 1], n[n > 1]], ["k1", "n"])
 
     found = docs.mapInArrow(count, "k1 bigint, n bigint").groupBy("k1").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.col("n").desc(), "k1").limit(MOST_HOT).collect()
-    return np.sort(np.array([r["k1"] for r in rows], np.int64).view(U))
+    rows = found.where(F.col("n") >= HOT).orderBy(F.col("n").desc(), "k1").limit(MOST_HOT).select("k1").toArrow()
+    return np.sort(rows.column("k1").to_numpy().astype(np.int64).view(U))
 
 
 def _first_pass(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -173,28 +175,9 @@ def _first_pass(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, _ROWS)
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
-    """Sorted batches joined to tables that end where the key changes."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n < least:
-            continue
-        whole = pa.Table.from_batches(held).combine_chunks()
-        keys = whole.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if cut:
-            yield whole.slice(0, cut).combine_chunks()
-            held, n = whole.slice(cut).to_batches(), whole.num_rows - cut
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (k1, k2, rid, start): removed ranges, and the first occurrence of each context that has rivals."""
-    for rows in _whole_groups(batches, "k1", 100_000):
+    for rows in whole_groups(batches, "k1", 100_000):
         kind, k1, k2, rid, start, shape = (rows.column(n).to_numpy() for n in _NAMES)
         given = kind == REMOVED
         first = np.ones(len(k1), bool)
@@ -332,7 +315,7 @@ def _repeats(data: np.ndarray, start: np.ndarray, offset: np.ndarray, count: np.
 def _by_suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by anchor to the ranges that an earlier context repeats."""
     roll = Rolling(3)
-    for rows in _whole_groups(batches, "k1", CONTEXTS):
+    for rows in whole_groups(batches, "k1", CONTEXTS):
         data, at = utf8(rows.column("context").combine_chunks() if isinstance(rows.column("context"), pa.ChunkedArray) else rows.column("context"))
         data = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
         k1, rid, start, shape = (rows.column(n).to_numpy() for n in ("k1", "rid", "start", "shape"))
