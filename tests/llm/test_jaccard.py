@@ -47,10 +47,10 @@ def corpus(prose):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("few", "block", "often", "edges"), [(128, 1024, 3, 500_000), (2, 4, 2, 0)])
+@pytest.mark.parametrize(("few", "block", "often", "forest"), [(128, 1024, 3, 500_000), (2, 4, 2, 3)])
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
-def test_equals_all_pairs(spark, documents, prose, monkeypatch, few, block, often, edges, n, percent):
-    for name, value in (("FEW", few), ("BLOCK", block), ("OFTEN", often), ("TASK_EDGES", edges)):
+def test_equals_all_pairs(spark, documents, prose, monkeypatch, few, block, often, forest, n, percent):
+    for name, value in (("FEW", few), ("BLOCK", block), ("OFTEN", often), ("FOREST", forest)):
         monkeypatch.setattr(J, name, value)
     rows = corpus(prose)
     got = J.components_of(documents(rows).repartition(3), n, percent).collect()
@@ -83,3 +83,37 @@ def test_tree_walk_equals_intersections():
     for percent in (70, 85, 100):
         want = {i for i, r in enumerate(rows) if 100 * len(np.intersect1d(r, base)) >= percent * len(np.union1d(r, base))}
         assert set(tree.walk(base, np.ones(len(rows), bool), percent).tolist()) == want
+
+
+@pytest.mark.parametrize("least", [1, 3, 100])
+def test_whole_groups_never_cut_a_key(least):
+    import pyarrow as pa
+
+    keys = np.sort(np.random.default_rng(1).integers(0, 9, 60))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array(x)], ["k", "v"]) for x in np.split(keys, [0, 1, 7, 8, 20, 20, 41])]
+    tables = list(J.whole_groups(iter(batches), "k", least))
+    assert np.concatenate([t.column("k").to_numpy() for t in tables]).tolist() == keys.tolist()
+    assert all(a.column("k")[-1] != b.column("k")[0] for a, b in zip(tables, tables[1:])) and all(len(t) >= least for t in tables[:-1])
+    assert list(J.whole_groups(iter(batches[:1]), "k", least)) == []
+
+
+def test_components_of_paths_and_stars(spark):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(1000, 1000 + k) for k in range(1, 40)] + [(2000 + k, 2000 + rng.randrange(50)) for k in range(50)]
+    rng.shuffle(edges)
+    got = {r["node"]: r["label"] for r in J.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)).collect()}
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+
+
+def test_templates_of_many_sizes(spark, documents, prose, monkeypatch):
+    """Different texts that are mostly one boilerplate, short and long: a crowd of several blocks, not all of which meet."""
+    monkeypatch.setattr(J, "FEW", 3)
+    monkeypatch.setattr(J, "BLOCK", 6)
+    plate = prose(1, 120)
+    rows = [(k, " ".join([plate, prose(500 + k, 3 + k % 7 * (1 + k % 5 * 4))])) for k in range(60)] + [(100 + k, plate[: 200 + 9 * k]) for k in range(20)] + [(200 + k, plate + " " + plate[: 30 * k]) for k in range(10)]
+    got = J.components_of(documents(rows).repartition(3), 4, 85).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 4, 85)

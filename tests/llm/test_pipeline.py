@@ -33,3 +33,15 @@ def test_stages_keep_columns(spark, documents, prose, tmp_path):
         docs = saved(stage(spark, docs, str(tmp_path)))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert docs.count() == 5
+
+
+def test_empty_tables_and_repeated_ids(spark, documents, prose, tmp_path):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    item = prose(77, 30)
+    rows = [(1, prose(1)), (1, prose(2)), (1, prose(2)), (None, prose(3)), (None, prose(3) + " end"), (None, None), (2, item + " " + prose(4))]
+    for name, data, items in (("none", [], [(1, item)]), ("odd", rows, [(1, item)]), ("free", rows, [])):
+        folder = tmp_path / name
+        documents(data).select(*columns).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(folder / "benchmark.parquet"))
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in corpus_pipeline.run(spark, str(folder)).collect())
+        assert got == {"none": [], "odd": [-1, 1, 1], "free": [-1, 1, 1, 2]}[name]

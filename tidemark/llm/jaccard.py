@@ -9,16 +9,21 @@ What is left is joined through prefix trees: the ordered sets that meet in one
 place are stored as a trie (sorted, with the lengths of common prefixes), the
 probing set walks down it, rows with a common prefix share the overlap counted
 so far, and a subtree is left as soon as the remaining lengths cannot reach the
-overlap that is needed. The links are exact; connected components over them
-give the classes.
+overlap that is needed. No link is lost or estimated; connected components over
+the links give the classes.
 
 Groups of sets under one shingle that hold more than ``FEW`` members are not
 paired off. The sets that such groups tie together, directly or through others,
 form a crowd, found as connected components; each set goes to its crowd once
-and meets the others there, in blocks of about ``BLOCK`` sets. Frequent shingles
+and meets the others there, in blocks of about ``BLOCK`` sets that are ordered by
+size, so that blocks whose sizes are too far apart do not meet. Frequent shingles
 are dealt by (shingle, set), so none of them is one task's work before that.
 
-Shingles are compared as 56-bit hashes, equal sets as a 64-bit sum of hashes.
+Shingles are compared as 56-bit hashes, equal sets as a 64-bit sum of hashes,
+and not verified on the words: a link is wrong if two shingles of its two texts
+share a hash and the pair is that close to the limit (for two texts of 1,000
+shingles a chance of one in 10**10, before the second condition), a class if two
+different sets share a name (one in 10**5 that any two of 20 million sets do).
 
 Edge cases: null, empty and blank texts have an empty set, link with nothing
 and are a class of their own; a text with fewer words than a shingle is one
@@ -36,9 +41,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import keyed, saved, table, text_of
+from .common import keyed, saved, table, text_of, whole_groups
 from .rolling import U, Rolling, mix, ragged, utf8
 
 #: Words of a shingle and least similarity in percent: of the query by its contract, and of the pipeline.
@@ -46,9 +52,9 @@ QUERY_WORDS, QUERY_PERCENT = 4, 85
 WORDS, PERCENT = 5, 80
 #: Different sets of a batch that hold a shingle which counts as frequent; the most frequent shingles kept.
 OFTEN, MOST_FREQUENT = 3, 200_000
-FEW, BLOCK = 128, 1024
-#: Edges of a graph whose components one task finds.
-TASK_EDGES = 500_000
+FEW, BLOCK = 128, 512
+#: Nodes of a task's edges that it holds at once.
+FOREST = 500_000
 #: Tokens of a trie walked in one step; documents hashed at once (at most 256, as 8 bits name them).
 STEP, DOCS = 64, 256
 _SALT = U(0x2545F4914F6CDD1D)
@@ -201,7 +207,7 @@ def _meetings(percent: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, "token", 50_000):
+        for rows in whole_groups(batches, "token", 50_000):
             token, name, size, rank, last = (rows.column(c).to_numpy().astype(np.int64) for c in _PLACE)
             again = np.concatenate([[False], (token[1:] == token[:-1]) & (name[1:] == name[:-1])])
             token, name, size, rank, last = (x[~again] for x in (token, name, size, rank, last))
@@ -225,22 +231,6 @@ def _meetings(percent: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
-    """Batches sorted by ``key``, joined so that no key is cut in two."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(x.num_rows for x in held) >= least:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            keys = whole.column(key).to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if cut:
-                yield whole.slice(0, cut)
-                held = whole.slice(cut).to_batches()
-    if held and sum(x.num_rows for x in held):
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 class PrefixTree:
     """Ordered sets as a trie: rows sorted by their tokens, with the length of the prefix each shares with the row before."""
 
@@ -298,13 +288,14 @@ def _joined(words: int, percent: int, frequent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, unpack = Shingles(words, frequent.value), zstandard.ZstdDecompressor().decompress
-        for rows in _groups(batches, "meet", 2_000):
+        for rows in whole_groups(batches, "meet", 2_000):
             texts = [unpack(x) for x in rows.column("text").to_pylist()]
             data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(x) for x in texts])
             sets: list[np.ndarray] = []
             for doc, token, lo in shingles.sets(data, at):
                 size = np.bincount(doc - lo, minlength=min(DOCS, len(at) - 1 - lo))
-                sets.extend(np.split(shingles.ordered(doc, token)[0], np.cumsum(size)[:-1]))
+                # The other way round, as what many sets of a meeting share is what is frequent: so they share paths of the trie.
+                sets.extend(x[::-1] for x in np.split(shingles.ordered(doc, token)[0], np.cumsum(size)[:-1]))
             meet, rid, probe, block = (rows.column(c).to_numpy() for c in ("meet", "rid", "probe", "block"))
             first = np.flatnonzero(np.concatenate([[True], meet[1:] != meet[:-1]]))
             a, b = [], []
@@ -339,8 +330,8 @@ def _links(sets: list[np.ndarray], probe: np.ndarray, block: np.ndarray, percent
                 yield int(i), int(j)
 
 
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All edges of a small graph to the least node that each node reaches."""
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars: each node with the least node that the task's edges reach from it."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -353,23 +344,23 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             x, y = root(x), root(y)
             parent[max(x, y)] = min(x, y)
-    nodes = list(parent)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "label"])
+        if len(parent) >= FOREST:
+            yield _rows([[root(x) for x in parent], list(parent)], _EDGE)
+            parent.clear()
+    yield _rows([[root(x) for x in parent], list(parent)], _EDGE)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of ``edges`` (a, b): the smallest node that is reachable.
 
-    A graph of up to ``TASK_EDGES`` edges is one task's work (a few megabytes).
-    A larger one is labelled in rounds: each takes the least label of the
-    neighbours and then the label of the label; the rounds grow with the
-    logarithm of the longest path for the star-like graphs that meetings yield.
-    Every round is cut by a table in the shared folder.
+    Each task first turns its own edges into stars. Then nodes are labelled in
+    rounds: each takes the least label of its neighbours and then the label of
+    that label; the rounds grow with the logarithm of the longest path for the
+    star-like graphs that meetings yield. Every round is cut by a table in the
+    shared folder.
     """
-    edges = saved(edges)
-    if edges.count() <= TASK_EDGES:
-        return saved(edges.coalesce(1).mapInArrow(_union, "node bigint, label bigint"))
-    both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    stars = edges.mapInArrow(_forest, _sql(_EDGE))
+    both = saved(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
@@ -382,6 +373,29 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _dealt(crowds: DataFrame, percent: int) -> DataFrame:
+    """Sets (name, rid, size, crowd) to their meetings (meet, block, probe, rid).
+
+    The sets of a crowd are put into blocks by size, and a block meets itself and
+    those behind it whose sizes are near enough. Sets of one size are spread by
+    hash over the blocks that their number fills, so what is ordered is a row for
+    each size of a crowd and not its sets.
+    """
+    crowds = saved(crowds)
+    sizes = crowds.groupBy("crowd", "size").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("crowd").orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spread = crowds.join(sizes.withColumn("before", before), ["crowd", "size"])
+    place = F.col("before") + F.pmod(F.xxhash64("name"), F.col("n"))
+    dealt = saved(spread.select("crowd", F.floor(place / BLOCK).cast("int").alias("block"), "rid", "size"))
+    blocks = dealt.groupBy("crowd", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    later = blocks.select("crowd", F.col("block").alias("other"), F.col("low").alias("least"))
+    near = (F.col("block") <= F.col("other")) & (100 * F.col("high") >= percent * F.col("least"))
+    met = blocks.join(later, "crowd").where(near)
+    meet = F.xxhash64(F.lit("crowd"), "crowd", "block", "other")
+    met = met.select("crowd", meet.alias("meet"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
+    return dealt.join(met, ["crowd", "block"]).select("meet", "block", F.lit(True).alias("probe"), "rid")
+
+
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(rid, size, class) of ``docs`` (rid, text): number of shingles, and the smallest rid of the class."""
     spark = docs.sparkSession
@@ -390,7 +404,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     base = survey.where("rid IS NOT NULL").select("rid", "name", "size")
     often = survey.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "token").limit(MOST_FREQUENT).collect()
     frequent = spark.sparkContext.broadcast(np.array([r["token"] for r in reversed(often)], np.int64).view(U))
-    leaders = base.where("size > 0").groupBy("name").agg(F.min("rid").alias("leader"))
+    leaders = base.where("size > 0").groupBy("name").agg(F.min("rid").alias("leader"), F.first("size").alias("size"))
 
     places = _places(docs, words, percent, frequent)
     places = places.repartition(F.when(F.col("rank") > 0, F.xxhash64("token", "name")).otherwise(F.xxhash64("token"))).sortWithinPartitions("token", "size", "name")
@@ -407,14 +421,8 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     members = met.where("b IS NULL").select("token", "a").distinct()
     shared = members.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ties = members.join(shared.select("token"), "token").select("a", F.xxhash64(F.lit("shingle"), "token").alias("b"))
-    crowds = members.select("a").distinct().join(components(ties), F.col("a") == F.col("node")).select(F.col("a").alias("name"), F.col("label").alias("crowd"))
-    counts = crowds.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = crowds.join(counts, "crowd").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meet = F.xxhash64(F.lit("crowd"), "crowd", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select(meet.alias("meet"), "block", F.lit(True).alias("probe"), "name")
-
-    visits = pairs.unionByName(dealt).join(leaders, "name").drop("name").withColumnRenamed("leader", "rid")
+    crowds = members.select("a").distinct().join(components(ties), F.col("a") == F.col("node")).join(leaders, F.col("a") == F.col("name"))
+    visits = pairs.join(leaders, "name").select("meet", "block", "probe", F.col("leader").alias("rid")).unionByName(_dealt(crowds.select("name", F.col("leader").alias("rid"), "size", F.col("label").alias("crowd")), percent))
     fetched = docs.mapInArrow(_packed, "rid bigint, text binary").join(visits, "rid").select("meet", "block", "probe", "rid", "text")
     edges = (fetched.repartition("meet").sortWithinPartitions("meet", "rid").mapInArrow(_joined(words, percent, frequent), _sql(_EDGE)))
     labels = components(edges)
