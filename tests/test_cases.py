@@ -294,7 +294,6 @@ def test_written_case_can_be_cleared(spark, tmp_path):
     tags = spark.createDataFrame([(0, 1, "a"), (1, 1, "b")], TAGS)
     annotations.write_case(str(tmp_path / "c"), tags=tags)
     annotations.write_case(str(tmp_path / "c"), timelines=[0], tags=tags.limit(0))
-    assert annotations.read_case(spark, str(tmp_path / "c"), 0)["tags"].count() == 0 if (tmp_path / "c" / "comments").exists() else True
     assert {r["timeline_id"] for r in spark.read.schema(TAGS).parquet(str(tmp_path / "c" / "tags")).collect()} == {1}
 
 

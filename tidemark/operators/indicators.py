@@ -157,14 +157,15 @@ def _blocks(needles: DataFrame) -> Iterator[list[list[tuple[str, str, int]]]]:
 def _literal_hits(cells: DataFrame, blocks: list[list[tuple[str, str, int]]]) -> DataFrame:
     """row_id, list and line of the first needle of each list in any cell of (row_id, cells); one narrow pass.
 
-    A task reads its rows once and takes the blocks one by one, so it holds one automaton.
+    A task reads its rows once and takes the blocks one by one, so it holds one
+    automaton, and its rows only if there are several blocks.
     """
     sent = cells.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        held = list(batches)
+        held = batches if len(sent.value) == 1 else list(batches)
         for block in sent.value:
             automaton, places = ahocorasick.Automaton(), {}
             for needle, name, line in block:

@@ -266,14 +266,15 @@ R.add("e9_reapply_layout", e9_reapply_layout, "SELECT o_orderkey AS row_id, o_or
 
 
 def e10_s9_write_and_read_case(spark, sf_dir):
-    """Annotations of three timelines are written, those of one replaced, and that one and another read."""
+    """Annotations of three timelines are written, those of one replaced and those of another cleared, and all three read."""
     folder = _folder(spark)
     tags = _case_tags(spark, sf_dir)
     empty = spark.createDataFrame([], "timeline_id bigint, row_id bigint, col int, value string")
     N.write_case(folder, tags=tags, comments=_case_comments(spark, sf_dir), edits=empty, tag_defs=base.palette(spark))
     N.write_case(folder, tags=tags.where("timeline_id = 2").withColumn("tag", F.lit("Again")))
-    read = [N.read_case(spark, folder, i)["tags"].withColumn("timeline_id", F.lit(i)) for i in (1, 2)]
-    return read[0].unionByName(read[1]).select("timeline_id", "row_id", F.array_join("tags", ",").alias("tags"))
+    N.write_case(folder, timelines=[3], tags=tags.limit(0))
+    read = [N.read_case(spark, folder, i)["tags"].withColumn("timeline_id", F.lit(i)) for i in (1, 2, 3)]
+    return read[0].unionByName(read[1]).unionByName(read[2]).select("timeline_id", "row_id", F.array_join("tags", ",").alias("tags"))
 
 
 R.add("e10_s9_write_and_read_case", e10_s9_write_and_read_case, f"{_CASE_SQL} SELECT timeline_id, row_id, CASE timeline_id WHEN 2 THEN 'Again' ELSE tag END AS tags FROM tags")
