@@ -53,7 +53,7 @@ WORDS, PERCENT = 5, 80
 #: Different sets of a batch that hold a shingle which counts as frequent; the most frequent shingles kept.
 OFTEN, MOST_FREQUENT = 3, 200_000
 FEW, BLOCK = 128, 512
-#: Nodes of a task's edges that it holds at once.
+#: Edges that are put into one task, and nodes of them that it holds at once.
 FOREST = 500_000
 #: Tokens of a trie walked in one step; documents hashed at once (at most 256, as 8 bits name them).
 STEP, DOCS = 64, 256
@@ -353,13 +353,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of ``edges`` (a, b): the smallest node that is reachable.
 
-    Each task first turns its own edges into stars. Then nodes are labelled in
-    rounds: each takes the least label of its neighbours and then the label of
+    The edges are put into tasks of about ``FOREST`` edges, each of which turns
+    its own into stars. Then nodes are labelled in rounds: each takes the least label of its neighbours and then the label of
     that label; the rounds grow with the logarithm of the longest path for the
     star-like graphs that meetings yield. Every round is cut by a table in the
     shared folder.
     """
-    stars = edges.mapInArrow(_forest, _sql(_EDGE))
+    edges = saved(edges)
+    stars = edges.coalesce(max(1, -(-edges.count() // FOREST))).mapInArrow(_forest, _sql(_EDGE))
     both = saved(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
