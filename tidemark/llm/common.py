@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The white space of the word definition: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -102,3 +103,37 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Ite
             n += batch.num_rows
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def placed(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """``df``, saved, with ``place``: 0, 1, ... within the rows of equal ``group`` in ``order`` (nulls first).
+
+    Rows are sorted by range, so a group of any size is spread over tasks; rows
+    are numbered within their partition as they stream by. Only the first group
+    of a partition can have begun in an earlier one, so the table of what is to be
+    added holds a row for each partition at most, and is broadcast.
+    """
+    ranged = df.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    ranged = ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.lit(0).cast("long")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(group)
+            codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            head = np.concatenate([[True], codes[1:] != codes[:-1]])
+            at = np.arange(len(codes)) - np.maximum.accumulate(np.where(head, np.arange(len(codes)), 0))
+            if count and keys[0].as_py() == last:
+                until = int(np.argmax(head[1:])) + 1 if head[1:].any() else len(head)
+                at[:until] += count
+            last, count = keys[-1].as_py(), int(at[-1]) + 1
+            yield batch.set_column(batch.schema.get_field_index("_at"), batch.schema.field("_at"), pa.array(at, pa.int64()))
+
+    kept = saved(ranged.mapInArrow(run, ranged.schema))
+    counts = kept.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    shifts = counts.withColumn("_before", before).where("_before > 0").select(F.col(group).alias("_group"), F.col("_part").alias("_in"), "_before")
+    joined = kept.join(F.broadcast(shifts), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_in")), "left")
+    return joined.withColumn("place", F.col("_at") + F.coalesce("_before", F.lit(0))).drop("_part", "_at", "_group", "_in", "_before")
