@@ -105,7 +105,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Ite
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def placed(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+def placed(df: DataFrame, group: str, order: list[Column], ranges: list[Column] | None = None) -> DataFrame:
     """``df``, saved, with ``place``: 0, 1, ... within the rows of equal ``group`` in ``order`` (nulls first).
 
     Rows are sorted by range, so a group of any size is spread over tasks; rows

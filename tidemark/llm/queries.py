@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("secrets", "licenses", "suffixes", "warc", "jaccard", "pieces", "sharding", "chat", "decontaminate", "quality", "manifest", "bpe")
+_MODULES = ("secrets", "licenses", "suffixes", "warc", "jaccard", "pieces", "sharding", "chat", "decontaminate", "quality", "manifest", "repair", "bpe")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
