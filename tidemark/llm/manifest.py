@@ -76,14 +76,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _LINK.values(), strict=True)], list(_LINK))
 
 
-def _grown(nodes: list[dict], base: int) -> Iterator[tuple]:
+def _grown(nodes: list[dict], base: int, step: int) -> Iterator[tuple]:
     """A block of consecutive nodes of level ``base``: its links on the levels to come, then (with top -1) the node on top of them."""
     tree, depth, at, level = nodes[0]["tree"], nodes[0]["depth"], nodes[0]["idx"], base
     digests = [n["digest"].hex() for n in nodes]
     carried = [(n["digest"], n["doc_id"], n["tampered"]) for n in nodes] if base == 0 else None
     if depth == 0:
         yield (tree, 0, at, 0, 0, b"", *carried[0])
-    while level < min(base + STEP, depth):
+    while level < min(base + step, depth):
         for i, _ in enumerate(digests):
             other = bytes.fromhex(digests[i ^ 1]) if i ^ 1 < len(digests) else b""
             segment = (LEFT if i & 1 else RIGHT) + other if other else ALONE
@@ -92,21 +92,21 @@ def _grown(nodes: list[dict], base: int) -> Iterator[tuple]:
     yield (tree, level, at, depth, -1, None, bytes.fromhex(digests[0]), None, None)
 
 
-def _blocks(base: int):
+def _blocks(base: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[dict] = []
         rows: list[tuple] = []
         for batch in batches:
             for node in batch.to_pylist():
-                if block and (block[0]["tree"] != node["tree"] or block[0]["idx"] >> STEP != node["idx"] >> STEP):
-                    rows.extend(_grown(block, base))
+                if block and (block[0]["tree"] != node["tree"] or block[0]["idx"] >> step != node["idx"] >> step):
+                    rows.extend(_grown(block, base, step))
                     block = []
                     if len(rows) >= 10_000:
                         yield _batch(rows)
                         rows = []
                 block.append(node)
         if block:
-            rows.extend(_grown(block, base))
+            rows.extend(_grown(block, base, step))
         yield _batch(rows)
 
     return run
@@ -122,7 +122,7 @@ def grow(leaves: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     links, roots, base = None, None, 0
     while True:
         dealt = nodes.repartition("tree", F.shiftright("idx", STEP)).sortWithinPartitions("tree", "idx")
-        out = saved(dealt.mapInArrow(_blocks(base), _SQL))
+        out = saved(dealt.mapInArrow(_blocks(base, STEP), _SQL))
         links = out.where("top >= 0") if links is None else links.unionByName(out.where("top >= 0"))
         ended = out.where("top = -1 AND level = depth").select("tree", "digest")
         roots = ended if roots is None else roots.unionByName(ended)
