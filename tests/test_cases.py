@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import ordering
 from tidemark.functions import predicates as P
 from tidemark.model import COMMENTS, EDITS, TAG_DEFS, TAGS
 from tidemark.operators import extract, indicators, master, overlay, profile
@@ -163,10 +164,72 @@ def test_master_over_two_shapes(spark):
     rows = master.master(snaps[0][1].unionByName(snaps[1][1]), lines, tags, comments).orderBy(*master.master_order()).collect()
     assert [r["cells"][2] for r in rows] == ["initial access", "outbound c2", "ticket forged", "odd"]
     grid = master.aligned(snaps, tags, comments, lines)
-    assert grid.where("Computer = 'ws1'").count() == 2 and grid.where("Computer = 'dc1' AND time = 'not-a-time'").count() == 1
+    host = grid.resolve("Computer")
+    assert grid.df.where(F.col(host) == "ws1").count() == 2 and grid.df.where((F.col(host) == "dc1") & (F.col("time") == "not-a-time")).count() == 1
     assert overlay.still_tagged(snaps[1][1], overlay.delete_tag(tags, "y")).count() == 1
 
 
+def test_master_rows_that_share_ids_and_headers(spark):
+    """Equal row ids in two timelines, headers called as the fixed ones are, or alike but for case, or twice in one timeline."""
+    from dataclasses import replace
+
+    make = lambda i, name, headers, rows: replace(delimited.in_memory(spark, headers, rows), time_column="c0", timeline_id=i, name=name)
+    a = make(1, "A", ["Time", "Host", "host", "Note"], [["2024-01-02", "alpha one", "x", "n"], ["2024-01-01", "beta", "y alpha", "n"]])
+    b = make(2, "B", ["When", "host", "Summary", "host"], [["2024-01-03", "first", "alpha", "last alpha"], ["", "", "", "alphaalpha"]])
+    tags = spark.createDataFrame([(1, 0, "x"), (1, 1, "x"), (2, 0, "x"), (2, 1, "y")], TAGS)
+    comments = spark.createDataFrame([(2, 0, "seen")], COMMENTS)
+    lines = delimited.register([(t.timeline_id, t.name, "", t.df, [t.title(c) for c in t.columns], 0) for t in (a, b)], spark)
+    t = master.aligned([(x, master.snapshot(x, tags)) for x in (a, b)], tags, comments, lines, numbered=True)
+    assert [t.title(c) for c in t.columns] == ["Time", "Timeline", "Time", "Host", "host", "When", "Summary"]
+    got = t.df.orderBy("position").collect()
+    assert [(r["timeline_id"], r["row_id"], r["position"]) for r in got] == [(1, 1, 0), (1, 0, 1), (2, 0, 2), (2, 1, 3)]
+    assert [r["c2"] for r in got] == ["y alpha", "x", "last alpha", "alphaalpha"] and got[2]["comment"] == "seen"
+    spans = profile.highlights(t, P.FilterSpec(query="alpha"))
+    assert sorted((r["timeline_id"], r["row_id"], t.title(r["column"]), r["start"], r["end"]) for r in spans.collect()) == [(1, 0, "Host", 0, 5), (1, 1, "host", 2, 7), (2, 0, "Summary", 0, 5), (2, 0, "host", 5, 10), (2, 1, "host", 0, 10)]
+    hits = indicators.scan(t, [indicators.Indicator("l", 1, "plain", "last", "tail")])
+    assert [tuple(r) for r in hits.collect()] == [(2, 0, "l", 1, "tail")]
+    assert [tuple(r) for r in indicators.run_all(t, hits).collect()] == [(2, 0, ["ioc:l", "x"], "tail; seen")]
+    assert {tuple(r) for r in indicators.hit_tags(hits).collect()} == {(2, 0, "ioc:l")}
+    assert [r["row_id"] for r in t.df.where(P.field_equals(t, "row", "3")).collect()] == [0]
+    assert [(r["timeline_id"], r["row_id"]) for r in ordering.sort(t, [("Timeline", True)]).df.collect()] == [(2, 0), (2, 1), (1, 1), (1, 0)]
+    with pytest.raises(ValueError):
+        replace(t, number=None).text("row")
+    more = overlay.attach_comments(overlay.attach_tags(t, tags.withColumn("tag", F.lit("z"))), comments)
+    assert {(r["timeline_id"], r["row_id"], r["comment"], *r["tags"]) for r in more.df.collect()} == {(1, 0, "", "z"), (1, 1, "", "z"), (2, 0, "seen", "z"), (2, 1, "", "z")}
+
+
+def test_summaries_show_for_all_entries_if_one_lacks_cells(spark):
+    from dataclasses import replace
+
+    t = replace(delimited.in_memory(spark, ["When", "Host"], [["2024-01-01", "a"], ["2024-01-02", "b"]]), time_column="c0", timeline_id=1, name="A")
+    tags = spark.createDataFrame([(1, 0, "x"), (1, 1, "x")], TAGS)
+    lines = delimited.register([(1, "A", "", t.df, ["When", "Host"], 0)], spark)
+    snap = master.snapshot(t, tags)
+    none = spark.createDataFrame([], COMMENTS)
+    assert [master.aligned([(t, snap)], tags, none, lines).title(c) for c in ("c0", "c1")] == ["When", "Host"]
+    old = snap.withColumn("cells", F.when(F.col("row_id") == 0, F.array().cast("array<string>")).otherwise(F.col("cells")))
+    grid = master.aligned([(t, old)], tags, none, lines)
+    assert [(r["c1"], r["summary"]) for r in grid.df.orderBy("row_id").collect()] == [("", "2024-01-01 | a"), ("b", "2024-01-02 | b")]
+    assert master.aligned([(t, snap.limit(0))], tags, none, lines).df.count() == 0
+
+
+def test_the_last_of_several_edits_counts(spark):
+    t = delimited.in_memory(spark, ["v", "w"], [["a", "b"], ["c", "d"]])
+    edits = spark.createDataFrame([(0, 0, 0, "new", 2), (0, 0, 0, "older", 1), (0, 1, 1, "x", 1), (0, 1, 1, "y", 1)], EDITS + ", seq int")
+    assert [(r["c0"], r["c1"]) for r in overlay.apply_edits(t, edits).df.orderBy("row_id").collect()] == [("new", "b"), ("c", "y")]
+    assert [(r["c0"], r["c1"]) for r in overlay.apply_edits(t, edits.drop("seq")).df.orderBy("row_id").collect()] == [("older", "b"), ("c", "y")]
+    comments = spark.createDataFrame([(0, 0, "old"), (0, 1, "kept")], COMMENTS)
+    new = spark.createDataFrame([(0, 0, "first", 1), (0, 0, "second", 2), (0, 2, "x", 1), (0, 2, "", 2)], COMMENTS + ", seq int")
+    assert {tuple(r) for r in overlay.set_values(comments, new, overlay.KEY, "comment").collect()} == {(0, 0, "second"), (0, 1, "kept")}
+
+
+def test_cased_filters_highlight_their_case_only(spark):
+    t = delimited.in_memory(spark, ["v"], [["Evil evil EVIL"]])
+    got = lambda **spec: sorted((r["start"], r["end"]) for r in profile.highlights(t, P.FilterSpec(**spec)).collect())
+    assert got(query="evil") == [(0, 4), (5, 9), (10, 14)] and got(query="evil", cased=True) == [(5, 9)]
+    assert got(query="E[Vv]", query_regex=True, cased=True) == [(0, 2), (10, 12)]
+
+
 def test_exports(spark, tmp_path):
     t = delimited.in_memory(spark, ["host", "event"], [["alpha", "login"], ["bravo", "logout"]])
     tags = spark.createDataFrame([(0, 0, "flag")], TAGS)

@@ -25,10 +25,10 @@ def order_by(t: Timeline, keys: list[tuple[str, bool]]) -> list[Column]:
     for name, descending in keys:
         column = t.resolve(name)
         if column == "row":
-            out.append(F.col("row_id").desc() if descending else F.col("row_id").asc())
+            out += [F.col(c).desc() if descending else F.col(c).asc() for c in t.row_order]
         else:
             out += mixed_key(t.text(column), descending)
-    return [*out, F.col("row_id").asc()]
+    return [*out, *[F.col(c).asc() for c in t.row_order]]
 
 
 def sort(t: Timeline, keys: list[tuple[str, bool]]) -> Timeline:

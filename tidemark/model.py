@@ -36,6 +36,11 @@ class Timeline:
     adopted: list[str] = field(default_factory=list)
     timeline_id: int = 0
     name: str = ""
+    #: What names a row in every join, window and group; rows of several timelines have the timeline's id in it.
+    key: tuple[str, ...] = ("row_id",)
+    #: Columns that give the order of rows (the key if there are none), and the one that counts rows from 0.
+    order: tuple[str, ...] = ()
+    number: str | None = "row_id"
 
     def with_df(self, df: DataFrame) -> Timeline:
         return replace(self, df=df)
@@ -45,6 +50,14 @@ class Timeline:
         """Columns that count as data: adopted annotation columns do not."""
         return [c for c in self.columns if c not in self.adopted]
 
+    @property
+    def row_order(self) -> list[str]:
+        return list(self.order or self.key)
+
+    def own(self, table: DataFrame) -> DataFrame:
+        """The rows of a side table that belong to this timeline, with the columns of its key."""
+        return table if "timeline_id" in self.key else table.where(F.col("timeline_id") == self.timeline_id).drop("timeline_id")
+
     def title(self, column: str) -> str:
         return self.titles.get(column) or column
 
@@ -63,7 +76,9 @@ class Timeline:
         if column == "tags":
             return F.array_join("tags", TAG_SEPARATOR)
         if column == "row":
-            return (F.col("row_id") + 1).cast("string")
+            if self.number is None:
+                raise ValueError("rows of this timeline are not numbered")
+            return (F.col(self.number) + 1).cast("string")
         return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 

@@ -124,7 +124,7 @@ def first_hit(t: Timeline, indicators: list[Indicator]) -> Column:
 
 
 def scan(t: Timeline, indicators: list[Indicator]) -> DataFrame:
-    """Rows hit, with list, line and label of the first indicator of each list that hit: row_id, list, line, label."""
+    """Rows hit, with list, line and label of the first indicator of each list that hit: the row's key, list, line, label."""
     lists = sorted({i.list for i in indicators})
     hits = []
     for name in lists:
@@ -133,9 +133,9 @@ def scan(t: Timeline, indicators: list[Indicator]) -> DataFrame:
         k = first_hit(t, own)
         hits.append(F.struct(F.lit(name).alias("list"), F.get(table, k).alias("hit")))
     if not hits:
-        return t.df.select("row_id", F.lit("").alias("list"), F.lit(0).alias("line"), F.lit("").alias("label")).limit(0)
-    found = t.df.select("row_id", F.explode(F.filter(F.array(*hits), lambda h: h["hit"].isNotNull())).alias("h"))
-    return found.select("row_id", "h.list", "h.hit.line", "h.hit.label")
+        return t.df.select(*t.key, F.lit("").alias("list"), F.lit(0).alias("line"), F.lit("").alias("label")).limit(0)
+    found = t.df.select(*t.key, F.explode(F.filter(F.array(*hits), lambda h: h["hit"].isNotNull())).alias("h"))
+    return found.select(*t.key, "h.list", "h.hit.line", "h.hit.label")
 
 
 def _blocks(needles: DataFrame) -> Iterator[list[list[tuple[str, str, int]]]]:
@@ -210,7 +210,8 @@ def scan_many(t: Timeline, indicators: DataFrame, rules: dict[tuple[str, int], C
 
 def hit_tags(hits: DataFrame, timeline_id: int = 0) -> DataFrame:
     """The tag ``ioc:<list>`` for every row that a list hits."""
-    return hits.select(F.lit(timeline_id).cast("long").alias("timeline_id"), "row_id", F.concat(F.lit(PREFIX), "list").alias("tag")).distinct()
+    own = F.col("timeline_id") if "timeline_id" in hits.columns else F.lit(timeline_id).cast("long")
+    return hits.select(own.alias("timeline_id"), "row_id", F.concat(F.lit(PREFIX), "list").alias("tag")).distinct()
 
 
 def merge_label(comment: Column, label: Column) -> Column:
@@ -219,15 +220,15 @@ def merge_label(comment: Column, label: Column) -> Column:
 
 
 def run_all(t: Timeline, hits: DataFrame) -> DataFrame:
-    """row_id, tags and comment of the rows hit, after all lists in order: later labels end up in front.
+    """The row's key, tags and comment of the rows hit, after all lists in order: later labels end up in front.
 
     Every list has scanned the annotations as they were at the start.
     """
-    folded = hits.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("list", "label"))).alias("found"))
-    both = t.df.select("row_id", "tags", "comment").join(folded, "row_id")
+    folded = hits.groupBy(*t.key).agg(F.array_sort(F.collect_list(F.struct("list", "label"))).alias("found"))
+    both = t.df.select(*t.key, "tags", "comment").join(folded, list(t.key))
     comment = F.aggregate("found", F.col("comment"), lambda c, h: merge_label(c, h["label"]))
     tags = F.array_sort(F.array_union("tags", F.transform("found", lambda h: F.concat(F.lit(PREFIX), h["list"]))))
-    return both.select("row_id", tags.alias("tags"), comment.alias("comment"))
+    return both.select(*t.key, tags.alias("tags"), comment.alias("comment"))
 
 
 def list_names(lists: DataFrame) -> DataFrame:

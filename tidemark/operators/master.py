@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import stripped, text
+from ..functions.ordering import positions
+from ..functions.predicates import stripped
 from ..functions.times import time_of
 from ..model import TAG_SEPARATOR, Timeline
 from .overlay import COMMENT_HEADERS, TAG_HEADERS
@@ -50,29 +51,65 @@ def shown_time(time: Column, raw: Column) -> Column:
 
 
 def aligned_headers(display: list[list[str]]) -> list[str]:
-    """Ordered union of display headers, without blanks and annotation headers."""
-    out: list[str] = []
+    """Ordered union of display headers, letter by letter, without blanks and annotation headers."""
+    out: dict[str, None] = {}
     for headers in display:
-        for h in headers:
-            if h.strip() and h.lower() not in [*TAG_HEADERS, *COMMENT_HEADERS] and h not in out:
-                out.append(h)
-    return out
+        out.update(dict.fromkeys(h for h in headers if h and h.strip().lower() not in [*TAG_HEADERS, *COMMENT_HEADERS]))
+    return list(out)
 
 
-def aligned(parts: list[tuple[Timeline, DataFrame]], tags: DataFrame, comments: DataFrame, timelines: DataFrame) -> DataFrame:
-    """The union grid: time, timeline, tags, comment, the keys back to the source, and a column for each display header.
+def _survey(rows: DataFrame) -> tuple[list[int], bool]:
+    """The timelines that have entries, in the order of their first ones, and whether some entry lacks cells. One small aggregate."""
+    first = F.min(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(master_order())]))
+    found = rows.groupBy("timeline_id").agg(first.alias("first"), F.max(F.size("cells") == 0).alias("old")).orderBy("first").select("timeline_id", "old").collect()
+    return [r["timeline_id"] for r in found], any(r["old"] for r in found)
 
-    On a header that a timeline has twice the last column wins; what a timeline lacks is empty.
+
+#: What the grid adds to the aligned columns: internal names and their titles.
+FIXED = {"time": "Time", "timeline": "Timeline"}
+ORDER = ["_untimed", "_at", "_timeline", "timeline_id", "row_id"]
+
+
+def aligned(parts: list[tuple[Timeline, DataFrame]], tags: DataFrame, comments: DataFrame, timelines: DataFrame, numbered: bool = False) -> Timeline:
+    """The entries of several timelines as one: Time, Timeline, and a column for each display header, in the order of the entries.
+
+    Columns have internal names, the headers are titles, so headers that differ
+    in case only, or are called as the fixed ones are, stand beside each other. On a
+    header that a timeline has twice the last column wins; what a timeline lacks is empty. If some
+    entry has no cells, as those of old snapshots, there is a Summary column with the summary of every entry.
+
+    Rows are named by (timeline_id, row_id), as two timelines may use the same
+    row ids; ``numbered`` adds their places in the master timeline, which the
+    field ``row`` then shows (a sort of all entries).
     """
-    headers = aligned_headers([[t.title(c) for c in t.data_columns] for t, _ in parts])
-    frames = []
-    for t, snap in parts:
-        rows = master(snap, timelines, tags, comments)
-        last = {t.title(c): i for i, c in enumerate(t.data_columns)}
-        cells = [(F.coalesce(F.get("cells", F.lit(last[h])), F.lit("")) if h in last else F.lit("")).alias(h) for h in headers]
-        old = F.when(F.size("cells") == 0, F.col("summary")).otherwise("")
-        frames.append(rows.select(shown_time(F.col("time"), F.col("time_raw")).alias("time"), "timeline", "tags", "comment", old.alias("summary"), "timeline_id", "row_id", *cells))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    own = {t.timeline_id: t for t, _ in parts}
+    rows = master(reduce(DataFrame.unionByName, [snap for _, snap in parts]), timelines, tags, comments)
+    found, old = _survey(rows)
+    headers = aligned_headers([[own[i].title(c) for c in own[i].data_columns] for i in found])
+    cells = {}
+    for k, h in enumerate(headers):
+        # The place of the header in each timeline that has it.
+        at = [(i, max(n for n, c in enumerate(own[i].data_columns) if own[i].title(c) == h)) for i in found if h in map(own[i].title, own[i].data_columns)]
+        place = F.try_element_at(F.create_map(*[F.lit(x) for pair in at for x in (int(pair[0]), pair[1])]), F.col("timeline_id").cast("int"))
+        cells[f"c{k}"] = F.coalesce(F.get("cells", place), F.lit(""))
+    titles = {**FIXED, **{f"c{k}": h for k, h in enumerate(headers)}, **({"summary": "Summary"} if old else {})}
+    untimed, at_, name, *_ = master_order()
+    grid = rows.select(
+        "timeline_id",
+        "row_id",
+        untimed.alias("_untimed"),
+        at_.alias("_at"),
+        name.alias("_timeline"),
+        shown_time(F.col("time"), F.col("time_raw")).alias("time"),
+        "timeline",
+        *[c.alias(n) for n, c in cells.items()],
+        *(["summary"] if old else []),
+        F.filter(F.split("tags", TAG_SEPARATOR), lambda x: x != "").alias("tags"),
+        "comment",
+    )
+    if numbered:
+        grid = positions(grid, [F.col(c) for c in ORDER])
+    return Timeline(grid, list(titles), titles, time_column="time", name="(master)", key=("timeline_id", "row_id"), order=("position",) if numbered else tuple(ORDER), number="position" if numbered else None)
 
 
 def back_to_source(rows: DataFrame, t: Timeline) -> DataFrame:
@@ -81,10 +118,9 @@ def back_to_source(rows: DataFrame, t: Timeline) -> DataFrame:
     return t.df.join(own, "row_id", "left_semi")
 
 
-def as_timeline(grid: DataFrame, columns: list[str]) -> Timeline:
-    """The grid as an ordinary timeline; rows are named by their source keys."""
-    tags = F.filter(F.split("tags", TAG_SEPARATOR), lambda x: x != "")
-    return Timeline(grid.withColumn("tags", tags).withColumn("comment", text("comment")), columns, time_column="time")
+def titled(t: Timeline) -> dict[str, str]:
+    """Internal names of the columns by title; the first of equal titles."""
+    return {t.title(c): c for c in reversed(t.columns)}
 
 
 def master_tags(t: Timeline) -> DataFrame:

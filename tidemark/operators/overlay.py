@@ -6,6 +6,8 @@ left joins, so Spark broadcasts a small overlay and shuffles a large one.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,30 +20,33 @@ KEY = ["timeline_id", "row_id"]
 TAG_HEADERS, COMMENT_HEADERS = ["tag", "tags"], ["comment", "comments", "note", "notes"]
 
 
-def _own(table: DataFrame, t: Timeline) -> DataFrame:
-    return table.where(F.col("timeline_id") == t.timeline_id).drop("timeline_id")
-
-
 def tag_lists(tags: DataFrame, *keys: str) -> DataFrame:
     """Sorted distinct tags of each row."""
     return tags.groupBy(*(keys or KEY)).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
 
 
 def attach_tags(t: Timeline, tags: DataFrame) -> Timeline:
-    lists = tag_lists(_own(tags, t), "row_id")
-    df = t.df.drop("tags").join(lists, "row_id", "left")
+    lists = tag_lists(t.own(tags), *t.key)
+    df = t.df.drop("tags").join(lists, list(t.key), "left")
     return t.with_df(df.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))))
 
 
 def attach_comments(t: Timeline, comments: DataFrame) -> Timeline:
-    df = t.df.drop("comment").join(_own(comments, t).select("row_id", "comment"), "row_id", "left")
+    df = t.df.drop("comment").join(t.own(comments).select(*t.key, "comment"), list(t.key), "left")
     return t.with_df(df.withColumn("comment", F.coalesce("comment", F.lit(""))))
 
 
 def apply_edits(t: Timeline, edits: DataFrame) -> Timeline:
-    """Cell overrides by the position of their column; filters and sorts after this see the new values."""
-    per_row = _own(edits, t).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("_edits"))
-    df = t.df.join(per_row, "row_id", "left")
+    """Cell overrides by the position of their column; filters and sorts after this see the new values.
+
+    Of several edits of one cell the last one counts: the greatest ``seq``, if the table has
+    that column, then the greatest value, so that the result does not depend on the order of rows.
+    """
+    own = t.own(edits)
+    last = F.struct(*[c for c in ("seq",) if c in own.columns], "value")
+    cells = own.groupBy(*t.key, "col").agg(F.max(last)["value"].alias("value"))
+    per_row = cells.groupBy(*t.key).agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("_edits"))
+    df = t.df.join(per_row, list(t.key), "left")
     edited = {c: F.coalesce(F.element_at("_edits", F.lit(i)), F.col(f"`{c}`").cast("string")) for i, c in enumerate(t.columns)}
     return t.with_df(df.withColumns(edited).drop("_edits"))
 
@@ -104,7 +109,13 @@ def extend_palette(tag_defs: DataFrame, tags: DataFrame, color: str = DEFAULT_CO
 
 
 def set_values(table: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Comments or edits with new values by key; an empty comment or null value clears."""
+    """Comments or edits with new values by key; an empty comment or null value clears.
+
+    Of several new values of a key the last one counts (greatest ``seq``, where ``new`` has
+    it, then greatest value; null is least).
+    """
+    last = F.max(F.struct(*[c for c in ("seq",) if c in new.columns], value))[value].alias(value)
+    new = new.groupBy(*keys).agg(last)
     kept = table.join(new.select(*keys), keys, "left_anti")
     return kept.unionByName(new.where(F.col(value).isNotNull() & ((F.lit(value != "comment")) | filled(value))).select(*table.columns))
 
@@ -132,7 +143,7 @@ def adopt(t: Timeline) -> Timeline:
     if comment is not None:
         df = df.withColumn("comment", stripped(F.col(f"`{t.columns[comment]}`")))
         adopted.append(t.columns[comment])
-    return Timeline(df, t.columns, t.titles, t.time_column, adopted, t.timeline_id, t.name)
+    return replace(t, df=df, adopted=adopted)
 
 
 def merge_palettes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -34,7 +34,9 @@ def search_values(values: DataFrame, needle: str) -> DataFrame:
 
 
 def hits_per_list(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("list").agg(F.count_distinct("row_id").alias("n_rows"))
+    """Rows that each list hits, of all timelines that the hits are of."""
+    key = [c for c in ("timeline_id", "row_id") if c in hits.columns]
+    return hits.select("list", *key).distinct().groupBy("list").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 #: Characters that mark matches; where a cell has them itself they are read as another control character.
@@ -51,8 +53,8 @@ def _quoted(needle: str) -> str:
     return "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def spans(t: Timeline, terms: list[Term] | list[tuple[str, str]]) -> DataFrame:
-    """row_id, column, start, end of every non-empty match of each (field, value) or (field, value, is regex) term, in characters, ignoring case.
+def spans(t: Timeline, terms: list[Term] | list[tuple[str, str]], cased: bool = False) -> DataFrame:
+    """The row's key, column, start, end of every non-empty match of each (field, value) or (field, value, is regex) term, in characters, ignoring case unless ``cased``.
 
     ``any`` looks into every data column. A match is a row: running lengths give
     the places, so the work grows with the matches of a cell.
@@ -60,19 +62,19 @@ def spans(t: Timeline, terms: list[Term] | list[tuple[str, str]]) -> DataFrame:
     parts = []
     for name, value, *regex in terms:
         target = t.resolve(name) if name != "data" else "any"
-        pattern = "(?iu)" + (check_regex(value) if regex and regex[0] else _quoted(value))
+        pattern = ("" if cased else "(?iu)") + (check_regex(value) if regex and regex[0] else _quoted(value))
         for c in t.data_columns if target == "any" else [target]:
             parts.append(F.struct(F.lit(c).alias("column"), F.lit(len(parts)).alias("term"), _marked(t.text(c), pattern).alias("parts")))
     if not parts:
-        return t.df.select("row_id", F.lit("").alias("column"), F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
+        return t.df.select(*t.key, F.lit("").alias("column"), F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
     hit = F.filter(F.array(*parts), lambda x: F.size(x["parts"]) > 1)
-    cells = t.df.select("row_id", F.explode(hit).alias("x"))
-    rows = cells.select("row_id", "x.column", "x.term", F.posexplode("x.parts").alias("i", "part"))
+    cells = t.df.select(*t.key, F.explode(hit).alias("x"))
+    rows = cells.select(*t.key, "x.column", "x.term", F.posexplode("x.parts").alias("i", "part"))
     width = F.length("part") - F.when(F.col("i") > 0, 1).otherwise(0)
-    before = W.partitionBy("row_id", "column", "term").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*t.key, "column", "term").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("width", width).withColumn("start", F.sum("width").over(before).cast("int")).where("i > 0")
     placed = placed.withColumn("end", (F.col("start") + F.length(F.substring_index("part", _END, 1))).cast("int"))
-    return placed.where(F.col("end") > F.col("start")).select("row_id", "column", "start", "end")
+    return placed.where(F.col("end") > F.col("start")).select(*t.key, "column", "start", "end")
 
 
 def regex_spans(df: DataFrame, key: str, column: str, pattern: str) -> DataFrame:
@@ -82,8 +84,8 @@ def regex_spans(df: DataFrame, key: str, column: str, pattern: str) -> DataFrame
 
 
 def highlights(t: Timeline, spec: FilterSpec) -> DataFrame:
-    """row_id, column, start, end of what a filter spec looks for, overlapping and touching spans joined; what is excluded is not shown."""
-    return merge_spans(spans(t, spec.terms()), ["row_id", "column"])
+    """The row's key, column, start, end of what a filter spec looks for, overlapping and touching spans joined; what is excluded is not shown."""
+    return merge_spans(spans(t, spec.terms(), spec.cased), [*t.key, "column"])
 
 
 def merge_spans(found: DataFrame, keys: list[str]) -> DataFrame:

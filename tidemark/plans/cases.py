@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.ordering import order_by, positions
-from ..functions.predicates import has_tag
+from ..functions.predicates import Condition, FilterSpec, has_tag
 from ..model import Timeline
+from ..operators import indicators as I
 from ..operators import master as M
 from ..operators.overlay import apply_edits, extend_palette
-from ..operators.profile import tag_counts
+from ..operators.profile import highlights, tag_counts
 from ..sources import annotations as N
 from ..sources import delimited as D
 from ..sources import exports as E
@@ -106,6 +107,10 @@ def _snapshots(spark, sf_dir, *parts):
     return [(t, M.snapshot(t, tags)) for t in parts]
 
 
+def _master(spark, sf_dir, parts, **more) -> Timeline:
+    return M.aligned(parts, _case_tags(spark, sf_dir), _case_comments(spark, sf_dir), _timelines(spark, *[t for t, _ in parts]), **more)
+
+
 def m3_master(spark, sf_dir):
     """The master timeline of events and orders with its positions."""
     parts = _snapshots(spark, sf_dir, _events(spark, sf_dir), _orders(spark, sf_dir))
@@ -126,8 +131,9 @@ R.add(
 def m4_aligned_union(spark, sf_dir):
     """Three timelines under shared headers; of the third, times that cannot be read are shown raw."""
     parts = _snapshots(spark, sf_dir, _events(spark, sf_dir), _orders(spark, sf_dir), _spelled(spark, sf_dir))
-    grid = M.aligned(parts, _case_tags(spark, sf_dir), _case_comments(spark, sf_dir), _timelines(spark, *[t for t, _ in parts]))
-    return grid.select("time", "timeline", "tags", "comment", "summary", "timeline_id", "row_id", "Event", "User", "Kind", F.col("when_seen").alias("seen"))
+    t = _master(spark, sf_dir, parts)
+    at = M.titled(t)
+    return t.df.select("time", "timeline", F.array_join("tags", ", ").alias("tags"), "comment", F.lit("").alias("summary"), "timeline_id", "row_id", *[F.col(at[h]).alias(n) for h, n in (("Event", "Event"), ("User", "User"), ("Kind", "Kind"), ("when_seen", "seen"))])
 
 
 _GRID_SQL = f"""{_CASE_SQL}, spelled AS (
@@ -141,37 +147,121 @@ R.add("m4_aligned_union", m4_aligned_union, f"{_GRID_SQL} SELECT * FROM grid")
 
 
 def m5_m6_time_and_summary(spark, sf_dir):
-    """Old snapshots without cells keep their summary; the time is shown in one form."""
+    """Old snapshots without cells: every entry shows its summary; the time is shown in one form."""
     parts = _snapshots(spark, sf_dir, _events(spark, sf_dir))
     t, snap = parts[0]
     old = snap.withColumn("cells", F.when(F.col("row_id") % 2 == 0, F.col("cells")).otherwise(F.array().cast("array<string>")))
-    grid = M.aligned([(t, old)], _case_tags(spark, sf_dir), _case_comments(spark, sf_dir), _timelines(spark, t))
-    return grid.select("row_id", "time", F.regexp_replace("summary", "^[^|]*[|] ", "").alias("summary"), "Event")
+    t = _master(spark, sf_dir, [(t, old)])
+    return t.df.select("row_id", "time", F.regexp_replace("summary", "^[^|]*[|] ", "").alias("summary"), F.col(M.titled(t)["Event"]).alias("Event"))
 
 
-R.add("m5_m6_time_and_summary", m5_m6_time_and_summary, f"SELECT event_id AS row_id, {_SHOWN.format(t='ts')} AS time, CASE WHEN event_id % 2 = 0 THEN '' ELSE event_type || ' | ' || user_id END AS summary, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS \"Event\" FROM events WHERE event_type IN ('error', 'signup')")
+R.add("m5_m6_time_and_summary", m5_m6_time_and_summary, f"SELECT event_id AS row_id, {_SHOWN.format(t='ts')} AS time, event_type || ' | ' || user_id AS summary, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS \"Event\" FROM events WHERE event_type IN ('error', 'signup')")
 
 
 def m7_master_as_timeline(spark, sf_dir):
     """Filters, sorts, tag counts and the palette work on the master as on any timeline."""
-    parts = _snapshots(spark, sf_dir, _events(spark, sf_dir), _orders(spark, sf_dir))
-    grid = M.aligned(parts, _case_tags(spark, sf_dir), _case_comments(spark, sf_dir), _timelines(spark, *[t for t, _ in parts]))
-    t = M.as_timeline(grid, ["time", "timeline", "Event"])
+    t = _master(spark, sf_dir, _snapshots(spark, sf_dir, _events(spark, sf_dir), _orders(spark, sf_dir)))
     palette = extend_palette(base.palette(spark), _case_tags(spark, sf_dir))
     known = tag_counts(M.master_tags(t), palette).join(palette, F.col("tag") == F.col("name")).select("tag", "n", "color")
     rows = positions(t.df.where(has_tag("Bad")), order_by(t, [("Event", False), ("time", True), ("timeline", False)]))
     shown = rows.withColumn("tag", F.element_at("tags", 1)).join(known, "tag", "left")
-    return shown.select("timeline", "row_id", "Event", "position", F.col("n").alias("n_tagged"), "color")
+    return shown.select("timeline", "row_id", F.col(M.titled(t)["Event"]).alias("Event"), "position", F.col("n").alias("n_tagged"), "color")
 
 
 R.add(
     "m7_master_as_timeline",
     m7_master_as_timeline,
-    f"""{_GRID_SQL} SELECT timeline, row_id, "Event", row_number() OVER (ORDER BY "Event" = '', TRY_CAST(trim("Event") AS DOUBLE) IS NULL, lower("Event"), lower(time) DESC, lower(timeline), row_id) - 1 AS position,
+    f"""{_GRID_SQL} SELECT timeline, row_id, "Event", row_number() OVER (ORDER BY "Event" = '', TRY_CAST(trim("Event") AS DOUBLE) IS NULL, lower("Event"), lower(time) DESC, lower(timeline), timeline_id, row_id) - 1 AS position,
   count(*) OVER () AS n_tagged, '#E53935' AS color FROM grid WHERE tags = 'Bad' AND timeline_id < 3""",
 )
 
 
+def _shared(spark, sf_dir) -> list[Timeline]:
+    """Two timelines whose rows have the same ids: documents and conversations by number, the second with headers that clash with those of the master and with each other."""
+    docs = base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("body"), "lang", "source", F.col("n_chars").cast("string").alias("size"))
+    turns = base.table(spark, sf_dir, "conversations").select(positions_of(F.col("conv_id"), F.col("turn")).alias("row_id"), "role", "text", F.lower("role").alias("small"), F.upper("role").alias("big"))
+    bare = {"tags": F.array().cast("array<string>"), "comment": F.lit("")}
+    return [
+        Timeline(docs.withColumns(bare), ["body", "lang", "source", "size"], {"body": "Host", "lang": "host", "source": "Time", "size": "Size"}, None, [], 1, "documents"),
+        Timeline(turns.withColumns(bare), ["role", "text", "small", "big"], {"role": "Summary", "text": "Host", "small": "host", "big": "Size"}, None, [], 2, "turns"),
+    ]
+
+
+def positions_of(conv, turn):
+    """Row ids of conversation turns: 100 for each conversation."""
+    return conv * 100 + turn
+
+
+def _shared_tags(spark, sf_dir):
+    docs = base.table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.lit(1).cast("long").alias("timeline_id"), F.col("doc_id").alias("row_id"), F.concat(F.lit("doc "), "lang").alias("tag"))
+    turns = base.table(spark, sf_dir, "conversations").select(F.lit(2).cast("long").alias("timeline_id"), positions_of(F.col("conv_id"), F.col("turn")).alias("row_id"), F.concat(F.lit("turn "), "role").alias("tag"))
+    return docs.unionByName(turns)
+
+
+def _shared_master(spark, sf_dir, **more) -> Timeline:
+    tags = _shared_tags(spark, sf_dir)
+    parts = _shared(spark, sf_dir)
+    return M.aligned([(t, M.snapshot(t, tags)) for t in parts], tags, base.doc_comments(spark, sf_dir, 1), _timelines(spark, *parts), **more)
+
+
+_SHARED_SQL = """WITH docs AS (SELECT 1 AS timeline_id, 'documents' AS timeline, doc_id AS row_id, coalesce(text, '') AS "a", coalesce(lang, '') AS b, coalesce(source, '') AS c, CAST(n_chars AS VARCHAR) AS d, '' AS e,
+  'doc ' || lang AS tags, CASE WHEN lang = 'de' THEN 'check ' || source ELSE '' END AS comment FROM documents WHERE doc_id % 3 = 0),
+turns AS (SELECT 2 AS timeline_id, 'turns' AS timeline, conv_id * 100 + turn AS row_id, text AS a, lower(role) AS b, '' AS c, upper(role) AS d, role AS e, 'turn ' || role AS tags, '' AS comment FROM conversations),
+grid AS (SELECT * FROM docs UNION ALL SELECT * FROM turns)"""
+
+
+def m4_clashing_headers(spark, sf_dir):
+    """Headers that differ in case only, and headers called Time and Summary, are columns of their own, before and behind the fixed ones."""
+    t = _shared_master(spark, sf_dir)
+    titles = [t.title(c) for c in t.columns]
+    cells = {n: F.col(c) for n, c in zip("abcde", t.columns[2:], strict=True)}
+    return t.df.select(F.lit(",".join(titles)).alias("titles"), "timeline_id", "row_id", F.md5(cells["a"]).alias("a"), *[cells[n].alias(n) for n in "bcde"], F.array_join("tags", ", ").alias("tags"), "comment")
+
+
+R.add("m4_clashing_headers", m4_clashing_headers, f"{_SHARED_SQL} SELECT 'Time,Timeline,Host,host,Time,Size,Summary' AS titles, timeline_id, row_id, md5(a) AS a, b, c, d, e, tags, comment FROM grid")
+
+
+def m7_h1_master_spans(spark, sf_dir):
+    """Spans, hits and tags of master rows whose ids are those of other rows too: matches of a filter, joined where they touch, in the cells of two timelines."""
+    t = _shared_master(spark, sf_dir)
+    spec = FilterSpec(conditions=[Condition("Host", ["en", "n "]), Condition("Summary", ["ser"])], match_all=False)
+    spans = highlights(t, spec).groupBy("timeline_id", "row_id", "column").agg(F.count(F.lit(1)).alias("n_spans"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+    return spans.select("timeline_id", "row_id", F.element_at(F.create_map(*[F.lit(x) for c in t.columns for x in (c, t.title(c))]), F.col("column")).alias("title"), "n_spans", "starts", "ends")
+
+
+_ISLANDS_SQL = """, cells AS (SELECT timeline_id, row_id, 'Host' AS title, lower(a) AS cell, unnest(['en', 'n ']) AS v FROM grid UNION ALL SELECT timeline_id, row_id, 'Summary', lower(e), 'ser' FROM grid),
+parts AS (SELECT *, string_split(cell, v) AS g FROM cells), pieces AS (SELECT timeline_id, row_id, title, v, unnest(g) AS p, generate_subscripts(g, 1) AS i, len(g) AS k FROM parts WHERE len(g) > 1),
+found AS (SELECT timeline_id, row_id, title, i, k, sum(length(p) + length(v)) OVER (PARTITION BY timeline_id, row_id, title, v ORDER BY i) - length(v) AS s, length(v) AS w FROM pieces),
+spans AS (SELECT *, s + w AS e FROM found WHERE i < k),
+marked AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY timeline_id, row_id, title ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM spans),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY timeline_id, row_id, title ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+merged AS (SELECT timeline_id, row_id, title, min(s) AS s, max(e) AS e FROM islands GROUP BY timeline_id, row_id, title, island)"""
+R.add(
+    "m7_h1_master_spans",
+    m7_h1_master_spans,
+    f"{_SHARED_SQL}{_ISLANDS_SQL} SELECT timeline_id, row_id, title, count(*) AS n_spans, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM merged GROUP BY timeline_id, row_id, title",
+)
+
+
+def m7_i10_master_lists(spark, sf_dir):
+    """Lists scan the master, and their tags and labels land on the rows that were hit, with their numbers in the master timeline."""
+    t = _shared_master(spark, sf_dir, numbered=True)
+    hits = I.scan(t, [I.Indicator("a", 1, "plain", "assistant", "helper"), I.Indicator("b", 1, "regex", "^src1[0-5]$", "teens")])
+    rows = I.run_all(t, hits).join(t.df.select("timeline_id", "row_id", "position", "time"), ["timeline_id", "row_id"])
+    return rows.select("timeline_id", "row_id", "position", "time", F.array_join("tags", ",").alias("tags"), "comment")
+
+
+R.add(
+    "m7_i10_master_lists",
+    m7_i10_master_lists,
+    f"""{_SHARED_SQL}, numbered AS (SELECT *, row_number() OVER (ORDER BY timeline, timeline_id, row_id) - 1 AS position FROM grid),
+hits AS (SELECT *, contains(lower(concat_ws(chr(0), timeline, a, b, c, d, e)), 'assistant') AS one, regexp_matches(c, '^src1[0-5]$') AS two FROM numbered)
+SELECT timeline_id, row_id, position, '' AS time, array_to_string(list_sort(list_filter([tags, CASE WHEN one THEN 'ioc:a' END, CASE WHEN two THEN 'ioc:b' END], lambda x: x IS NOT NULL)), ',') AS tags,
+  CASE WHEN two THEN CASE WHEN one AND comment <> '' THEN 'teens; helper; ' || comment WHEN one THEN 'teens; helper' WHEN comment <> '' THEN 'teens; ' || comment ELSE 'teens' END
+    WHEN comment <> '' THEN 'helper; ' || comment ELSE 'helper' END AS comment FROM hits WHERE one OR two""",
+)
+
+
 def m8_back_to_source(spark, sf_dir):
     events = _events(spark, sf_dir)
     parts = _snapshots(spark, sf_dir, events, _orders(spark, sf_dir))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,13 +22,13 @@ Layout = list[tuple[str, list[str]]]
 
 
 def hide(t: Timeline, *columns: str) -> Timeline:
-    return Timeline(t.df, [c for c in t.columns if c not in columns], t.titles, t.time_column, t.adopted, t.timeline_id, t.name)
+    return replace(t, columns=[c for c in t.columns if c not in columns])
 
 
 def rename(t: Timeline, titles: dict[str, str]) -> Timeline:
     """Display names; a blank one falls back to the header."""
     merged = {c: (titles.get(c, "").strip() or t.title(c)) for c in t.columns}
-    return Timeline(t.df, t.columns, merged, t.time_column, t.adopted, t.timeline_id, t.name)
+    return replace(t, titles=merged)
 
 
 def view(t: Timeline, keys: list[tuple[str, bool]] | None = None) -> DataFrame:
@@ -61,7 +63,7 @@ def layout_column(t: Timeline, sources: list[str]) -> Column:
 def to_timeline(t: Timeline, layout: Layout, annotated_only: bool = False) -> DataFrame:
     """The rows in a layout of output columns; ``annotated_only`` keeps rows with a tag or a comment, and is tested first."""
     df = t.df.where((F.size("tags") > 0) | filled("comment")) if annotated_only else t.df
-    return t.with_df(df).df.select("row_id", *[layout_column(t, s).alias(n) for n, s in layout])
+    return df.select(*t.key, *[layout_column(t, s).alias(n) for n, s in layout])
 
 
 def default_layout(t: Timeline) -> Layout:
