@@ -332,7 +332,7 @@ def test_quoted_line_breaks_over_many_splits(spark, tmp_path, split, delimiter,
         csv.writer(out, delimiter=delimiter, lineterminator=end).writerows(rows)
         out.write(f'stray"quote{delimiter}{delimiter}1{end}{end}last{delimiter}{delimiter}2')
         (tmp_path / f"f{k}.csv").write_bytes(out.getvalue().encode())
-        want += [*rows[1:], ['stray"quote', "", "1"], ["last", "", "2"]]
+        want += [*rows[1:], ['stray"quote', "", "1"], ["", "", ""], ["last", "", "2"]]
     names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
     before = [spark.conf.get(n) for n in names]
     for n in names:
@@ -346,6 +346,78 @@ def test_quoted_line_breaks_over_many_splits(spark, tmp_path, split, delimiter,
     assert [[r["c0"], r["c1"], r["c2"]] for r in got] == want
 
 
+def _plain(content, delimiter):
+    """Records and cells by the rule, character by character."""
+    records, cells, cell, state = [], [], "", "start"
+    for c in content.removesuffix("\n") + "\n":
+        if state == "quoted":
+            state, cell = ("closing", cell) if c == '"' else ("quoted", cell + c)
+            continue
+        if state == "closing" and c == '"':
+            state, cell = "quoted", cell + c
+        elif c == delimiter:
+            cells, cell, state = [*cells, cell], "", "start"
+        elif c == "\n":
+            records.append([*cells, cell])
+            cells, cell, state = [], "", "start"
+        elif c == '"' and state == "start":
+            state = "quoted"
+        else:
+            state, cell = "open", cell + c
+    return records
+
+
+@pytest.mark.parametrize("split", [48, 10_000_000])
+def test_one_rule_for_all_lines(spark, tmp_path, split):
+    """Blank lines, stray and closing quotes with text behind them, alone and beside quoted line breaks, against the rule itself."""
+    import random
+
+    rng = random.Random(split)
+    bits = ["x", '"', '""', ",", ",", "\n", "\n\n", "é", ' "', ',"a', '",']
+    contents = ["h1,h2,h3\n" + "".join(rng.choice(bits) for _ in range(400)) + '"\n' for _ in range(6)]
+    contents = [c if _closed(c) else c + '",\n' for c in contents]
+    contents += ['h1,h2\n"abc"def,1\n\n"a""b"c""d"e,"2\n3"x\n', 'h1,h2\n"abc"def,1\n\n"a""b"c""d"e,"2 3"x\n\n\n']
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.set(n, str(split))
+    try:
+        for k, content in enumerate(contents):
+            (tmp_path / f"{k}.csv").write_bytes(content.encode())
+            t = delimited.read_timeline(spark, str(tmp_path / f"{k}.csv"), ",")
+            got = [[r[c] for c in t.columns] + r["_extra"] for r in t.df.orderBy("row_id").collect()]
+            want = [r + [""] * (len(t.columns) - len(r)) for r in _plain(content, ",")[1:]]
+            assert got == want, content
+        t = delimited.read_timeline(spark, str(tmp_path), ",")
+        assert [r["row_id"] for r in t.df.select("row_id").orderBy("row_id").collect()] == list(range(sum(len(_plain(c, ",")) - 1 for c in contents)))
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+
+
+def _closed(content):
+    from tidemark.sources.records import first_record
+
+    lines = content.removesuffix("\n").split("\n")
+    while lines:
+        record = first_record(lines, ",")
+        if record is None:
+            return False
+        lines = lines[record.count("\n") + 1 :]
+    return True
+
+
+def test_a_quote_that_is_never_closed_is_reported(spark, tmp_path, monkeypatch):
+    from tidemark.sources import records
+
+    (tmp_path / "bad.csv").write_text('a,b\n1,2\n3,"open\n' + "4,5\n" * 300)
+    t = delimited.read_timeline(spark, str(tmp_path / "bad.csv"), ",")
+    assert [r["row_id"] for r in t.df.orderBy("row_id").collect()] == [0, 1]
+    monkeypatch.setattr(records, "MOST_CHARS", 500)
+    with pytest.raises(Exception, match="bad.csv: a record of more than 500 characters"):
+        delimited.read_timeline(spark, str(tmp_path / "bad.csv"), ",").df.collect()
+
+
 def test_reader_of_several_files_with_headers(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"part-{k}.csv").write_text("a,b\n" + "".join(f"{10 * k + i},x\n" for i in range(k + 1)))

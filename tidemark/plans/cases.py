@@ -403,6 +403,33 @@ def s1_s3_read_delimited(spark, sf_dir):
 R.add("s1_s3_read_delimited", s1_s3_read_delimited, "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id, lang, md5(coalesce(text, '')) AS text_md5 FROM documents")
 
 
+def s1_s3_messy_lines(spark, sf_dir):
+    """One rule for all lines, whatever else a file holds: blank lines are rows, text behind a closing quote and stray quotes stay, records span lines; in many files that begin with their header."""
+    folder = _folder(spark)
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("s"), F.replace(F.replace("text", F.lit("\r"), F.lit("")), F.lit('"'), F.lit("")).alias("text"))
+    line = (
+        F.when(F.col("doc_id") % 5 == 0, F.lit(""))
+        .when(F.col("doc_id") % 5 == 1, F.format_string('%d,"%s"tail,x', "doc_id", "s"))
+        .when(F.col("doc_id") % 5 == 2, F.format_string('%d,"%s",x', "doc_id", "text"))
+        .when(F.col("doc_id") % 5 == 3, F.format_string('%d,%s"stray"",x', "doc_id", "s"))
+        .otherwise(F.format_string('%d,"say ""%s"" or "" "" that"end""s,x', "doc_id", "s"))
+    )
+    ordered = docs.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+    head = F.when(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0, "id,cell,last\n").otherwise("")
+    ordered.select(F.concat(head, line).alias("value")).write.text(folder)
+    t = D.read_timeline(spark, folder, ",")
+    return t.df.select("row_id", F.col("c0").alias("id"), F.md5("c1").alias("cell_md5"), F.col("c2").alias("last"))
+
+
+R.add(
+    "s1_s3_messy_lines",
+    s1_s3_messy_lines,
+    """WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_id, coalesce(source, '') AS s, replace(replace(text, chr(13), ''), '"', '') AS text FROM documents)
+SELECT row_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE CAST(doc_id AS VARCHAR) END AS id,
+  md5(CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN s || 'tail' WHEN 2 THEN text WHEN 3 THEN s || '"stray""' ELSE 'say "' || s || '" or " " thatend""s' END) AS cell_md5, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'x' END AS last FROM d""",
+)
+
+
 def s2_sniff(spark, sf_dir):
     """Each delimiter found again in what Spark wrote with it: all events, in as many files as it likes, then read by it and counted."""
     events = base.table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props")

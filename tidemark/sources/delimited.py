@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..model import Timeline, timeline
-from .records import cells, read_records
+from ..storage import cut
+from .records import blocks, cells, first_record, read_records
 
 #: Delimiters in the order of ties.
 DELIMITERS = [",", "\t", ";", "|"]
-_RAW, _EXTRA = "_raw", "_extra"
+_EXTRA = "_extra"
 #: A quoted part. Possessive, as Java else goes one call deeper for each character of a long cell.
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 
@@ -26,77 +26,45 @@ def sniff(spark: SparkSession, path: str) -> str:
     return DELIMITERS[max(range(len(DELIMITERS)), key=lambda i: (counts[i], -i))]
 
 
-def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
-    """Whether some physical line has an odd number of quotes, so that line mode may cut a record."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
-
-
-def _options(delimiter: str, multi_line: bool) -> dict:
-    return {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": multi_line, "header": False, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "\u0000", "emptyValue": ""}
-
-
-def with_row_ids(df: DataFrame, order: list[str] | None = None, headers: bool = False) -> DataFrame:
-    """``df`` of a file scan with dense 0-based ``row_id`` in the order of (file, block, row), without the first row of each file if that is its header.
-
-    Rows of a block are read one after the other, so the running id minus the
-    least of its block is the place in the block; the rows of earlier blocks are
-    added. What is ordered in one task is a row for each block, not the data.
-    """
-    keys = order or ["_file", "_block"]
-    marked = df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()})
-    head = (F.col("_block") == 0).cast("long") if headers else F.lit(0)
-    blocks = marked.groupBy(*keys).agg(F.min("_id").alias("_first"), (F.count(F.lit(1)) - F.max(head)).alias("_n"), F.max(head).alias("_head"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = blocks.select(*keys, (F.col("_first") + F.col("_head")).alias("_first"), before.alias("_before"))
-    rows = marked.join(offsets, keys).where(F.col("_id") >= F.col("_first"))
-    return rows.withColumn("row_id", F.col("_before") + F.col("_id") - F.col("_first")).drop("_file", "_block", "_id", "_first", "_before")
+def _header(spark: SparkSession, file: str, delimiter: str) -> list[str]:
+    """The cells of the first record of a file."""
+    n, held = 1, -1
+    while True:
+        lines = [r["value"] for r in spark.read.text(file, lineSep="\n").limit(n).collect()]
+        if (record := first_record(lines, delimiter)) is not None or len(lines) == held:
+            break
+        n, held = 8 * n, len(lines)
+    value = "\n".join(lines) if record is None else record
+    return list(spark.createDataFrame([(value,)], "value string").select(cells(F.col("value"), delimiter).alias("c")).first()["c"])
 
 
 def read_timeline(spark: SparkSession, path: str, delimiter: str | None = None, **more_) -> Timeline:
     """A timeline from delimited files, each with the headers in its first record.
 
     Columns get unique internal names (c0, c1, ...), the headers stay as titles.
-    Short records are filled with empty cells; cells beyond the header are kept
-    in ``_extra``. All files are split among tasks; where some cell holds a line
-    break, their records are put together by :mod:`.records`.
+    Every other record is a row, in the order of (file, place): a blank line is a row of
+    one empty cell. Short records are filled with empty cells; cells beyond the header are kept
+    in ``_extra``. All files are split among tasks and read under one rule, see
+    :mod:`.records`: a first pass leaves a row for each block, with the state that it begins in
+    and the records before it, and the second one reads the records and numbers them.
     """
     delimiter = delimiter or sniff(spark, path)
-    multi_line = has_quoted_newlines(spark, path)
-    options = _options(delimiter, multi_line)
-    head = spark.read.options(**options).csv(path).limit(1).first()
-    if head is None:
+    starts = cut(blocks(spark, path, delimiter))
+    first = starts.orderBy("_file", "_block").first()
+    if first is None:
         raise ValueError(f"{path} is empty")
-    titles = [(h or "").removeprefix("\ufeff") for h in head]
+    titles = _header(spark, first["_file"], delimiter)
     columns = [f"c{i}" for i in range(len(titles))]
-    if multi_line:
-        rows = _numbered(read_records(spark, path, delimiter)).withColumn("_cells", cells(F.col("value"), delimiter))
-        rows = rows.select("row_id", *[F.get("_cells", F.lit(i)).alias(c) for i, c in enumerate(columns)], "_cells")
-        known = F.lit(True)
-    else:
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _RAW]])
-        rows = spark.read.options(**options, columnNameOfCorruptRecord=_RAW).schema(schema).csv(path)
-        rows = with_row_ids(rows.select("*", "_metadata"), headers=True).drop("_metadata").withColumn("_cells", cells(F.col(_RAW), delimiter))
-        known = F.col(_RAW).isNotNull()
-    more = F.slice("_cells", len(columns) + 1, 1 << 20)
-    extra = F.when(known & (F.size("_cells") > len(columns)), more).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn(_EXTRA, extra).drop(_RAW, "_cells")
-    rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
+    # Headers are left out: the first record of each file, so there are as many before a record as files up to its own.
+    heads = starts.groupBy("_file").agg(F.min("before").alias("_head"))
+    heads = heads.withColumn("_heads", F.row_number().over(W.orderBy("_file")))
+    rows = read_records(spark, path, delimiter, starts).join(F.broadcast(heads), "_file").where(F.col("number") > F.col("_head"))
+    rows = rows.select((F.col("number") - F.col("_heads")).cast("long").alias("row_id"), cells(F.col("value"), delimiter).alias("_cells"))
+    extra = F.slice("_cells", len(columns) + 1, F.greatest(F.size("_cells") - len(columns), F.lit(0)))
+    rows = rows.select("row_id", *[F.coalesce(F.get("_cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns)], extra.alias(_EXTRA))
     return timeline(rows, columns, titles=dict(zip(columns, titles, strict=True)), **more_)
 
 
-def _numbered(records: DataFrame) -> DataFrame:
-    """Records with dense ``row_id`` in the order of (file, block, n), without the first of each file, its header."""
-    order = W.orderBy("_file", "_block")
-    counts = records.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    first = F.row_number().over(W.partitionBy("_file").orderBy("_block")) == 1
-    counts = counts.withColumn("_n", F.col("_n") - first.cast("int")).withColumn("_head", first.cast("int"))
-    before = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_file", "_block", "_head", before.alias("_before"))
-    rows = records.join(offsets, ["_file", "_block"]).where(F.col("n") > F.col("_head"))
-    return rows.withColumn("row_id", (F.col("_before") + F.col("n") - 1 - F.col("_head")).cast("long")).drop("_file", "_block", "_head", "_before", "n")
-
-
 def rows_between(t: Timeline, low: int, high: int) -> DataFrame:
     return t.df.where((F.col("row_id") >= low) & (F.col("row_id") < high))
 
