@@ -95,10 +95,10 @@ def all_of(parts: Iterable[Column]) -> Column:
 def on(t: Timeline, target: str, test) -> Column:
     """``test`` on a field: one column, a virtual field, ``any`` (data, tags, comment) or ``data``."""
     if target == "data":
-        return any_of(test(t.text(c)) for c in t.data_columns)
+        return t.held(any_of(test(t.text(c)) for c in t.data_columns))
     if target == "any":
-        return any_of(test(t.text(c)) for c in [*t.columns, "tags", "comment"])
-    return test(t.text(target))
+        return t.held(any_of(test(t.text(c)) for c in t.columns)) | test(t.text("tags")) | test(t.text("comment"))
+    return t.held(test(t.text(target))) if target in t.columns else test(t.text(target))
 
 
 def quick(t: Timeline, target: str, typed: str, cased: bool = False) -> Column:
@@ -201,9 +201,10 @@ class FilterSpec:
             parts.append((all_of if self.match_all else any_of)(tests))
         where = self.where.to_column(t, self.cased) if isinstance(self.where, Tree) else self.where
         if where is not None:
-            parts.append(F.coalesce(where, F.lit(False)))
+            where = F.coalesce(where, F.lit(False))
+            parts.append(where if isinstance(self.where, Tree) else t.held(where))
         parts += [quick(t, t.resolve(k), v, self.cased) for k, v in self.quick.items() if v.strip()]
-        parts += [one_of(t.text(t.resolve(k)), v, self.cased) for k, v in self.pick.items() if v]
+        parts += [on(t, t.resolve(k), lambda c, v=v: one_of(c, v, self.cased)) for k, v in self.pick.items() if v]
         return all_of(parts)
 
     def terms(self) -> list[Term]:

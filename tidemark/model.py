@@ -58,6 +58,10 @@ class Timeline:
         """The rows of a side table that belong to this timeline, with the columns of its key."""
         return table if "timeline_id" in self.key else table.where(F.col("timeline_id") == self.timeline_id).drop("timeline_id")
 
+    def held(self, test: Column) -> Column:
+        """A test over data columns; see :class:`tidemark.operators.sides.Sided`."""
+        return test
+
     def title(self, column: str) -> str:
         return self.titles.get(column) or column
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import any_of, check_regex, contains, matches, stripped, text
 from ..model import INDICATORS, Timeline
+from .overlay import attach_comments, attach_tags
 
 #: Lines of one generated expression, so that its code stays within what the JVM compiles.
 CHUNK = 50
@@ -219,16 +220,20 @@ def merge_label(comment: Column, label: Column) -> Column:
     return F.when(label == "", comment).when(~comment.rlike(r"\S"), label).when(F.contains(comment, label), comment).otherwise(F.concat(label, F.lit("; "), comment))
 
 
-def run_all(t: Timeline, hits: DataFrame) -> DataFrame:
+def run_all(t: Timeline, hits: DataFrame, tags: DataFrame | None = None, comments: DataFrame | None = None) -> DataFrame:
     """The row's key, tags and comment of the rows hit, after all lists in order: later labels end up in front.
 
-    Every list has scanned the annotations as they were at the start.
+    Every list has scanned the annotations as they were at the start. If ``tags``
+    and ``comments`` are given, they are joined to the hits, and ``t`` is not read.
     """
     folded = hits.groupBy(*t.key).agg(F.array_sort(F.collect_list(F.struct("list", "label"))).alias("found"))
-    both = t.df.select(*t.key, "tags", "comment").join(folded, list(t.key))
+    if tags is not None and comments is not None:
+        both = attach_comments(attach_tags(t.with_df(folded), tags), comments).df
+    else:
+        both = t.df.select(*t.key, "tags", "comment").join(folded, list(t.key))
     comment = F.aggregate("found", F.col("comment"), lambda c, h: merge_label(c, h["label"]))
-    tags = F.array_sort(F.array_union("tags", F.transform("found", lambda h: F.concat(F.lit(PREFIX), h["list"]))))
-    return both.select(*t.key, tags.alias("tags"), comment.alias("comment"))
+    both_tags = F.array_sort(F.array_union("tags", F.transform("found", lambda h: F.concat(F.lit(PREFIX), h["list"]))))
+    return both.select(*t.key, both_tags.alias("tags"), comment.alias("comment"))
 
 
 def list_names(lists: DataFrame) -> DataFrame:

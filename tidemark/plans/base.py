@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import PALETTE, Timeline
 from ..operators.overlay import attach_comments, attach_tags
+from ..operators.sides import passing
 
 DOC_COLUMNS = ["text", "lang", "source", "n_chars"]
 EVENT_COLUMNS = ["ts", "event_type", "user_id", "props"]
@@ -48,7 +49,7 @@ def events(spark: SparkSession, sf_dir: str) -> Timeline:
     return Timeline(df.withColumns({"tags": F.array().cast("array<string>"), "comment": F.lit("")}), EVENT_COLUMNS, time_column="ts", timeline_id=1, name="events")
 
 
-#: Spellings of a time, as Spark and as strftime patterns; the last is no time.
+#: Spellings of a time, as Spark and as strftime patterns; the last is no time.
 SPELLINGS: list[tuple[str, str]] = [
     ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
     ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ"),
@@ -90,7 +91,7 @@ _WHEN_SQL = " ".join(f"WHEN {i} THEN strftime(ts, '{f}')" for i, (_, f) in enume
 SPELLED_SQL = f"""WITH spelled AS (
   SELECT event_id AS row_id, CASE event_id % {len(SPELLINGS)} {_WHEN_SQL} END AS when_seen, event_type, CAST(user_id AS VARCHAR) AS user_id, ts FROM events
 )"""
-#: The layouts of a cell that DuckDB is to try, in the same order (a bare year is not among them).
+#: The layouts of a cell that DuckDB is to try, in the same order (a bare year is not among them).
 PARSE_SQL = "try_strptime(when_seen, ['%Y-%m-%dT%H:%M:%SZ', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%d', '%m/%d/%Y %H:%M:%S', '%m/%d/%Y %I:%M:%S %p', '%d-%b-%Y %H:%M:%S', '%b %d, %Y %H:%M:%S', '%Y/%m/%d %H:%M:%S'])"
 
 
@@ -110,8 +111,7 @@ class Registry:
         """A predicate over the documents; ``predicate`` takes the timeline."""
 
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            t = docs(spark, sf_dir)
-            return t.df.where(predicate(t)).select("row_id")
+            return passing(bare_docs(spark, sf_dir), predicate, doc_tags(spark, sf_dir), doc_comments(spark, sf_dir))
 
         self.add(name, query, f"{DOCS_SQL} SELECT row_id FROM docs WHERE {sql}")
 

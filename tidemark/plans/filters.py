@@ -15,17 +15,17 @@ from .base import DOCS_SQL, Registry
 R = Registry()
 _C = P.Condition
 
-R.docs_filter("f1_substring", lambda t: P.contains("text", "The"), "contains(lower(text), 'the')")
-R.docs_filter("f2_substring_cased", lambda t: P.contains("text", "The", cased=True), "contains(text, 'The')")
-R.docs_filter("f3_regex", lambda t: P.matches("text", r"[a-z]+\.[0-9]+@MAIL[0-9]"), r"regexp_matches(text, '(?i)[a-z]+\.[0-9]+@MAIL[0-9]')")
-R.docs_filter("f4_pick_values", lambda t: P.one_of("lang", ["EN", "de"]) & P.one_of("source", ["src1", "src2", "src3"], cased=True), "lower(lang) IN ('en', 'de') AND source IN ('src1', 'src2', 'src3')")
+R.docs_filter("f1_substring", lambda t: P.on(t, "text", lambda c: P.contains(c, "The")), "contains(lower(text), 'the')")
+R.docs_filter("f2_substring_cased", lambda t: P.on(t, "text", lambda c: P.contains(c, "The", cased=True)), "contains(text, 'The')")
+R.docs_filter("f3_regex", lambda t: P.on(t, "text", lambda c: P.matches(c, r"[a-z]+\.[0-9]+@MAIL[0-9]")), r"regexp_matches(text, '(?i)[a-z]+\.[0-9]+@MAIL[0-9]')")
+R.docs_filter("f4_pick_values", lambda t: P.on(t, "lang", lambda c: P.one_of(c, ["EN", "de"])) & P.on(t, "source", lambda c: P.one_of(c, ["src1", "src2", "src3"], cased=True)), "lower(lang) IN ('en', 'de') AND source IN ('src1', 'src2', 'src3')")
 R.docs_filter("f5_star_not_empty", lambda t: P.quick(t, "comment", "*"), r"regexp_matches(comment, '\S')")
-R.docs_filter("f6_empty", lambda t: P.blank("comment") & P.filled("text"), r"NOT regexp_matches(comment, '\S') AND regexp_matches(text, '\S')")
+R.docs_filter("f6_empty", lambda t: P.on(t, "comment", P.blank) & P.on(t, "text", P.filled), r"NOT regexp_matches(comment, '\S') AND regexp_matches(text, '\S')")
 R.docs_filter("f7_any_column", lambda t: P.on(t, "any", lambda c: P.contains(c, "src1")), "contains(lower(text), 'src1') OR contains(lower(lang), 'src1') OR contains(lower(source), 'src1') OR contains(n_chars, 'src1') OR contains(lower(tag_text), 'src1') OR contains(lower(comment), 'src1')")
 R.docs_filter("f8_any_data_column", lambda t: P.on(t, "data", lambda c: P.contains(c, "check")) | P.on(t, "data", lambda c: P.contains(c, "Src1")), "contains(lower(text), 'check') OR contains(lower(lang), 'check') OR contains(lower(source), 'check') OR contains(n_chars, 'check') OR contains(lower(text), 'src1') OR contains(lower(source), 'src1')")
 R.docs_filter("f9_field_equals_differs", lambda t: P.field_equals(t, "Summary", "token") & P.field_differs(t, "LANG", "fr"), "contains(lower(text), 'token') AND NOT contains(lower(lang), 'fr')")
 R.docs_filter("f10_virtual_fields", lambda t: P.field_equals(t, "tag", "suspic") | P.field_equals(t, "comments", "src7") | P.field_equals(t, "row", "99"), "contains(lower(tag_text), 'suspic') OR contains(lower(comment), 'src7') OR contains(CAST(row_id + 1 AS VARCHAR), '99')")
-R.docs_filter("f11_and_or_not", lambda t: P.contains("lang", "en") & (P.field_equals(t, "tag", "bad") | P.field_equals(t, "tag", "good")) & ~P.contains("text", "token"), "contains(lower(lang), 'en') AND (contains(lower(tag_text), 'bad') OR contains(lower(tag_text), 'good')) AND NOT contains(lower(text), 'token')")
+R.docs_filter("f11_and_or_not", lambda t: P.field_equals(t, "lang", "en") & (P.field_equals(t, "tag", "bad") | P.field_equals(t, "tag", "good")) & P.field_differs(t, "Summary", "token"), "contains(lower(lang), 'en') AND (contains(lower(tag_text), 'bad') OR contains(lower(tag_text), 'good')) AND NOT contains(lower(text), 'token')")
 R.docs_filter("f12_any_of_values", lambda t: _C("Summary", ["password", " ", "token"]).to_column(t), "contains(lower(text), 'password') OR contains(lower(text), 'token')")
 R.docs_filter("f13_all_of_values", lambda t: _C("Summary", ["the", "[0-9]{3}"], every=True, regex=True).to_column(t), "contains(lower(text), 'the') AND regexp_matches(text, '[0-9]{3}')")
 R.docs_filter("f14_excluded", lambda t: _C("Summary", ["the", "und"], exclude=True).to_column(t), "NOT (contains(lower(text), 'the') OR contains(lower(text), 'und'))")

@@ -48,7 +48,7 @@ def _hits(t, indicators, lists):
 
 def i1_i2_labelled_hits(spark, sf_dir):
     """Every indicator with its label and the documents it hits: lists are classified and labelled as tables."""
-    t = base.docs(spark, sf_dir)
+    t = base.bare_docs(spark, sf_dir)
     found = []
     for i in I.compiled(_indicators(spark)):
         hit = I.first_hit(t, [i]).isNotNull()
@@ -72,14 +72,14 @@ R.add(
 
 
 def i3_plain(spark, sf_dir):
-    return I.scan(base.docs(spark, sf_dir), [I.Indicator("one", 1, "plain", "Token =")]).select("row_id")
+    return I.scan(base.bare_docs(spark, sf_dir), [I.Indicator("one", 1, "plain", "Token =")]).select("row_id")
 
 
 R.add("i3_plain", i3_plain, f"{DOCS_SQL}, v AS (SELECT 'token =' AS value) SELECT row_id FROM docs, v WHERE {_ANY_DATA}")
 
 
 def i4_regex(spark, sf_dir):
-    return I.scan(base.docs(spark, sf_dir), [I.Indicator("one", 1, "regex", "^src1[0-5]$")]).select("row_id")
+    return I.scan(base.bare_docs(spark, sf_dir), [I.Indicator("one", 1, "regex", "^src1[0-5]$")]).select("row_id")
 
 
 R.add("i4_regex", i4_regex, f"{DOCS_SQL} SELECT row_id FROM docs WHERE regexp_matches(source, '^src1[0-5]$')")
@@ -98,7 +98,7 @@ R.add("i5_rule_rows", i5_rule_rows, f"{DOCS_SQL} SELECT row_id FROM docs WHERE (
 def i6_bad_lines(spark, sf_dir):
     """Bad lines are reported beside the number of rows that the rest of their list hits."""
     errors = I.regex_errors(_indicators(spark)).select("list", "line", "value")
-    counts = A.hits_per_list(_hits(base.docs(spark, sf_dir), _indicators(spark), {"tokens", "words"}))
+    counts = A.hits_per_list(_hits(base.bare_docs(spark, sf_dir), _indicators(spark), {"tokens", "words"}))
     return errors.join(counts, "list")
 
 
@@ -106,7 +106,7 @@ R.add("i6_bad_lines", i6_bad_lines, f"{_HITS_SQL} SELECT i.list, i.line, i.value
 
 
 def i7_scan(spark, sf_dir):
-    return _hits(base.docs(spark, sf_dir), _indicators(spark), {"tokens", "words"})
+    return _hits(base.bare_docs(spark, sf_dir), _indicators(spark), {"tokens", "words"})
 
 
 R.add("i7_scan", i7_scan, f"{_HITS_SQL} SELECT row_id, list, line, label FROM hits")
@@ -122,7 +122,7 @@ def _long_lists(spark, sf_dir):
 
 def i7_scan_many(spark, sf_dir):
     """Long lists over all data columns: literals, regular expressions and a rule."""
-    return I.scan_many(base.docs(spark, sf_dir), _long_lists(spark, sf_dir), {("rules", 1): P.contains("lang", "de") & P.contains("text", "und")})
+    return I.scan_many(base.bare_docs(spark, sf_dir), _long_lists(spark, sf_dir), {("rules", 1): P.contains("lang", "de") & P.contains("text", "und")})
 
 
 R.add(
@@ -139,7 +139,7 @@ UNION ALL SELECT row_id, 'rules', 1, 'german' FROM docs WHERE contains(lower(lan
 
 
 def i8_tag_hits(spark, sf_dir):
-    hits = _hits(base.docs(spark, sf_dir), _indicators(spark), {"tokens", "words"})
+    hits = _hits(base.bare_docs(spark, sf_dir), _indicators(spark), {"tokens", "words"})
     return I.hit_tags(hits).select("row_id", "tag")
 
 
@@ -159,9 +159,9 @@ R.add("i9_merge_labels", i9_merge_labels, f"{_HITS_SQL} SELECT row_id, {_MERGE}
 
 def flagship(spark, sf_dir):
     """All lists over all documents in one pass: tags and merged comments of the rows hit."""
-    t = base.docs(spark, sf_dir)
+    t = base.bare_docs(spark, sf_dir)
     hits = _hits(t, _indicators(spark), {"tokens", "words"})
-    return I.run_all(t, hits).select("row_id", F.array_join("tags", ", ").alias("tags"), "comment")
+    return I.run_all(t, hits, base.doc_tags(spark, sf_dir), base.doc_comments(spark, sf_dir)).select("row_id", F.array_join("tags", ", ").alias("tags"), "comment")
 
 
 _RUN_SQL = f"""{_HITS_SQL}, one AS (SELECT d.row_id, d.tags, coalesce({_MERGE.replace('label', 'a.label')}, comment) AS comment, a.list AS a_list FROM docs d LEFT JOIN hits a ON a.row_id = d.row_id AND a.list = 'tokens'),
@@ -172,9 +172,9 @@ R.add("flagship", flagship, _RUN_SQL)
 
 def i10_run_all_lists(spark, sf_dir):
     """The same lists as long ones: literals by automata, the rest as expressions."""
-    t = base.docs(spark, sf_dir)
+    t = base.bare_docs(spark, sf_dir)
     hits = I.scan_many(t, _indicators(spark), {("words", 3): P.contains("lang", "de") & P.contains("text", "und")})
-    return I.run_all(t, hits).select("row_id", F.array_join("tags", ", ").alias("tags"), "comment")
+    return I.run_all(t, hits, base.doc_tags(spark, sf_dir), base.doc_comments(spark, sf_dir)).select("row_id", F.array_join("tags", ", ").alias("tags"), "comment")
 
 
 R.add("i10_run_all_lists", i10_run_all_lists, _RUN_SQL)
@@ -191,7 +191,7 @@ R.add("i11_list_names", i11_list_names, "SELECT min(CASE WHEN doc_id % 3 = 0 THE
 
 
 def a5_hits_per_list(spark, sf_dir):
-    return A.hits_per_list(_hits(base.docs(spark, sf_dir), _indicators(spark), {"tokens", "words"}))
+    return A.hits_per_list(_hits(base.bare_docs(spark, sf_dir), _indicators(spark), {"tokens", "words"}))
 
 
 R.add("a5_hits_per_list", a5_hits_per_list, f"{_HITS_SQL} SELECT list, count(DISTINCT row_id) AS n_rows FROM hits GROUP BY list")
