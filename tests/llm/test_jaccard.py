@@ -97,11 +97,18 @@ def test_whole_groups_never_cut_a_key(least):
     assert list(J.whole_groups(iter(batches[:1]), "k", least)) == []
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize(("tasks", "forest"), [("4", 200_000), ("31", 200_000), ("31", 3), ("1", 5)])
+def test_components_of_paths_and_stars(spark, monkeypatch, tasks, forest):
     rng = random.Random(4)
+    monkeypatch.setattr(J, "FOREST", forest)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1000, 1000 + k) for k in range(1, 40)] + [(2000 + k, 2000 + rng.randrange(50)) for k in range(50)]
     rng.shuffle(edges)
-    got = {r["node"]: r["label"] for r in J.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)).collect()}
+    try:
+        got = {r["node"]: r["label"] for r in J.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     label = {x: x for e in edges for x in e}
     for _ in label:
         for a, b in edges:

@@ -53,8 +53,8 @@ WORDS, PERCENT = 5, 80
 #: Different sets of a batch that hold a shingle which counts as frequent; the most frequent shingles kept.
 OFTEN, MOST_FREQUENT = 3, 200_000
 FEW, BLOCK = 128, 512
-#: Edges that are put into one task, and nodes of them that it holds at once.
-FOREST = 500_000
+#: Nodes whose edges a task holds at once, and the edges of a round for which it has a task at least; by how much a round has fewer tasks than the one before.
+FOREST, EIGHTH = 200_000, 8
 #: Tokens of a trie walked in one step; documents hashed at once (at most 256, as 8 bits name them).
 STEP, DOCS = 64, 256
 _SALT = U(0x2545F4914F6CDD1D)
@@ -330,48 +330,56 @@ def _links(sets: list[np.ndarray], probe: np.ndarray, block: np.ndarray, percent
                 yield int(i), int(j)
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a task as stars: each node with the least node that the task's edges reach from it."""
-    parent: dict[int, int] = {}
+def _forest(most: int):
+    """The edges of a task as stars: each node with the least node that the task's edges reach from it; at most ``most`` nodes are held."""
 
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = up
-        return x
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
 
-    for batch in batches:
-        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            x, y = root(x), root(y)
-            parent[max(x, y)] = min(x, y)
-        if len(parent) >= FOREST:
-            yield _rows([[root(x) for x in parent], list(parent)], _EDGE)
-            parent.clear()
-    yield _rows([[root(x) for x in parent], list(parent)], _EDGE)
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                parent[max(x, y)] = min(x, y)
+                if len(parent) >= most:
+                    yield _rows([[root(x) for x in parent], list(parent)], _EDGE)
+                    parent.clear()
+        yield _rows([[root(x) for x in parent], list(parent)], _EDGE)
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of ``edges`` (a, b): the smallest node that is reachable.
 
-    The edges are put into tasks of about ``FOREST`` edges, each of which turns
-    its own into stars. Then nodes are labelled in rounds: each takes the least label of its neighbours and then the label of
-    that label; the rounds grow with the logarithm of the longest path for the
-    star-like graphs that meetings yield. Every round is cut by a table in the
-    shared folder.
+    By contraction, the same way at every size. The edges are spread over as
+    many tasks as a shuffle has, each of which turns its own into stars. A node then
+    has one root from each task at most; the least is its label, and the others are joined to that
+    one by the edges of the next round, in which only roots are left. Every round
+    has an ``EIGHTH`` of the tasks of the one before, but one for ``FOREST`` edges at least, and leaves at
+    most two thirds of the nodes of a path with random names, and far less of stars.
+    At the end the labels of each round are looked up in those of the next.
     """
-    edges = saved(edges)
-    stars = edges.coalesce(max(1, -(-edges.count() // FOREST))).mapInArrow(_forest, _sql(_EDGE))
-    both = saved(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    tasks, levels = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), []
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        mine = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("up"), F.col("label").alias("higher"))
-        jumped = mine.join(up, mine["label"] == up["up"], "left").select("node", "old", F.least("label", "higher").alias("label"))
-        new = saved(jumped)
-        labels = new.select("node", "label")
-        if not new.where("old <> label").limit(1).count():
-            return labels
+        stars = edges.repartition(tasks, "a", "b").mapInArrow(_forest(FOREST), _sql(_EDGE))
+        marked = saved(stars.withColumn("low", F.min("a").over(W.partitionBy("b"))))
+        levels.append(marked.groupBy(F.col("b").alias("node")).agg(F.min("low").alias("label")))
+        edges = saved(marked.where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b")).distinct())
+        left = edges.count()
+        if not left:
+            break
+        tasks = max(1, tasks // EIGHTH, -(-left // FOREST))
+    out = levels.pop()
+    while levels:
+        higher = out.select(F.col("node").alias("up"), F.col("label").alias("higher"))
+        out = levels.pop().join(higher, F.col("label") == F.col("up"), "left").select("node", F.coalesce("higher", "label").alias("label"))
+    return saved(out)
 
 
 def _dealt(crowds: DataFrame, percent: int) -> DataFrame:
