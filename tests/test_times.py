@@ -92,9 +92,34 @@ def test_interval_join_equals_brute_force_without_a_nested_loop(spark):
 
 def test_detects_the_time_column(spark):
     t = in_memory(spark, ["Host", "Seen"], [["a", "2024-01-01 00:00:00"], ["b", "x"], ["c", ""]])
-    assert T.detect_time_column(t.df, t.columns).first()["time_column"] is None
-    named = t.df.select("row_id", F.col("c0").alias("Host"), F.col("c1").alias("Seen time"))
-    assert T.detect_time_column(named, ["Host", "Seen time"]).first()["time_column"] == "Seen time"
+    assert T.detect_time_column(t.with_df(t.df.where("c0 <> 'a'"))).first()["time_column"] is None
+    from dataclasses import replace
+
+    unnamed = [[str(i), "2024-01-01" if i < 2 else "x", "2024-01-01" if i < 5 else "y"] for i in range(10)]
+    first = replace(in_memory(spark, ["Id", "Created", "Other"], unnamed), timeline_id=4)
+    second = replace(in_memory(spark, ["Id", "Seen", "Other"], unnamed), timeline_id=5)
+    third = replace(in_memory(spark, ["Id", "date", "Date"], [["1", "2024-01-01", "2024-01-01"]]), timeline_id=6)
+    found = {r["timeline_id"]: r["time_col"] for r in T.detect_time_columns([first, second, third]).collect()}
+    assert found == {4: 1, 5: None, 6: 1}
+    named = in_memory(spark, ["Host", "Seen time"], [["a", "2024-01-01 00:00:00"], ["b", "x"], ["c", ""]])
+    assert T.detect_time_column(named).first()["time_column"] == "c1"
+
+
+def test_now_is_the_clock_unless_it_is_given(spark):
+    t = in_memory(spark, ["When"], [["2001-01-01"], ["2999-01-01"]])
+    assert ids(t, T.before(T.parse_time("c0"), "now")) == [0] and ids(t, T.after(T.parse_time("c0"), "now + 1d")) == [1]
+    assert ids(t, T.after(T.parse_time("c0"), "now", now=datetime(2000, 1, 1))) == [0, 1]
+
+
+def test_literals_in_all_spellings(spark):
+    literals = ["2020", "2020-06", "2020-6-5", "2020/06/15", "2020-06-15 10:30", "2020-06-15T10:30", "2020/06/15 10:30", "2020-06-15 10:30:05", "Mon Jun 15 10:30:05 2020", "Mon Jun  5 10:30:05 UTC 2020", "2020-06-15 10:30:05.25 +0200 CEST", "2020-06-15 10:30:05-0130", "2020-06-15T10:30:05Z"]
+    rows = in_memory(spark, ["v"], [[v] for v in [*literals, "no time", ""]]).df.select("c0", T.period_bounds("c0").alias("p")).collect()
+    got = {r["c0"]: r["p"] and tuple(r["p"]) for r in rows}
+    assert got["no time"] is None and got[""] is None
+    for v in literals:
+        start, end = got[v]
+        assert (start, end) == T.period(v), v
+    assert T.period("2020-06-15 10:30:05.25 +0200 CEST")[0] == datetime(2020, 6, 15, 8, 30, 5, 250000)
 
 
 def test_periods_with_slashes():

@@ -12,23 +12,52 @@ from ..storage import cut
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+def _mixed(c: Column) -> list[Column]:
+    number = F.when(F.trim(c).rlike(_NUMBER), F.trim(c).try_cast("double"))
+    return [c == "", number.isNull(), number, F.lower(c)]
+
+
 def mixed_key(c: Column, descending: bool = False) -> list[Column]:
     """Sort expressions of a cell: numbers by value, then other text ignoring case, empty cells last; descending turns all of it."""
-    number = F.when(F.trim(c).rlike(_NUMBER), F.trim(c).try_cast("double"))
-    parts = [c == "", number.isNull(), number, F.lower(c)]
-    return [p.desc() if descending else p.asc() for p in parts]
+    return [p.desc() if descending else p.asc() for p in _mixed(c)]
 
 
-def order_by(t: Timeline, keys: list[tuple[str, bool]]) -> list[Column]:
-    """Sort expressions of several (field, descending) keys; ties keep the order of rows."""
-    out: list[Column] = []
+def _parts(t: Timeline, keys: list[tuple[str, bool]]) -> list[tuple[Column, bool]]:
+    """What rows are ordered by, with whether it descends."""
+    out: list[tuple[Column, bool]] = []
     for name, descending in keys:
         column = t.resolve(name)
-        if column == "row":
-            out += [F.col(c).desc() if descending else F.col(c).asc() for c in t.row_order]
-        else:
-            out += mixed_key(t.text(column), descending)
-    return [*out, *[F.col(c).asc() for c in t.row_order]]
+        parts = [F.col(c) for c in t.row_order] if column == "row" else _mixed(t.text(column))
+        out += [(p, descending) for p in parts]
+    return [*out, *[(F.col(c), False) for c in t.row_order]]
+
+
+def order_by(t: Timeline, keys: list[tuple[str, bool]]) -> list[Column]:
+    """Sort expressions of several (field, descending) keys; ties keep the order of rows."""
+    return [c.desc() if descending else c.asc() for c, descending in _parts(t, keys)]
+
+
+def behind(t: Timeline, keys: list[tuple[str, bool]], row: tuple) -> Column:
+    """Whether a row comes after the one with the key ``row`` in the order of ``keys``.
+
+    That row's own sort key is read, and rows are compared with it: nothing is sorted or numbered.
+    """
+    parts = _parts(t, keys)
+    own = t.df
+    for c, v in zip(t.key, row, strict=True):
+        own = own.where(F.col(c) == v)
+    at = own.select(*[c.alias(f"k{i}") for i, (c, _) in enumerate(parts)]).first()
+    if at is None:
+        raise ValueError(f"no row {row}")
+    schema = dict(own.select(*[c.alias(f"k{i}") for i, (c, _) in enumerate(parts)]).dtypes)
+    out = F.lit(False)
+    for i in range(len(parts) - 1, -1, -1):
+        c, descending = parts[i]
+        here = F.lit(at[i]).cast(schema[f"k{i}"])
+        # Nulls come first when ascending and last when descending, as in the sort.
+        low, high = (c, here) if descending else (here, c)
+        out = F.coalesce(low < high, low.isNull() & high.isNotNull()) | (c.eqNullSafe(here) & out)
+    return out
 
 
 def sort(t: Timeline, keys: list[tuple[str, bool]]) -> Timeline:

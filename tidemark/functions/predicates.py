@@ -239,10 +239,17 @@ def field_differs(t: Timeline, name: str, value: str, cased: bool = False) -> Co
     return ~field_equals(t, name, value, cased)
 
 
-def find_next(t: Timeline, needle: str, after: int) -> Timeline:
-    """The first row behind ``after`` whose tags (one space apart), comment or any cell holds the needle."""
+def find_next(t: Timeline, needle: str, after: int | tuple, keys: list[tuple[str, bool]] | None = None) -> Timeline:
+    """The first row behind the one with the key ``after``, in the order of ``keys`` (of rows, if there are none), whose tags (one space apart), comment or any cell holds the needle.
+
+    Rows are compared with the current one by their sort keys, and each task keeps one row.
+    """
+    from .ordering import behind, order_by
+
     parts = [contains(F.array_join("tags", " "), needle), contains(t.text("comment"), needle), *[contains(t.text(c), needle) for c in t.columns]]
-    return t.with_df(t.df.where(any_of(parts) & (F.col("row_id") > after)).orderBy("row_id").limit(1))
+    row = after if isinstance(after, tuple) else (after,)
+    later = behind(t, keys or [], row) if keys or t.row_order != ["row_id"] else F.col("row_id") > row[0]
+    return t.with_df(t.df.where(any_of(parts) & later).orderBy(*order_by(t, keys or [])).limit(1))
 
 
 def sql_functions(spark) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ _PERIODS = [
     (re.compile(r"(\d{4})-(\d{1,2})-(\d{1,2})[ T](\d{1,2}):(\d{1,2})$"), "minute"),
     (re.compile(r"(\d{4})/(\d{1,2})/(\d{1,2}) (\d{1,2}):(\d{1,2})$"), "minute"),
 ]
-_FULL = ["%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y %H:%M:%S", "%m/%d/%Y %I:%M:%S %p", "%d/%m/%Y %H:%M:%S", "%m/%d/%Y %H:%M", "%d-%b-%Y %H:%M:%S", "%b %d, %Y %H:%M:%S", "%Y/%m/%d %H:%M:%S"]
+_FULL = ["%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y %H:%M:%S", "%m/%d/%Y %I:%M:%S %p", "%d/%m/%Y %H:%M:%S", "%m/%d/%Y %H:%M", "%d-%b-%Y %H:%M:%S", "%b %d, %Y %H:%M:%S", "%Y/%m/%d %H:%M:%S", "%b %d %H:%M:%S %Y", "%Y-%m-%d %H:%M:%S %z", "%Y-%m-%d %H:%M:%S.%f %z", "%Y-%m-%d %H:%M:%S%z", "%Y-%m-%d %H:%M:%S.%f%z"]
 
 
 def period(literal: str) -> tuple[datetime, datetime]:
@@ -83,15 +84,44 @@ def period(literal: str) -> tuple[datetime, datetime]:
         return t, t + timedelta(seconds=1)
     except ValueError:
         pass
+    # Names of weekdays and zones say nothing that counts; an offset does.
+    plain = re.sub(r"^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\s+", "", literal, flags=re.I)
+    plain = re.sub(r"(:\d{1,2}) [A-Z]{3,4} (\d{4})$", r"\1 \2", re.sub(r"\s+", " ", plain))
+    plain = re.sub(r"(:\d{1,2}(?:\.\d+)? [+-]\d{4}) \S+$", r"\1", plain)
     for layout in _FULL:
         try:
-            t = datetime.strptime(literal, layout)
+            t = datetime.strptime(plain, layout)
         except ValueError:
             continue
+        t = t.astimezone(timezone.utc).replace(tzinfo=None) if t.tzinfo else t
         return t, t + timedelta(seconds=1)
     raise ValueError(f"not a time: {literal!r}")
 
 
+#: Shapes of cells that name a whole period, their pattern and length.
+_PERIOD_CELLS = [
+    (r"\d{4}", "yyyy", "make_interval(1)"),
+    (r"\d{4}-\d{1,2}", "yyyy-M", "make_interval(0, 1)"),
+    (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d", "make_interval(0, 0, 0, 1)"),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d", "make_interval(0, 0, 0, 1)"),
+    (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}", "yyyy-M-d H:m", "make_interval(0, 0, 0, 0, 0, 1)"),
+    (r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}", "yyyy-M-d'T'H:m", "make_interval(0, 0, 0, 0, 0, 1)"),
+    (r"\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}", "yyyy/M/d H:m", "make_interval(0, 0, 0, 0, 0, 1)"),
+]
+
+
+def period_bounds(c: Column | str) -> Column:
+    """:func:`period` of a column of literals, as a struct of start and end; null if a cell names no time."""
+    cell = stripped(c)
+    one = F.expr("make_interval(0, 0, 0, 0, 0, 0, 1)")
+    parts = []
+    for shape, pattern, length in _PERIOD_CELLS:
+        start = F.try_to_timestamp(cell, F.lit(pattern))
+        parts.append(F.when(cell.rlike(f"^{shape}$") & start.isNotNull(), F.struct(start.alias("start"), (start + F.expr(length)).alias("end"))))
+    whole = parse_time(c)
+    return F.coalesce(*parts, F.when(whole.isNotNull(), F.struct(whole.alias("start"), (whole + one).alias("end"))))
+
+
 def duration(literal: str) -> timedelta:
     """``90s``, ``5m``, ``2h``, ``7d``, ``1w``, ``1d12h``: digits with their unit, one or more times."""
     if not re.fullmatch(r"(\d+[smhdw])+", literal.strip()):
@@ -108,8 +138,9 @@ def duration_seconds(c: Column | str) -> Column:
     return F.when(cell.rlike(r"^(\d+[smhdw])+$"), seconds)
 
 
-def operand(literal: str, now: datetime) -> tuple[datetime, datetime]:
-    """A literal, ``now`` or ``time``, perhaps with ``+`` or ``-`` and a duration (spaces around the sign)."""
+def operand(literal: str, now: datetime | None = None) -> tuple[datetime, datetime]:
+    """A literal, ``now`` or ``time`` (the clock's, if none is given), perhaps with ``+`` or ``-`` and a duration (spaces around the sign)."""
+    now = now or clock()
     m = re.fullmatch(r"(.+?) ([+-]) (\S+)", literal.strip())
     base = m[1].strip() if m else literal.strip()
     start, end = (now, now + timedelta(seconds=1)) if base.lower() in ("now", "time") else period(base)
@@ -123,20 +154,23 @@ def _at(t: datetime, ntz: bool) -> Column:
     return F.expr(f"timestamp{'_ntz' if ntz else ''}'{t.isoformat(sep=' ')}'")
 
 
-_NOW = datetime(1970, 1, 1)
+def clock() -> datetime:
+    """The time, in UTC; what ``now`` means unless a caller says otherwise."""
+    return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
-def before(c: Column, literal: str, now: datetime = _NOW, ntz: bool = False) -> Column:
+def before(c: Column, literal: str, now: datetime | None = None, ntz: bool = False) -> Column:
     return F.coalesce(c < _at(operand(literal, now)[0], ntz), F.lit(False))
 
 
-def after(c: Column, literal: str, now: datetime = _NOW, ntz: bool = False) -> Column:
+def after(c: Column, literal: str, now: datetime | None = None, ntz: bool = False) -> Column:
     """From the end of the literal's period on."""
     return F.coalesce(c >= _at(operand(literal, now)[1], ntz), F.lit(False))
 
 
-def between(c: Column, low: str, high: str, now: datetime = _NOW, ntz: bool = False) -> Column:
+def between(c: Column, low: str, high: str, now: datetime | None = None, ntz: bool = False) -> Column:
     """From the start of ``low`` to the end of ``high``."""
+    now = now or clock()
     return F.coalesce((c >= _at(operand(low, now)[0], ntz)) & (c < _at(operand(high, now)[1], ntz)), F.lit(False))
 
 
@@ -171,29 +205,38 @@ def around_anchors(events: DataFrame, time: str, anchors: DataFrame, anchor_time
     return left.join(right, "_bucket").where(near).drop("_bucket", "_at")
 
 
-def detect_time_column(df: DataFrame, columns: list[str], sample: int = SAMPLE) -> DataFrame:
-    """One row with the name of the time column (null if none), from the first rows by row id.
+def _best_column(counted: DataFrame) -> DataFrame:
+    """timeline_id and the column of the best score, of rows (timeline_id, at, title, seen, hits)."""
+    named = F.lit(False)
+    for word in TIME_WORDS:
+        named = named | F.contains(F.lower("title"), F.lit(word))
+    score = F.col("hits") / F.col("seen") + F.when(named, BONUS).otherwise(0.0)
+    good = counted.where("seen > 0").withColumn("score", score).where(F.col("score") >= F.when(named, NAMED_RATE).otherwise(RATE))
+    return good.groupBy("timeline_id").agg(F.max_by("at", F.struct("score", -F.col("at"))).alias("time_col"))
+
+
+def detect_time_columns(timelines: list[Timeline], sample: int = SAMPLE) -> DataFrame:
+    """timeline_id and time_col (the place of the column, null if none) of each timeline, in one job.
 
     A column's score is its share of parseable cells among those that are not
-    blank, with a bonus for a telling header; the best score wins, the first
-    column on ties.
+    blank, in the first rows by row id, with a bonus if its title has a telling
+    word; the best score wins, the first column on ties.
     """
-    first = df.orderBy("row_id").limit(sample)
-    named = lambda c: any(w in c.lower() for w in TIME_WORDS)
-    counts = first.agg(
-        *[F.count_if(text(c).rlike(r"\S")).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.count_if(parse_time(c).isNotNull()).alias(f"h{i}") for i, c in enumerate(columns)],
-    )
-    ranked = F.array(
-        *[
-            F.struct(
-                F.when(F.col(f"n{i}") > 0, F.col(f"h{i}") / F.col(f"n{i}") + (BONUS if named(c) else 0.0)).otherwise(0.0).alias("score"),
-                F.lit(-i).alias("order"),
-                F.lit(c).alias("name"),
-                F.lit(NAMED_RATE + BONUS if named(c) else RATE).alias("least"),
-            )
-            for i, c in enumerate(columns)
-        ]
-    )
-    good = F.filter(ranked, lambda x: x["score"] >= x["least"])
-    return counts.select(F.array_max(good)["name"].alias("time_column"))
+    parts = []
+    for t in timelines:
+        cells = F.posexplode(F.array(*[t.text(c) for c in t.columns])).alias("at", "cell")
+        titles = F.array(*[F.lit(t.title(c)) for c in t.columns])
+        first = t.df.orderBy(*t.row_order).limit(sample).select(F.lit(t.timeline_id).cast("long").alias("timeline_id"), cells)
+        parts.append(first.withColumn("title", F.get(titles, F.col("at"))))
+    if not parts:
+        raise ValueError("no timelines")
+    rows = reduce(DataFrame.unionByName, parts)
+    counted = rows.groupBy("timeline_id", "at", "title").agg(F.count_if(F.col("cell").rlike(r"\S")).alias("seen"), F.count_if(parse_time("cell").isNotNull()).alias("hits"))
+    known = timelines[0].df.sparkSession.createDataFrame([(t.timeline_id,) for t in timelines], "timeline_id bigint")
+    return known.join(_best_column(counted), "timeline_id", "left")
+
+
+def detect_time_column(t: Timeline, sample: int = SAMPLE) -> DataFrame:
+    """One row with the internal name of the time column (null if none)."""
+    names = F.array(*[F.lit(c) for c in t.columns])
+    return detect_time_columns([t], sample).select(F.get(names, F.col("time_col")).alias("time_column"))

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field, fields, replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ BITS = 62
 
 def resolves(df: DataFrame, test: Column) -> bool:
     """Whether ``df`` has all columns that ``test`` looks at; nothing runs, and nothing is logged."""
-    log = logging.getLogger("DataFrameQueryContextLogger")
+    log = PySparkLogger.getLogger("DataFrameQueryContextLogger")
     level = log.level
     log.setLevel(logging.CRITICAL + 1)
     try:
@@ -63,17 +64,20 @@ def passing(t: Timeline, test: Callable[[Timeline], Column], tags: DataFrame, co
     A condition with a test of cells that was not built by way of the timeline (a Column over its
     columns that also looks at tags or comments) is evaluated behind the join, as nothing can be told apart in it.
     """
+    if resolves(t.df.select(*[c for c in t.df.columns if c not in ("tags", "comment")]), test(t)):
+        return t.df.where(test(t)).select(*t.key)
     sided = Sided(**{f.name: getattr(t, f.name) for f in fields(Timeline)})
     condition = test(sided)
     counted = [] if t.number is None or t.number in t.key else [t.number]
-    narrow = replace(t, df=t.df.select(*t.key, *counted, *sided.bits()))
-    for needs in ((), ("tags",), ("comment",), ("tags", "comment")):
+    # The random column, which is never negative, keeps the condition from being moved below the bits, with all of them written out for each.
+    narrow = replace(t, df=t.df.select(*t.key, *counted, *sided.bits(), F.rand().alias("_fence")))
+    for needs in (("tags",), ("comment",), ("tags", "comment")):
         joined = narrow
         for name, attach, table in (("tags", attach_tags, tags), ("comment", attach_comments, comments)):
             joined = attach(joined, table) if name in needs else joined
         if resolves(joined.df, condition):
             # A projection, as a filter would also find columns that were left out below.
-            return joined.df.select(*t.key, condition.alias("_kept")).where("_kept").select(*t.key)
+            return joined.df.select(*t.key, (condition & (F.col("_fence") >= 0)).alias("_kept")).where("_kept").select(*t.key)
     whole = attach_comments(attach_tags(t, tags), comments)
     return whole.df.where(test(whole)).select(*t.key)
 

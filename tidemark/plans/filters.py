@@ -60,6 +60,21 @@ def f24_find_next(spark, sf_dir):
 
 R.add("f24_find_next", f24_find_next, f"{DOCS_SQL} SELECT row_id FROM docs WHERE row_id > 100 AND (contains(lower(array_to_string(tags, ' ')), 'good') OR contains(lower(text), 'good') OR contains(lower(comment), 'good')) ORDER BY row_id LIMIT 1")
 
+
+def f24_find_next_sorted(spark, sf_dir):
+    """The row that follows in a filtered view sorted by length, longest first, then by source."""
+    t = P.FilterSpec(pick={"lang": ["en", "de"]}).apply(base.docs(spark, sf_dir))
+    at = t.df.where("source = 'src3'").agg(F.min("row_id")).first()[0]
+    return P.find_next(t, "good", at, [("n_chars", True), ("source", False)]).df.select("row_id")
+
+
+R.add(
+    "f24_find_next_sorted",
+    f24_find_next_sorted,
+    f"""{DOCS_SQL}, v AS (SELECT *, row_number() OVER (ORDER BY CAST(n_chars AS DOUBLE) DESC, lower(source), row_id) AS pos FROM docs WHERE lang IN ('en', 'de')), cur AS (SELECT pos AS p FROM v WHERE row_id = (SELECT min(row_id) FROM v WHERE source = 'src3'))
+SELECT row_id FROM v, cur WHERE pos > p AND (contains(lower(array_to_string(tags, ' ')), 'good') OR contains(lower(text), 'good') OR contains(lower(comment), 'good')) ORDER BY pos LIMIT 1""",
+)
+
 _SAVED = json.dumps({"conditions": [{"target": "lang", "values": ["en"]}, {"target": "Host", "values": ["x"]}], "quick": {"Summary": "token", "Gone": "y"}, "pick": {"source": ["src1", "SRC2", "src3", "src11"]}})
 
 

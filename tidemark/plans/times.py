@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import ordering as S
 from ..functions import predicates as P
 from ..functions import times as T
+from ..sources import delimited as D
 from . import base
 from .base import DOCS_SQL, PARSE_SQL, SPELLED_SQL, Registry
 
@@ -25,18 +26,47 @@ R.add("t1_parse_times", t1_parse_times, f"{SPELLED_SQL} SELECT row_id, {PARSE_SQ
 
 
 def t2_period_bounds(spark, sf_dir):
-    """Start and end of the day, month and year that each event's date names, as a column of literals."""
-    e = base.table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), "ts")
-    units = F.array(*[F.struct(F.lit(u).alias("unit"), F.date_trunc(u, "ts").cast("timestamp_ntz").alias("start")) for u in ("YEAR", "MONTH", "DAY", "MINUTE")])
-    rows = e.select("row_id", F.explode(units).alias("u")).select("row_id", "u.unit", "u.start")
-    length = F.when(F.col("unit") == "YEAR", F.expr("make_interval(1)")).when(F.col("unit") == "MONTH", F.expr("make_interval(0, 1)")).when(F.col("unit") == "DAY", F.expr("make_interval(0, 0, 0, 1)")).otherwise(F.expr("make_interval(0, 0, 0, 0, 0, 1)"))
-    return rows.select("row_id", "unit", "start", (F.col("start") + length).cast("timestamp_ntz").alias("end"))
+    """Start and end of what literals name: years, months, days, minutes and seconds of the events, in several spellings."""
+    e = base.table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.col("ts").cast("timestamp").alias("ts"))
+    cells = F.array(*[F.struct(F.lit(u).alias("unit"), F.date_format("ts", p).alias("cell")) for u, p in _LITERALS])
+    rows = e.select("row_id", F.explode(cells).alias("u")).select("row_id", "u.unit", T.period_bounds("u.cell").alias("p"))
+    return rows.select("row_id", "unit", F.col("p.start").cast("timestamp_ntz").alias("start"), F.col("p.end").cast("timestamp_ntz").alias("end"))
 
 
+#: Units and the spellings of a literal that names one.
+_LITERALS = [("YEAR", "yyyy"), ("MONTH", "yyyy-MM"), ("DAY", "yyyy/MM/dd"), ("MINUTE", "yyyy-MM-dd HH:mm"), ("SECOND", "dd-MMM-yyyy HH:mm:ss")]
 R.add(
     "t2_period_bounds",
     t2_period_bounds,
-    " UNION ALL ".join(f"SELECT event_id AS row_id, '{u}' AS unit, CAST(date_trunc('{u}', ts) AS TIMESTAMP) AS start, CAST(date_trunc('{u}', ts) + INTERVAL 1 {u} AS TIMESTAMP) AS \"end\" FROM events" for u in ("YEAR", "MONTH", "DAY", "MINUTE")),
+    " UNION ALL ".join(f"SELECT event_id AS row_id, '{u}' AS unit, CAST(date_trunc('{u}', ts) AS TIMESTAMP) AS start, CAST(date_trunc('{u}', ts) + INTERVAL 1 {u} AS TIMESTAMP) AS \"end\" FROM events" for u, _ in _LITERALS),
+)
+
+
+def t11_s7_register_files(spark, sf_dir):
+    """Several timelines registered in one job, their time columns found by their cells and titles."""
+    spelled = base.spelled(spark, sf_dir)
+    rare = F.when(F.col("row_id") % 5 == 0, F.col("when_seen")).otherwise("odd")
+    orders = base.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("c0"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd").alias("c1"), F.lit("").alias("c2"))
+    docs = base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("c0"), F.col("lang").alias("c1"))
+    few = spelled.df.withColumn("c0", rare)
+    timelines = [
+        base.Timeline(few, ["c0", "event_type"], {"c0": "Created on"}, timeline_id=1, name="named"),
+        base.Timeline(few, ["c0", "event_type"], {"c0": "Remark"}, timeline_id=2, name="not named"),
+        base.Timeline(orders, ["c0", "c1", "c2"], {"c0": "Urgency", "c1": "Day", "c2": "Time"}, timeline_id=3, name="orders"),
+        base.Timeline(docs, ["c0", "c1"], {"c0": "When", "c1": "Lang"}, timeline_id=4, name="documents"),
+    ]
+    found = D.register_detected(timelines, spark)
+    rows = D.long_form([(t.timeline_id, t.df, t.columns) for t in timelines]).groupBy("timeline_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return found.join(rows, "timeline_id").select("timeline_id", "name", F.array_join("headers", ",").alias("headers"), F.coalesce("time_col", F.lit(-1)).alias("time_col"), "n_rows")
+
+
+R.add(
+    "t11_s7_register_files",
+    t11_s7_register_files,
+    f"""{SPELLED_SQL}, f AS (SELECT {PARSE_SQL} AS t, row_id FROM spelled ORDER BY row_id LIMIT 200), rate AS (SELECT count(t) FILTER (WHERE row_id % 5 = 0) / count(*) AS r FROM f)
+SELECT CAST(1 AS BIGINT) AS timeline_id, 'named' AS name, 'Created on,event_type' AS headers, CASE WHEN r + 0.15 >= 0.3 THEN 0 ELSE -1 END AS time_col, (SELECT count(*) FROM events) AS n_rows FROM rate
+UNION ALL SELECT 2, 'not named', 'Remark,event_type', CASE WHEN r >= 0.6 THEN 0 ELSE -1 END, (SELECT count(*) FROM events) FROM rate
+UNION ALL SELECT 3, 'orders', 'Urgency,Day,Time', 1, count(*) FROM orders UNION ALL SELECT 4, 'documents', 'When,Lang', -1, count(*) FROM documents""",
 )
 R.events_filter("t3_before", lambda c: T.before(c, "2024-01-05", ntz=True), "ts < TIMESTAMP '2024-01-05'")
 R.events_filter("t4_after", lambda c: T.after(c, "2024-01-20", ntz=True), "ts >= TIMESTAMP '2024-01-21'")
@@ -77,7 +107,7 @@ R.add("t9_interval_join", t9_interval_join, f"SELECT e.event_id, a.event_id AS a
 def t10_pivot_from_notes(spark, sf_dir):
     """Time notes as anchors on the detected time column: here the first event of each user is a note."""
     t = base.spelled(spark, sf_dir)
-    column = T.detect_time_column(t.df, t.columns).first()["time_column"]
+    column = T.detect_time_column(t).first()["time_column"]
     notes = t.df.groupBy("user_id").agg(F.min("ts").alias("note"))
     rows = t.df.select("row_id", T.time_of(t, column).cast("timestamp_ntz").alias("time")).where("time IS NOT NULL")
     return T.around_anchors(rows, "time", notes.withColumnRenamed("user_id", "note_of"), "note").groupBy("row_id").agg(F.count(F.lit(1)).alias("n_notes"))
@@ -93,13 +123,13 @@ SELECT row_id, count(*) AS n_notes FROM e JOIN n ON e.ts BETWEEN date_trunc('sec
 
 def t11_detect_time_column(spark, sf_dir):
     t = base.spelled(spark, sf_dir)
-    return T.detect_time_column(t.df, t.columns)
+    return T.detect_time_column(t)
 
 
 R.add(
     "t11_detect_time_column",
     t11_detect_time_column,
-    f"{SPELLED_SQL}, f AS (SELECT * FROM spelled ORDER BY row_id LIMIT 200) SELECT CASE WHEN count({PARSE_SQL}) / count(*) + 0.15 >= 0.45 THEN 'when_seen' END AS time_column FROM f",
+    f"{SPELLED_SQL}, f AS (SELECT * FROM spelled ORDER BY row_id LIMIT 200) SELECT CASE WHEN count({PARSE_SQL}) / count(*) + 0.15 >= 0.3 THEN 'when_seen' END AS time_column FROM f",
 )
 
 _NUM = r"CASE WHEN regexp_matches(trim(v), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST(trim(v) AS DOUBLE) END"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.times import detect_time_columns
 from ..model import Timeline, timeline
 from ..storage import cut
 from .records import blocks, cells, first_record, read_records
@@ -88,6 +89,12 @@ def register(timelines: list[tuple[int, str, str, DataFrame, list[str], int | No
     return spark.createDataFrame(rows, "timeline_id bigint, name string, source string, headers array<string>, display_headers array<string>, time_col int")
 
 
+def register_detected(timelines: list[Timeline], spark: SparkSession) -> DataFrame:
+    """:func:`register` of timelines whose time columns are found by what is in them, one job for all."""
+    table = register([(t.timeline_id, t.name, f"{t.name}.csv", t.df, [t.title(c) for c in t.columns], None) for t in timelines], spark)
+    return table.drop("time_col").join(detect_time_columns(timelines), "timeline_id")
+
+
 def long_form(timelines: list[tuple[int, DataFrame, list[str]]]) -> DataFrame:
     """Rows of many timelines as (timeline_id, row_id, cells)."""
     out = None
