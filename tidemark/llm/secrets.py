@@ -43,10 +43,12 @@ KINDS: dict[str, tuple[str, int, int]] = {
 }
 #: Same findings as hex above: a run of 24 or more is found whole, shorter ones are dropped.
 _FAST = {"hex": "[0-9a-f]{24,}"}
-#: Bare candidates: a run with letters and digits that no base span touches.
-BARE = "[A-Za-z0-9_+-]{20,}"
-#: Values of more owners than this are examples that people copy, however many documents an owner holds them in.
-MAX_OWNERS = 2
+#: Bare candidates: a run with letters and digits that no base span touches. A run with slashes counts
+#: whole, if one of its parts would by itself, or if it has 40 characters with letters of both cases and digits.
+BARE, PART, KEY_LENGTH = "[A-Za-z0-9_+/-]{20,}", "[A-Za-z0-9_+-]{20,}", 40
+#: Values of more owners than this are examples that people copy, however many documents an owner holds them in,
+#: unless one owner holds this share (in percent) of the repositories that have it.
+MAX_OWNERS, MAIN_SHARE = 2, 90
 #: Distinct characters that a value needs to look live.
 MIN_DISTINCT = 8
 
@@ -80,7 +82,8 @@ def spans(found: DataFrame) -> DataFrame:
     running = W.partitionBy("rid", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum(F.col("m.gap") + F.col("m.length")).over(running).cast("int")).withColumn("start", F.col("end") - F.col("m.length"))
     value, bare = F.col("m.value"), F.col("kind") == "live"
-    usable = (F.length(value) >= F.col("least")) & (~bare | (value.rlike("[0-9]") & value.rlike("[A-Za-z]")))
+    part = value.rlike(PART) | ((F.length(value) == KEY_LENGTH) & value.rlike("[A-Z]") & value.rlike("[a-z]"))
+    usable = (F.length(value) >= F.col("least")) & (~bare | (value.rlike("[0-9]") & value.rlike("[A-Za-z]") & part))
     kept = placed.where(usable).select("rid", "doc_id", "owner", "text_hash", "kind", "rank", "start", "end", value.alias("value"))
     # A bare run counts where no base span before it reaches into it and none behind it starts in it.
     before = W.partitionBy("rid").orderBy("start", "rank").rowsBetween(W.unboundedPreceding, -1)
@@ -93,6 +96,11 @@ def spans(found: DataFrame) -> DataFrame:
 def ownership(found: DataFrame) -> DataFrame:
     """Distinct repositories and owners of the hash of each value of ``found`` (:func:`spans`), and its class.
 
+    A repository is a document with its text, an owner its source. A value that looks live is
+    owner-specific if it has few owners, or if nearly all of its repositories are one owner's, so that a leak that
+    others have quoted stays one; both measures are shares or counts of owners and do not change with
+    the size of the corpus.
+
     Both levels of grouping combine before the shuffle, so a value that a third
     of all documents hold arrives as one row for each task and owner.
     """
@@ -100,9 +108,9 @@ def ownership(found: DataFrame) -> DataFrame:
     candidates = found.select("doc_id", "owner", "text_hash", F.sha2("value", 256).alias("value_hash"), live.alias("live"))
     repositories = candidates.groupBy("value_hash", "owner", "doc_id", "text_hash").agg(F.first("live").alias("live"))
     owners = repositories.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("n"), F.first("live").alias("live"))
-    per = owners.groupBy("value_hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"), F.first("live").alias("live"))
-    few = F.col("n_owners") <= MAX_OWNERS
-    return per.withColumn("verdict", F.when(~F.col("live"), "placeholder").when(few, "live").otherwise("example")).drop("live")
+    per = owners.groupBy("value_hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"), F.max("n").alias("most"), F.first("live").alias("live"))
+    few = (F.col("n_owners") <= MAX_OWNERS) | (100 * F.col("most") >= MAIN_SHARE * F.col("n_repositories"))
+    return per.withColumn("verdict", F.when(~F.col("live"), "placeholder").when(few, "live").otherwise("example")).drop("live", "most")
 
 
 def judged(survey_: DataFrame) -> DataFrame:
@@ -111,7 +119,7 @@ def judged(survey_: DataFrame) -> DataFrame:
     The side of the spans can be split by Spark where one value is hot.
     """
     found = saved(spans(survey_))
-    both = found.withColumn("value_hash", F.sha2("value", 256)).join(ownership(found).select("value_hash", "verdict"), "value_hash")
+    both = found.withColumn("value_hash", F.sha2("value", 256)).join(ownership(found), "value_hash")
     return both.where((F.col("kind") != "live") | (F.col("verdict") == "live")).drop("value_hash")
 
 
@@ -121,20 +129,21 @@ def _joined(spans_: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row for each document: base and all spans, and how many are live, example or placeholder."""
+    """One row for each document: base and all spans, how many are live, example or placeholder, and for each span the repositories and owners of its value."""
     found = survey(docs)
     span, base = F.struct("start", "rank", "kind", "end"), F.col("kind") != "live"
     per = judged(found).groupBy("rid").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS],
         F.sha2(_joined(F.collect_list(F.when(base, span))), 256).alias("base_sha256"),
         _joined(F.collect_list(span)).alias("spans"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "rank", "n_repositories", "n_owners"))), lambda x: F.concat_ws("/", x["n_repositories"].cast("string"), x["n_owners"].cast("string"))), ",").alias("ownership"),
         F.count_if(F.col("verdict") == "live").alias("n_live"),
         F.count_if(base & (F.col("verdict") == "example")).alias("n_example"),
         F.count_if(~base).alias("n_added"),
     )
     out = found.select("rid", "doc_id").join(per, "rid", "left")
-    texts = {"base_sha256": F.sha2(F.lit(""), 256), "spans": F.lit("")}
-    names = [*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_live", "n_example", "n_added"]
+    texts = {"base_sha256": F.sha2(F.lit(""), 256), "spans": F.lit(""), "ownership": F.lit("")}
+    names = [*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "ownership", "n_live", "n_example", "n_added"]
     return out.select("doc_id", *[F.coalesce(n, texts.get(n, F.lit(0).cast("long"))).alias(n) for n in names])
 
 
@@ -195,24 +204,30 @@ base AS (
   SELECT *, 1 AS r FROM assign UNION ALL SELECT *, 2 FROM access UNION ALL SELECT *, 3 FROM hex
 ), bare AS (
   SELECT *, 4 AS r FROM live l WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+    AND (regexp_matches(value, '{PART}') OR (length(value) = {KEY_LENGTH} AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')))
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.k = l.k AND b.s < l.e AND l.s < b.e)
 ), cand AS (
   SELECT * FROM base UNION ALL SELECT * FROM bare
+), repositories AS (
+  SELECT DISTINCT value, source, doc_id, text FROM cand JOIN d USING (k)
+), by_owner AS (
+  SELECT value, coalesce('=' || source, '') AS owner, count(*) AS n FROM repositories GROUP BY ALL
 ), owned AS (
-  SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners FROM cand JOIN d USING (k) GROUP BY value
+  SELECT value, sum(n) AS n_repositories, count(*) AS owners, max(n) AS most FROM by_owner GROUP BY value
 ), verdict AS (
-  SELECT value, CASE WHEN NOT ({_LIVE_LOOK}) THEN 'placeholder' WHEN owners <= {MAX_OWNERS} THEN 'live' ELSE 'example' END AS verdict FROM owned
+  SELECT value, n_repositories, owners, CASE WHEN NOT ({_LIVE_LOOK}) THEN 'placeholder' WHEN owners <= {MAX_OWNERS} OR 100 * most >= {MAIN_SHARE} * n_repositories THEN 'live' ELSE 'example' END AS verdict FROM owned
 ), judged AS (
-  SELECT cand.*, verdict FROM cand JOIN verdict USING (value)
+  SELECT cand.*, verdict, n_repositories, owners FROM cand JOIN verdict USING (value)
 ), per AS (
   SELECT k, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) FILTER (r < 4) AS base,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) FILTER (r < 4 OR verdict = 'live') AS spans,
+    string_agg(n_repositories || '/' || owners, ',' ORDER BY s, r) FILTER (r < 4 OR verdict = 'live') AS ownership,
     count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (r < 4 AND verdict = 'example') AS n_example, count(*) FILTER (r = 4 AND verdict = 'live') AS n_added
   FROM judged GROUP BY k
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(ownership, '') AS ownership,
   coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_added, 0) AS n_added
 FROM d LEFT JOIN per USING (k)"""
 }
