@@ -53,8 +53,8 @@ def test_repeated_null_and_missing_rows(spark, documents, prose):
 
 def test_dedup_keeps_columns_and_cuts_text(spark, documents, prose):
     a = prose(4, 100)
-    out = S.dedup(documents([(1, a), (2, a + " tail"), (3, None)]).drop("rid")).collect()
-    assert {r["doc_id"]: r["text"] for r in out}[2] == " tail" and set(out[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "row", "kept"}
+    out = S.dedup(documents([(1, a), (2, a + " tail"), (3, None)])).collect()
+    assert {r["doc_id"]: r["text"] for r in out}[2] == " tail" and set(out[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "rid", "row", "kept"}
 
 
 def test_mergesort_sorts_suffixes_and_survives_collisions():

@@ -19,7 +19,8 @@ a smaller document, or further left in the same one) is removed.
    anchor name a window, and all but its first occurrence are removed. Every
    equality that is used is verified on the bytes; a batch with a collision is
    done again by comparing the bytes themselves. The whole-context equality of
-   step 2 rests on 128 bits (two independent hashes).
+   step 2 is not verified: it rests on a 64-bit hash of the whole context beside
+   another one of its 24-byte anchor.
 4. The removed ranges go back to their documents.
 
 Anchors with many contexts (an edge of a very common passage) are found first,
@@ -385,9 +386,9 @@ def _renumbered(rows: DataFrame) -> bool:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated bytes taken out of the text (invalid cuts in characters are replaced)."""
-    names = [c for c in docs.columns if c != "rid"]
-    rows = keyed(docs.select(*[F.col(f"`{c}`") for c in names if c != "text"], text_of().alias("text")))
+    """``docs`` with repeated bytes taken out of the text (what is left of a character that is cut goes too); all columns stay, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = keyed(docs.select(row.alias("_row"), "doc_id", text_of().alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -395,7 +396,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             yield _batch([batch.column("rid"), pa.array(kept, pa.string())], ["rid", "_kept"])
 
     out = _ranged(rows).mapInArrow(run, "rid bigint, _kept string")
-    return rows.drop("text").join(out, "rid").withColumnRenamed("_kept", "text").select(*[f"`{c}`" for c in names])
+    return rows.join(out, "rid").select(*[F.col("_kept" if c == "text" else f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
