@@ -1,12 +1,15 @@
 """Readers, overlay, lists, extraction, master and exports on the small fixtures."""
 
+import csv
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import ordering
 from tidemark.functions import predicates as P
-from tidemark.model import COMMENTS, EDITS, TAG_DEFS, TAGS
-from tidemark.operators import extract, indicators, master, overlay, profile
+from tidemark.model import COMMENTS, EDITS, INDICATORS, TAG_DEFS, TAGS, timeline
+from tidemark.operators import extract, indicators, master, overlay, profile, rules
 from tidemark.sources import annotations, delimited, exports
 
 
@@ -252,6 +255,83 @@ def test_edited_snapshot_is_padded(spark):
     assert row.first()["c"] == ["a", "", "x"]
 
 
+def test_file_of_a_view_in_its_order(spark, tmp_path):
+    """The comment and the header come once and first, however many parts there are; cells with line breaks, quotes and commas stay whole."""
+    rows = [[f"h{i % 7}", f"{i}", 'a "b", c' if i % 5 else "x\ny"] for i in range(300)]
+    t = delimited.in_memory(spark, ["Host", "n", "Host"], rows)
+    t = overlay.attach_tags(t, spark.createDataFrame([(0, i, g) for i in range(0, 300, 10) for g in ("p", "q")], TAGS))
+    t = overlay.attach_comments(t, spark.createDataFrame([(0, 5, "c")], COMMENTS))
+
+    def written(name, **more):
+        exports.write_view(t, str(tmp_path / name), [("Host", True), ("n", True)], **more)
+        return "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+
+    order = sorted(range(300), key=lambda i: (-(i % 7), -i))
+    want = io.StringIO()
+    out = csv.writer(want, lineterminator="\n")
+    out.writerow(["Timeline comments:", "one, two"])
+    out.writerow(["Host", "n", "Host", "Tags", "Comment"])
+    out.writerows([[*rows[i], "" if i % 10 else "p, q", "c" if i == 5 else ""] for i in order])
+    assert written("view", comment="one, two") == want.getvalue()
+    lines = written("layout", layout=[("A,B", ["c1"]), ("None", []), ("Tag", ["tags"])], annotated_only=True).splitlines()
+    assert lines[0] == '"A,B",None,Tag' and lines[1:] == [f'{i},,{"" if i % 10 else chr(34) + "p, q" + chr(34)}' for i in order if i % 10 == 0 or i == 5]
+    empty = t.with_df(t.df.where("false"))
+    exports.write_view(empty, str(tmp_path / "none"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*"))) == "Host,n,Host,Tags,Comment\n"
+
+
+def test_first_values_follow_the_view(spark, monkeypatch):
+    """The view's order decides which values they are, whether the head of the view is enough or not; the result is sorted."""
+    rows = [["b", "1"], ["a", "2"], ["", "3"], ["b", "9"], ["c", "8"], ["d", "7"]]
+    t = delimited.in_memory(spark, ["v", "n"], rows)
+    for head in (4, 1):
+        monkeypatch.setattr(profile, "HEAD", head)
+        got = lambda limit, keys: [(r["value"], r["truncated"]) for r in profile.distinct_values(t, "v", limit, keys).collect()]
+        assert got(2, [("n", True)]) == [("b", True), ("c", True)]
+        assert got(3, [("n", False)]) == [("", True), ("a", True), ("b", True)]
+        assert got(5, [("v", True)]) == [("", False), ("a", False), ("b", False), ("c", False), ("d", False)]
+        assert got(2, [("v", True)]) == [("", True), ("d", True)]
+    assert profile.distinct_values(t.with_df(t.df.where("false")), "v").collect() == []
+
+
+def test_rules_as_rows_and_as_text(spark, monkeypatch):
+    """Every kind of test, bits in several words; each rule that cannot be used is reported, and the rest run."""
+    t = delimited.in_memory(spark, ["Summary", "When"], [["psexec on dc1", "2024-01-02 10:00"], ["PSEXEC", ""], ["", "2024-03-01"], ["nothing", "2024-01-31"]])
+    t = overlay.attach_tags(t, spark.createDataFrame([(0, 1, "Bad"), (0, 3, "bad")], TAGS))
+    tests = [
+        (1, "Summary", "exact", "psexec", False), (2, "Summary", "contains", "psexec", False), (3, "Summary", "empty", "", False), (4, "when", "between", "2024-01-02 and 2024-01", False),
+        (5, "When", "before", "2024-01-31", False), (6, "When", "after", "2024-01-31", False), (7, "", "has_tag", "Bad", False), (8, "", "tagged", "", True), (9, "Summary", "regex", "^n", False), (10, "any", "filled", "", True),
+    ]
+    want = {1: [1], 2: [0, 1], 3: [2], 4: [0, 3], 5: [0], 6: [2], 7: [1], 8: [0, 2], 9: [3], 10: []}
+    texts = {20: ("Summary = 'PSEXEC' OR get(tags, 0) = 'bad'", [1, 3]), 21: ("summary LIKE '%dc1'", [0]), 22: ("CAST(null AS boolean)", [])}
+    wrong = {30: "Gone = 1", 31: "= =", 32: " ", 33: "length(Summary)", 34: "count(*) > 0"}
+    bad_rows = [(40, "Gone", "contains", "x", False), (41, "Summary", "like", "x", False), (42, "Summary", "regex", "(", False), (43, "When", "before", "soon", False), (44, "When", "between", "2024", False), (45, "Summary", "contains", "psexec", False), (45, "Gone", "filled", "", False)]
+    both = [(50, "Summary", "contains", "dc1", False), (50, "Summary", "contains", "dc1", True)]
+    clauses = [(f"l{n}", n, 1, *rest) for n, *rest in [*tests, *bad_rows, *both]] + [("l51", 51, 1, "Summary", "contains", "dc1", False), ("l51", 51, 2, "Summary", "empty", "", False), ("gone", 1, 1, "Summary", "empty", "", False)]
+    texts_of = {**{n: x for n, (x, _) in texts.items()}, **wrong}
+    lines = [(f"l{n}", n, texts_of.get(n, ""), "") for n in sorted({c[1] for c in clauses if c[0] != "gone"} | set(texts_of))]
+    lists = rules.rule_lines(spark, lines).unionByName(spark.createDataFrame([("r", 1, "regex", "[", "")], INDICATORS))
+    for bits in (62, 3):
+        monkeypatch.setattr(rules, "BITS", bits)
+        hits, errors = rules.scan_lists(t, lists, spark.createDataFrame(clauses, rules.CLAUSES))
+        got = {}
+        for r in hits.collect():
+            got.setdefault(r["line"], []).append(r["row_id"])
+        assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in {**want, **{n: w for n, (_, w) in texts.items()}, 51: [0, 2]}.items() if v}
+        reported = {(r["list"], r["line"]) for r in errors.where("error <> ''").collect()}
+        assert reported == {("r", 1), ("gone", 1), *((f"l{n}", n) for n in [*wrong, 40, 41, 42, 43, 44, 45])}
+    assert rules.scan_lists(t, lists.limit(0))[1].count() == 0
+
+
+def test_long_lists_keep_the_key_of_rows(spark):
+    """Rows of two timelines with one number are two rows."""
+    df = spark.createDataFrame([(1, 0, "alpha"), (2, 0, "beta"), (2, 1, "alpha beta")], "timeline_id bigint, row_id bigint, c string")
+    t = timeline(df, ["c"], key=("timeline_id", "row_id"), number=None)
+    lists = spark.createDataFrame([("l", 1, "plain", "alpha", ""), ("l", 2, "plain", "BETA", ""), ("l", 3, "regex", "^b", "")], INDICATORS)
+    got = sorted((r["timeline_id"], r["row_id"], r["line"]) for r in indicators.scan_many(t, lists).collect())
+    assert got == [(1, 0, 1), (2, 0, 2), (2, 1, 1)]
+
+
 def test_distinct_values_are_cut_in_row_order(spark):
     t = delimited.in_memory(spark, ["v"], [["b"], ["a"], ["b"], ["c"]])
     got = profile.distinct_values(t, "v", 2).collect()

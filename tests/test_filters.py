@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import predicates as P
-from tidemark.functions.ordering import order_by, positions
+from tidemark.functions.ordering import order_by, positions, sort_key
+from tidemark.functions.views import SavedView
 from tidemark.sources.delimited import in_memory
 
 
@@ -93,7 +94,45 @@ def test_literal_backslashes(spark):
 def test_saved_view_drops_unknown_columns(spark):
     t = table(spark, ["host", "event"], HOSTS)
     saved = '{"conditions": [{"target": "Gone", "values": ["x"]}], "quick": {"host": "alp", "Other": "y"}}'
-    assert ids(t, P.FilterSpec.from_json(saved, t).to_column(t)) == [0, 2]
+    assert ids(t, SavedView.from_json(saved, t).spec.to_column(t)) == [0, 2]
+
+
+def test_saved_view_of_an_application(spark):
+    """Title, filter, filters by exact title, tags and sort; what the timeline lacks is dropped."""
+    t = table(spark, ["host", "event"], HOSTS, tags={0: ["x"], 2: ["x", "y"], 3: ["z"]})
+    saved = '{"name": "n", "query": "log", "cased": true, "tagged_only": true, "sort_column": "event", "sort_desc": true, "col_filters": {"host": "a", "Host": "zzz"}, "tags": ["x", "z"]}'
+    view = SavedView.from_json(saved, t)
+    assert (view.name, view.sort, view.spec.cased, view.spec.tagged_only) == ("n", (("c1", True),), True, True)
+    assert [r["row_id"] for r in view.apply(t).df.collect()] == [2, 0, 3]
+    again = SavedView.from_json(view.to_json(t), t)
+    assert again == view
+    other = SavedView.from_json(saved.replace('"event"', '"when"'), table(spark, ["Event"], [["log"]]))
+    assert other.sort == () and other.spec.quick == {}
+    assert SavedView.from_json('{"query": "q", "query_on": "Gone"}', t).spec.query == ""
+
+
+def test_saved_view_with_a_tree(spark):
+    """Trees, times and several sort keys come back as they were; unknown fields go from within the tree."""
+    t = table(spark, ["host", "when", "Host"], [["a", "2024-01-02", "q"], ["b", "2024-02-01", ""], ["c", "", "r"], ["a", "2024-01-05", "s"]])
+    tree = P.Tree("or", (P.Condition("c2", ["q"]), P.Tree("not", (P.Tree("or", (P.When("when", "after", "2024-01-03"), P.Condition("comment", ["k"]))),))))
+    view = SavedView("v", P.FilterSpec(where=tree, pick={"host": ["a", "c"]}), (("row", True), ("c2", False)))
+    saved = view.to_json(t)
+    again = SavedView.from_json(saved, t)
+    assert again.to_json(t) == saved and again.spec.where.parts[0].target == "c2"
+    assert [r["row_id"] for r in again.apply(t).df.collect()] == [2, 0]
+    small = table(spark, ["host"], [["a"], ["b"]])
+    assert [r["row_id"] for r in SavedView.from_json(saved, small).apply(small).df.collect()] == [0]
+    assert P.FilterSpec(where=P.When("when", "between", "2024-01", "2024-01")).to_column(t) is not None
+    with pytest.raises(ValueError):
+        SavedView("c", P.FilterSpec(where=F.lit(True))).to_json(t)
+
+
+@pytest.mark.parametrize("keys", [[("c0", False)], [("c0", True)], [("c1", True), ("c0", False)], [("row", True)], []])
+def test_sort_key_ascends_in_the_order_of_the_keys(spark, keys):
+    cells = ["", "a", "ab", "abc", "B", "10", "9", "-1.5", "é", "\U0001f600", "\uffff", "z", " 7", "a", "0", "-0"]
+    t = table(spark, ["v", "w"], [[c, str(i % 3)] for i, c in enumerate(cells)])
+    want = [r["row_id"] for r in t.df.orderBy(*order_by(t, keys)).collect()]
+    assert [r["row_id"] for r in t.df.orderBy(sort_key(t, keys)).collect()] == want
 
 
 def test_mixed_order(spark):

@@ -22,7 +22,7 @@ def mixed_key(c: Column, descending: bool = False) -> list[Column]:
     return [p.desc() if descending else p.asc() for p in _mixed(c)]
 
 
-def _parts(t: Timeline, keys: list[tuple[str, bool]]) -> list[tuple[Column, bool]]:
+def sort_parts(t: Timeline, keys: list[tuple[str, bool]]) -> list[tuple[Column, bool]]:
     """What rows are ordered by, with whether it descends."""
     out: list[tuple[Column, bool]] = []
     for name, descending in keys:
@@ -34,7 +34,22 @@ def _parts(t: Timeline, keys: list[tuple[str, bool]]) -> list[tuple[Column, bool
 
 def order_by(t: Timeline, keys: list[tuple[str, bool]]) -> list[Column]:
     """Sort expressions of several (field, descending) keys; ties keep the order of rows."""
-    return [c.desc() if descending else c.asc() for c, descending in _parts(t, keys)]
+    return [c.desc() if descending else c.asc() for c, descending in sort_parts(t, keys)]
+
+
+def sort_key(t: Timeline, keys: list[tuple[str, bool]]) -> Column:
+    """One value for each row that ascends in the order of ``keys``: what descends is turned around, text by the complement of its bytes."""
+    parts = sort_parts(t, keys)
+    types = t.df.select(*[c.alias(f"k{i}") for i, (c, _) in enumerate(parts)]).dtypes
+    out: list[Column] = []
+    for (c, descending), (_, kind) in zip(parts, types, strict=True):
+        if descending:
+            # Nulls come last when descending; a text that goes on comes before its beginning.
+            turned = ~c if kind == "boolean" else F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G")) if kind == "string" else -c
+            out += [c.isNull(), turned]
+        else:
+            out.append(c)
+    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(out)])
 
 
 def behind(t: Timeline, keys: list[tuple[str, bool]], row: tuple) -> Column:
@@ -42,7 +57,7 @@ def behind(t: Timeline, keys: list[tuple[str, bool]], row: tuple) -> Column:
 
     That row's own sort key is read, and rows are compared with it: nothing is sorted or numbered.
     """
-    parts = _parts(t, keys)
+    parts = sort_parts(t, keys)
     own = t.df
     for c, v in zip(t.key, row, strict=True):
         own = own.where(F.col(c) == v)

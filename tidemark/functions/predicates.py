@@ -7,7 +7,6 @@ prunes and orders.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -144,6 +143,28 @@ class Condition:
         return [] if self.exclude != negated else [(self.target, v, self.regex) for v in self.values if v.strip()]
 
 
+@dataclass(frozen=True)
+class When:
+    """A column's time ``before`` or ``after`` a literal, or ``between`` two."""
+
+    target: str
+    op: str
+    low: str
+    high: str = ""
+
+    def to_column(self, t: Timeline, cased: bool = False) -> Column:
+        from .times import after, before, between, time_of
+
+        time = time_of(t, t.resolve(self.target))
+        if self.op not in ("before", "after", "between"):
+            raise ValueError(f"unknown comparison of times {self.op!r}")
+        test = between(time, self.low, self.high) if self.op == "between" else (before if self.op == "before" else after)(time, self.low)
+        return t.held(test)
+
+    def terms(self, negated: bool = False) -> list[Term]:
+        return []
+
+
 #: What a filter looks for: field, value, whether it is a regular expression.
 Term = tuple[str, str, bool]
 
@@ -153,7 +174,7 @@ class Tree:
     """Conditions joined by ``and`` or ``or``, or one of them under ``not``."""
 
     op: str
-    parts: tuple[Tree | Condition, ...]
+    parts: tuple[Tree | Condition | When, ...]
 
     def to_column(self, t: Timeline, cased: bool = False) -> Column | None:
         tests = [c for c in (x.to_column(t, cased) for x in self.parts) if c is not None]
@@ -181,7 +202,7 @@ class FilterSpec:
     match_all: bool = True
     quick: dict[str, str] = field(default_factory=dict)
     pick: dict[str, list[str]] = field(default_factory=dict)
-    where: Column | Tree | None = None
+    where: Column | Tree | Condition | When | None = None
     cased: bool = False
 
     def to_column(self, t: Timeline) -> Column:
@@ -199,33 +220,23 @@ class FilterSpec:
         tests = [c for c in (x.to_column(t, self.cased) for x in self.conditions) if c is not None]
         if tests:
             parts.append((all_of if self.match_all else any_of)(tests))
-        where = self.where.to_column(t, self.cased) if isinstance(self.where, Tree) else self.where
+        node = None if isinstance(self.where, Column) else self.where
+        where = self.where if node is None else node.to_column(t, self.cased)
         if where is not None:
             where = F.coalesce(where, F.lit(False))
-            parts.append(where if isinstance(self.where, Tree) else t.held(where))
+            parts.append(t.held(where) if node is None else where)
         parts += [quick(t, t.resolve(k), v, self.cased) for k, v in self.quick.items() if v.strip()]
         parts += [on(t, t.resolve(k), lambda c, v=v: one_of(c, v, self.cased)) for k, v in self.pick.items() if v]
         return all_of(parts)
 
     def terms(self) -> list[Term]:
         """The positive terms of all parts; a condition that is given as a Column has none."""
-        out = self.where.terms() if isinstance(self.where, Tree) else []
+        out = [] if self.where is None or isinstance(self.where, Column) else self.where.terms()
         if self.query and self.query_on is not None:
             out.append((self.query_on, self.query, self.query_regex))
         out += [x for c in self.conditions for x in c.terms()]
         return out + [(k, v, False) for k, v in self.quick.items() if v.strip() not in ("", "*")]
 
-    @classmethod
-    def from_json(cls, saved: str, t: Timeline) -> FilterSpec:
-        """A saved view for another timeline: columns by exact title, those it lacks are dropped."""
-        raw = json.loads(saved)
-        known = {t.title(c) for c in t.columns} | {"tags", "comment", "any", "data"}
-        conditions = [Condition(**c) for c in raw.get("conditions", []) if c["target"] in known]
-        quick_ = {k: v for k, v in raw.get("quick", {}).items() if k in known}
-        pick = {k: v for k, v in raw.get("pick", {}).items() if k in known}
-        plain = {k: raw[k] for k in ("tagged_only", "tag", "any_tags", "query", "query_on", "query_regex", "match_all", "cased") if k in raw}
-        return cls(conditions=conditions, quick=quick_, pick=pick, **plain)
-
     def apply(self, t: Timeline) -> Timeline:
         return t.with_df(t.df.where(self.to_column(t)))
 

@@ -59,7 +59,7 @@ def label_blocks(classified: DataFrame) -> DataFrame:
     return out.where(F.col("kind").isin("plain", "regex", "rule")).select("list", "line", "kind", "value", "label")
 
 
-def _lines(indicators: DataFrame) -> list[Row]:
+def bounded_lines(indicators: DataFrame) -> list[Row]:
     """Lines that become expressions, on the driver; more than ``MOST_LINES`` are an error, as no row can be tested against so many."""
     rows = indicators.orderBy("list", "line").limit(MOST_LINES + 1).collect()
     if len(rows) > MOST_LINES:
@@ -70,7 +70,7 @@ def _lines(indicators: DataFrame) -> list[Row]:
 def regex_errors(indicators: DataFrame) -> DataFrame:
     """Lines whose regular expression cannot be used, as (list, line, value, error); the rest still run."""
     bad = []
-    for r in _lines(indicators.where("kind = 'regex'")):
+    for r in bounded_lines(indicators.where("kind = 'regex'")):
         try:
             check_regex(r["value"])
         except ValueError as e:
@@ -89,9 +89,9 @@ class Indicator:
 
 
 def compiled(indicators: DataFrame, rules: dict[tuple[str, int], Column] | None = None) -> list[Indicator]:
-    """The usable lines of small lists, in order; rules are given as Columns by (list, line)."""
+    """The usable lines of small lists, in order; rules are given as Columns by (list, line), as :func:`.rules.with_rules` makes and reports them."""
     out = []
-    for r in _lines(indicators):
+    for r in bounded_lines(indicators):
         rule = (rules or {}).get((r["list"], r["line"]))
         if r["kind"] == "regex":
             try:
@@ -155,8 +155,8 @@ def _blocks(needles: DataFrame) -> Iterator[list[list[tuple[str, str, int]]]]:
         yield [b for b in blocks if b]
 
 
-def _literal_hits(cells: DataFrame, blocks: list[list[tuple[str, str, int]]]) -> DataFrame:
-    """row_id, list and line of the first needle of each list in any cell of (row_id, cells); one narrow pass.
+def _literal_hits(cells: DataFrame, key: list[str], blocks: list[list[tuple[str, str, int]]]) -> DataFrame:
+    """The row's key, list and line of the first needle of each list in any cell of (key, cells); one narrow pass.
 
     A task reads its rows once and takes the blocks one by one, so it holds one
     automaton, and its rows only if there are several blocks.
@@ -175,18 +175,22 @@ def _literal_hits(cells: DataFrame, blocks: list[list[tuple[str, str, int]]]) ->
                 automaton.add_word(needle, at)
             automaton.make_automaton()
             for batch in held:
-                out: list[tuple[int, str, int]] = []
-                for row, texts in zip(batch.column("row_id").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                rows: list[int] = []
+                out: list[tuple[str, int]] = []
+                for row, texts in enumerate(batch.column("cells").to_pylist()):
                     first: dict[str, int] = {}
                     seen = {id(at): at for text_ in texts for _, at in automaton.iter(text_)}
                     for at in seen.values():
                         for name, line in at:
                             first[name] = min(line, first.get(name, line))
-                    out += [(row, name, line) for name, line in first.items()]
-                columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32()), strict=True)], ["row_id", "list", "line"])
+                    rows += [row] * len(first)
+                    out += first.items()
+                keys = [batch.column(k).take(pa.array(rows, pa.int64())) for k in key]
+                found = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*keys, *found], [*key, "list", "line"])
 
-    return cells.mapInArrow(run, "row_id bigint, list string, line int")
+    types = dict(cells.dtypes)
+    return cells.mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in key) + ", list string, line int")
 
 
 def scan_many(t: Timeline, indicators: DataFrame, rules: dict[tuple[str, int], Column] | None = None) -> DataFrame:
@@ -199,14 +203,14 @@ def scan_many(t: Timeline, indicators: DataFrame, rules: dict[tuple[str, int], C
     runs them.
     """
     needles = indicators.where("kind = 'plain' AND value <> ''").select(F.lower("value").alias("needle"), "list", "line").distinct()
-    cells = t.df.select("row_id", F.array(*[F.lower(t.text(c)) for c in t.data_columns]).alias("cells"))
-    found = scan(t, compiled(indicators.where("kind IN ('regex', 'rule')"), rules)).select("row_id", "list", "line")
+    cells = t.df.select(*t.key, F.array(*[F.lower(t.text(c)) for c in t.data_columns]).alias("cells"))
+    found = scan(t, compiled(indicators.where("kind IN ('regex', 'rule')"), rules)).select(*t.key, "list", "line")
     for blocks in _blocks(needles):
         if blocks:
-            found = found.unionByName(_literal_hits(cells, blocks))
-    first = found.groupBy("row_id", "list").agg(F.min("line").alias("line"))
+            found = found.unionByName(_literal_hits(cells, list(t.key), blocks))
+    first = found.groupBy(*t.key, "list").agg(F.min("line").alias("line"))
     labels = indicators.groupBy("list", "line").agg(F.first("label").alias("label"))
-    return first.join(labels, ["list", "line"]).select("row_id", "list", "line", "label")
+    return first.join(labels, ["list", "line"]).select(*t.key, "list", "line", "label")
 
 
 def hit_tags(hits: DataFrame, timeline_id: int = 0) -> DataFrame:
@@ -242,28 +246,6 @@ def list_names(lists: DataFrame) -> DataFrame:
     return named.groupBy(F.lower("name").alias("key")).agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("lines")).select("name", "lines")
 
 
-def clauses_to_column(t: Timeline, clauses: list[tuple[int, str, str, str, bool]]) -> Column:
-    """A rule from its table rows (clause, field, op, value, negated): any clause whose rows all hold."""
-    from ..functions.times import after, before, time_of
-
-    parts: dict[int, list[Column]] = {}
-    for clause, field, op, value, negated in clauses:
-        if op in ("before", "after"):
-            c = (before if op == "before" else after)(time_of(t, field), value)
-        else:
-            target = t.resolve(field)
-            test = (lambda x, v=value: matches(x, v)) if op == "regex" else (lambda x, v=value: contains(x, v))
-            c = any_of(test(t.text(k)) for k in ([*t.columns, "tags", "comment"] if target == "any" else [target]))
-        parts.setdefault(clause, []).append(~c if negated else c)
-    whole = []
-    for tests in parts.values():
-        one = tests[0]
-        for c in tests[1:]:
-            one = one & c
-        whole.append(one)
-    return any_of(whole)
-
-
 def parse_text(name: str, content: str) -> list[tuple[str, int, str]]:
     """Raw lines (list, line, text) of a list that is typed in."""
     return [(name, k + 1, line) for k, line in enumerate(re.split(r"\r?\n", content))]

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ordering import sort_key
 from ..functions.predicates import FilterSpec, Term, check_regex, contains, text
 from ..model import Timeline
+from ..storage import cut
 
 DISTINCT_LIMIT = 2000
+#: Rows of a view, for each value wanted, that are looked at before all are.
+HEAD = 4
 
 
 def tag_counts(tags: DataFrame, tag_defs: DataFrame) -> DataFrame:
@@ -19,12 +23,19 @@ def tag_counts(tags: DataFrame, tag_defs: DataFrame) -> DataFrame:
     return both.select("tag", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def distinct_values(t: Timeline, column: str, limit: int = DISTINCT_LIMIT) -> DataFrame:
-    """value and truncated: the values found first (by row), at most ``limit``; the flag tells whether there are more."""
-    first = t.df.groupBy(t.text(t.resolve(column)).alias("value")).agg(F.min("row_id").alias("first"))
-    some = first.orderBy("first").limit(limit + 1)
+def distinct_values(t: Timeline, column: str, limit: int = DISTINCT_LIMIT, keys: list[tuple[str, bool]] | None = None) -> DataFrame:
+    """value and truncated, sorted: the values found first in the order of ``keys``, at most ``limit``; the flag tells whether there are more.
+
+    The first ``HEAD * limit`` rows of the view are looked at, of which each task keeps no
+    more. Only if they hold too few values are those of all rows counted, once in each task before the shuffle.
+    """
+    rows = t.df.select(t.text(t.resolve(column)).alias("value"), sort_key(t, keys or []).alias("first"))
+    head = cut(rows.orderBy("first").limit(HEAD * limit))
+    if head.select("value").distinct().limit(limit + 1).count() > limit:
+        rows = head
+    some = rows.groupBy("value").agg(F.min("first").alias("first")).orderBy("first").limit(limit + 1)
     numbered = some.withColumn("n", F.row_number().over(W.orderBy("first"))).withColumn("total", F.count(F.lit(1)).over(W.partitionBy()))
-    return numbered.where(F.col("n") <= limit).select("value", (F.col("total") > limit).alias("truncated"))
+    return numbered.where(F.col("n") <= limit).select("value", (F.col("total") > limit).alias("truncated")).orderBy("value")
 
 
 def search_values(values: DataFrame, needle: str) -> DataFrame:

@@ -10,7 +10,8 @@ fetched by a semi-join at the end, if they are wanted at all.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, fields, replace
 from functools import reduce
 
@@ -26,17 +27,27 @@ from .overlay import attach_comments, attach_tags
 BITS = 62
 
 
-def resolves(df: DataFrame, test: Column) -> bool:
-    """Whether ``df`` has all columns that ``test`` looks at; nothing runs, and nothing is logged."""
-    log = PySparkLogger.getLogger("DataFrameQueryContextLogger")
-    level = log.level
-    log.setLevel(logging.CRITICAL + 1)
+@contextmanager
+def quiet() -> Iterator[None]:
+    """Errors of analysis are raised, but not logged."""
+    logs = [PySparkLogger.getLogger(f"{kind}QueryContextLogger") for kind in ("DataFrame", "SQL")]
+    levels = [log.level for log in logs]
+    for log in logs:
+        log.setLevel(logging.CRITICAL + 1)
     try:
-        df.select(test)
-    except AnalysisException:
-        return False
+        yield
     finally:
-        log.setLevel(level)
+        for log, level in zip(logs, levels, strict=True):
+            log.setLevel(level)
+
+
+def resolves(df: DataFrame, test: Column) -> bool:
+    """Whether ``df`` has all columns that ``test`` looks at; nothing runs, and nothing is logged."""
+    with quiet():
+        try:
+            df.select(test)
+        except AnalysisException:
+            return False
     return True
 
 

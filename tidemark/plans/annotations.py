@@ -196,6 +196,33 @@ SELECT value, total > {A.DISTINCT_LIMIT} AS truncated FROM n WHERE k <= {A.DISTI
 )
 
 
+def a3_first_values_of_view(spark, sf_dir):
+    """The first 40 sizes in a filtered view by language, backwards, then size: the order decides which they are."""
+    t = P.FilterSpec(pick={"source": ["src1", "src2", "src3", "src4"]}).apply(base.docs(spark, sf_dir))
+    return A.distinct_values(t, "n_chars", 40, [("lang", True), ("n_chars", False)])
+
+
+R.add(
+    "a3_first_values_of_view",
+    a3_first_values_of_view,
+    f"""{DOCS_SQL}, v AS (SELECT n_chars AS value, row_number() OVER (ORDER BY lang = '' DESC, lower(lang) DESC, CAST(n_chars AS DOUBLE), row_id) AS pos FROM docs WHERE lower(source) IN ('src1', 'src2', 'src3', 'src4')),
+f AS (SELECT value, min(pos) AS pos FROM v GROUP BY value), n AS (SELECT value, row_number() OVER (ORDER BY pos) AS k, count(*) OVER () AS total FROM f) SELECT value, total > 40 AS truncated FROM n WHERE k <= 40""",
+)
+
+
+def a3_few_values_of_view(spark, sf_dir):
+    """Fewer values than the limit, though far apart in the view: all rows are counted."""
+    return A.distinct_values(base.docs(spark, sf_dir), "lang", 50, [("lang", True)]).unionByName(A.distinct_values(base.docs(spark, sf_dir), "lang", 2, [("lang", True)]))
+
+
+R.add(
+    "a3_few_values_of_view",
+    a3_few_values_of_view,
+    f"""{DOCS_SQL}, f AS (SELECT lang AS value, row_number() OVER (ORDER BY lang = '' DESC, lower(lang) DESC) AS k, count(*) OVER () AS total FROM (SELECT DISTINCT lang FROM docs))
+SELECT value, total > 50 AS truncated FROM f WHERE k <= 50 UNION ALL SELECT value, total > 2 FROM f WHERE k <= 2""",
+)
+
+
 def a4_search_values(spark, sf_dir):
     return A.search_values(A.distinct_values(base.docs(spark, sf_dir), "comment"), "K S").unionByName(A.search_values(A.distinct_values(base.docs(spark, sf_dir), "comment"), "blank"))
 

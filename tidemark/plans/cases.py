@@ -305,6 +305,45 @@ UNION ALL SELECT 0, 'lang', 'source', 'n_chars', 'Tags', 'Comment' UNION ALL SEL
 )
 
 
+def _read_lines(spark, folder):
+    """The lines of a folder of text files in their order, numbered from 0."""
+    lines = spark.read.text(folder).select("value", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    return positions(lines, [F.col(c) for c in ("file_name", "file_block_start", "at")]).select("position", "value")
+
+
+def e3_e4_ordered_file(spark, sf_dir):
+    """The file of a sorted view, line by line: the comment, one header with a title that repeats, the rows in order."""
+    t = E.hide(base.docs(spark, sf_dir), "text")
+    folder = _folder(spark)
+    E.write_view(E.rename(t, {"source": "lang"}), folder, [("lang", True), ("n_chars", False)], 'seen at 03:14, "twice", there')
+    return _read_lines(spark, folder)
+
+
+R.add(
+    "e3_e4_ordered_file",
+    e3_e4_ordered_file,
+    f"""{DOCS_SQL} SELECT 1 + row_number() OVER (ORDER BY lang = '' DESC, lower(lang) DESC, CAST(n_chars AS DOUBLE), row_id) AS position,
+  lang || ',' || source || ',' || n_chars || ',' || CASE WHEN contains(tag_text, ',') THEN '"' || tag_text || '"' ELSE tag_text END || ',' || comment AS value FROM docs
+UNION ALL SELECT 0, 'Timeline comments:,"seen at 03:14, ""twice"", there"' UNION ALL SELECT 1, 'lang,lang,n_chars,Tags,Comment'""",
+)
+
+
+def e7_annotated_file(spark, sf_dir):
+    """A layout of the annotated rows as a file, sorted by length, longest first."""
+    folder = _folder(spark)
+    layout = [("When", ["n_chars"]), ("What", ["lang", "source"]), ("Comments", ["comment"]), ("Tag", ["tags"]), ("Notes", [])]
+    E.write_view(base.docs(spark, sf_dir), folder, [("n_chars", True)], layout=layout, annotated_only=True)
+    return _read_lines(spark, folder)
+
+
+R.add(
+    "e7_annotated_file",
+    e7_annotated_file,
+    f"""{DOCS_SQL} SELECT row_number() OVER (ORDER BY CAST(n_chars AS DOUBLE) DESC, row_id) AS position, n_chars || ',lang: ' || lang || '; source: ' || source || '; ,' || comment || ',' || CASE WHEN contains(tag_text, ',') THEN '"' || tag_text || '"' ELSE tag_text END || ',' AS value FROM docs WHERE len(tags) > 0 OR regexp_matches(comment, '\\S')
+UNION ALL SELECT 0, 'When,What,Comments,Tag,Notes'""",
+)
+
+
 def e5_csv_dialect(spark, sf_dir):
     """The bytes of the export: commas, quotes only where a cell needs them, doubled inside, one line for each row."""
     t = base.bare_docs(spark, sf_dir)

@@ -7,7 +7,8 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..functions.ordering import order_by
+from ..functions.ordering import order_by, page
+from ..functions.views import SavedView
 from ..operators.overlay import adopt, apply_edits
 from . import base
 from .base import DOCS_SQL, Registry
@@ -80,13 +81,47 @@ _SAVED = json.dumps({"conditions": [{"target": "lang", "values": ["en"]}, {"targ
 
 def f25_saved_view(spark, sf_dir):
     t = base.docs(spark, sf_dir)
-    kept = P.FilterSpec.from_json(_SAVED, t).apply(t)
+    kept = SavedView.from_json(_SAVED, t).spec.apply(t)
     return kept.df.orderBy(*order_by(kept, [("n_chars", True)])).select("row_id")
 
 
 R.add("f25_saved_view", f25_saved_view, f"{DOCS_SQL} SELECT row_id FROM docs WHERE contains(lower(lang), 'en') AND contains(lower(text), 'token') AND lower(source) IN ('src1', 'src2', 'src3', 'src11')")
 
 
+#: A view as it is saved for an application: a filter, filters by title, tags and a sort.
+_REFERENCE_VIEW = json.dumps({"name": "long ones", "query": "the", "cased": False, "tagged_only": True, "sort_column": "n_chars", "sort_desc": True, "col_filters": {"lang": "e", "Gone": "x"}, "tags": ["Good", "Suspicious"]})
+
+
+def f25_saved_sort(spark, sf_dir):
+    """Positions 5 to 25 of a saved view: its sort decides which rows they are."""
+    t = base.docs(spark, sf_dir)
+    saved = SavedView.from_json(_REFERENCE_VIEW, t)
+    return page(saved.spec.apply(t), list(saved.sort), 5, 25).select("row_id")
+
+
+R.add(
+    "f25_saved_sort",
+    f25_saved_sort,
+    f"{DOCS_SQL} SELECT row_id FROM docs WHERE len(tags) > 0 AND list_has_any(tags, ['Good', 'Suspicious']) AND contains(lower(lang), 'e') AND (contains(lower(text), 'the') OR contains(lower(lang), 'the') OR contains(lower(source), 'the') OR contains(lower(tag_text), 'the') OR contains(lower(comment), 'the')) ORDER BY CAST(n_chars AS DOUBLE) DESC, row_id LIMIT 20 OFFSET 5",
+)
+
+
+def f25_saved_tree(spark, sf_dir):
+    """A view with a tree, times and two sort keys, saved for the events and read again for them; what another timeline lacks is dropped."""
+    t = base.events(spark, sf_dir)
+    tree = P.Tree("and", (P.When("ts", "between", "2024-01-03", "2024-01-20"), P.Tree("not", (P.Tree("or", (_C("event_type", ["error"]), _C("user_id", ["^1"], regex=True))),))))
+    view = SavedView("tree", P.FilterSpec(where=tree, quick={"props": "k"}), (("event_type", False), ("user_id", True)))
+    again = SavedView.from_json(view.to_json(t), t)
+    return page(again.spec.apply(t), list(again.sort), 0, 50).select("row_id")
+
+
+R.add(
+    "f25_saved_tree",
+    f25_saved_tree,
+    "SELECT event_id AS row_id FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-21' AND NOT (contains(lower(event_type), 'error') OR regexp_matches(CAST(user_id AS VARCHAR), '^1')) AND contains(lower(props), 'k') ORDER BY lower(event_type), CAST(user_id AS DOUBLE) DESC, event_id LIMIT 50",
+)
+
+
 def f8_adopted_left_out(spark, sf_dir):
     """Adopted annotation columns do not count as data."""
     t = base.bare_docs(spark, sf_dir)

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import order_by
+from ..functions.ordering import order_by, sort_parts
 from ..functions.predicates import filled
 from ..model import TAG_SEPARATOR, Timeline
 
@@ -50,6 +50,39 @@ def with_prelude(t: Timeline, comment: str) -> DataFrame:
     return first.unionByName(body).orderBy("no")
 
 
+def csv_line(cells: list[Column]) -> Column:
+    """A record of the dialect: commas, quotes only where a cell holds a comma, a quote or a line break, quotes inside doubled."""
+    quoted = [F.when(c.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in cells]
+    return F.concat_ws(",", *quoted)
+
+
+def lines(t: Timeline, keys: list[tuple[str, bool]] | None = None, comment: str = "", layout: Layout | None = None, annotated_only: bool = False) -> DataFrame:
+    """The file of a view as ordered rows of one column, value: the comment of the timeline, if there is one, the header, and a record for each row.
+
+    Rows are rendered where they are read, and one range sort carries their sort keys and
+    records; the records of the comment and the header sort before all others. Titles may repeat.
+    """
+    if layout is None:
+        header = [*[t.title(c) for c in t.data_columns], "Tags", "Comment"]
+        cells = [t.text(c) for c in [*t.data_columns, "tags", "comment"]]
+    else:
+        header, cells = [n for n, _ in layout], [layout_column(t, s) for _, s in layout]
+    df = t.df.where((F.size("tags") > 0) | filled("comment")) if annotated_only else t.df
+    parts = sort_parts(t, keys or [])
+    body = df.select(F.lit(2).alias("head"), csv_line(cells).alias("value"), *[c.alias(f"k{i}") for i, (c, _) in enumerate(parts)])
+    heads = [(0, [PRELUDE, comment])] if comment.strip() else []
+    top = t.df.sparkSession.createDataFrame([*heads, (1, header)], "head int, cells array<string>")
+    record = F.array_join(F.transform("cells", lambda c: csv_line([c])), ",")
+    rows = body.unionByName(top.select("head", record.alias("value")), allowMissingColumns=True)
+    order = [F.col(f"k{i}").desc() if descending else F.col(f"k{i}").asc() for i, (_, descending) in enumerate(parts)]
+    return rows.orderBy("head", *order).select("value")
+
+
+def write_view(t: Timeline, path: str, keys: list[tuple[str, bool]] | None = None, comment: str = "", layout: Layout | None = None, annotated_only: bool = False) -> None:
+    """:func:`lines` as a folder of text files that, one after the other by name, are the file of the view."""
+    lines(t, keys, comment, layout, annotated_only).write.mode("overwrite").text(path, lineSep="\n")
+
+
 def layout_column(t: Timeline, sources: list[str]) -> Column:
     """No source: empty; one: its value; several: ``name: value; `` for each."""
     value = lambda s: F.col("comment") if s == "comment" else t.text(s)
