@@ -131,7 +131,7 @@ def _block_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def blocks(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
-    """_file, _block, start (the state that a block begins in), records (that begin in it) and before (records of earlier blocks and files): a row for each block."""
+    """_file, _block, start and behind (the states that a block begins and ends in), records (that begin in it) and before (records of earlier blocks and files): a row for each block."""
     ends = _lines(spark, path, delimiter).drop("value").mapInArrow(_block_states, _STATES)
     fixed, swap = F.col("outside") == F.col("inside"), (F.col("outside") > F.col("inside")).cast("int")
     upto = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, 0)
@@ -140,10 +140,11 @@ def blocks(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
     known = F.last(F.when(fixed, F.struct("outside", "swaps")), ignorenulls=True).over(before)
     ends = ends.withColumn("known", known).withColumn("swapped", F.coalesce(F.sum(swap).over(before), F.lit(0)))
     start = (F.coalesce(F.col("known.outside"), F.lit(0)) + F.col("swapped") - F.coalesce(F.col("known.swaps"), F.lit(0))) % 2
-    starts = ends.select("_file", "_block", start.cast("int").alias("start"), "from_outside", "from_inside")
+    starts = ends.select("_file", "_block", start.cast("int").alias("start"), "outside", "inside", "from_outside", "from_inside")
+    starts = starts.withColumn("behind", F.when(F.col("start") == 0, F.col("outside")).otherwise(F.col("inside")))
     starts = starts.withColumn("records", F.when(F.col("start") == 0, F.col("from_outside")).otherwise(F.col("from_inside")))
     all_before = F.sum("records").over(W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1))
-    return starts.select("_file", "_block", "start", "records", F.coalesce(all_before, F.lit(0)).alias("before"))
+    return starts.select("_file", "_block", "start", "behind", "records", F.coalesce(all_before, F.lit(0)).alias("before"))
 
 
 def _without_returns(values: pa.Array) -> pa.Array:
@@ -208,12 +209,23 @@ def _joined(most: int):
 
 def read_records(spark: SparkSession, path: str, delimiter: str, starts: DataFrame) -> DataFrame:
     """_file, _block, n (from 1 in each block), value and number (from 0 over all files) of every record; ``starts`` are the :func:`blocks`."""
-    begun = starts.select("_file", "_block", "start")
-    # A row for each block, that is for each task.
-    found = _lines(spark, path, delimiter).join(F.broadcast(begun), ["_file", "_block"]).mapInArrow(_joined(MOST_CHARS), _RECORDS)
-    whole = found.where("NOT open AND n > 0").select("_file", "_block", "n", "value")
-    # Parts of records that cross blocks: each belongs to the last record that was left open before it.
-    parts = found.where("open OR n = 0")
+    lines = _lines(spark, path, delimiter)
+
+    def found(of: DataFrame) -> DataFrame:
+        # A row for each block, that is for each task.
+        begun = of.select("_file", "_block", "start")
+        return lines.join(F.broadcast(begun), ["_file", "_block"]).mapInArrow(_joined(MOST_CHARS), _RECORDS)
+
+    def numbered(records: DataFrame) -> DataFrame:
+        return records.join(F.broadcast(starts.select("_file", "_block", "before")), ["_file", "_block"]).withColumn("number", F.col("before") + F.col("n") - 1).drop("before")
+
+    whole = found(starts).where("NOT open AND n > 0").select("_file", "_block", "n", "value")
+    # Parts of records that cross blocks: each belongs to the last record that was left open before it. Only blocks
+    # that begin or end inside a quoted cell have any, so the lines of the others are not joined to records again.
+    crossing = starts.where("start = 1 OR behind = 1")
+    if crossing.isEmpty():
+        return numbered(whole)
+    parts = found(crossing).where("open OR n = 0")
     order = W.partitionBy("_file").orderBy("_block", "n").rowsBetween(W.unboundedPreceding, 0)
     owner = F.last(F.when(F.col("n") > 0, F.struct("_block", "n")), ignorenulls=True).over(order)
     parts = parts.withColumn("owner", owner)
@@ -222,5 +234,4 @@ def read_records(spark: SparkSession, path: str, delimiter: str, starts: DataFra
     parts = parts.withColumn("value", F.when(F.sum(F.length("value")).over(upto) > MOST_CHARS, long).otherwise(F.col("value")))
     joined = parts.groupBy("_file", "owner").agg(F.array_sort(F.collect_list(F.struct("_block", "n", "value"))).alias("p"))
     value = F.regexp_replace(F.array_join(F.transform("p", lambda x: x["value"]), "\n"), r"\r\z", "")
-    both = whole.unionByName(joined.select("_file", "owner._block", "owner.n", value.alias("value")))
-    return both.join(F.broadcast(starts.select("_file", "_block", "before")), ["_file", "_block"]).withColumn("number", F.col("before") + F.col("n") - 1).drop("before")
+    return numbered(whole.unionByName(joined.select("_file", "owner._block", "owner.n", value.alias("value"))))
