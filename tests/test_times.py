@@ -90,6 +90,30 @@ def test_interval_join_equals_brute_force_without_a_nested_loop(spark):
     assert got == {(i, j) for i, t in events for j, s in anchors if abs((t - s.replace(microsecond=0)).total_seconds()) <= 300}
 
 
+def test_interval_join_deals_the_pairs_of_one_bucket_and_keeps_copies(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 8, raising=False)
+    start = datetime(2024, 1, 1)
+    events = [(i, "x", start + timedelta(milliseconds=370 * (i % 700))) for i in range(1000)] + [(7, "x", start)] * 20 + [(8, None, None)]
+    anchors = [(i, start + timedelta(seconds=i)) for i in range(-330, 0, 3)] + [(0, start + timedelta(milliseconds=999))] * 15 + [(1, None)]
+    e = spark.createDataFrame(events, "`event id` long, note string, at timestamp")
+    a = spark.createDataFrame(anchors, "anchor long, seen timestamp")
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        joined = T.around_anchors(e, "at", a, "seen")
+        assert joined.columns == ["event id", "note", "at", "anchor", "seen"]
+        rows = joined.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    wanted = sorted((i, j) for i, _, t in events if t for j, s in anchors if s and abs((t.replace(microsecond=0) - s.replace(microsecond=0)).total_seconds()) <= 300)
+    assert sorted((r["event id"], r["anchor"]) for r in rows) == wanted
+    most = max(sum(r["task"] == k for r in rows) for k in range(4))
+    assert most < 0.5 * len(rows), "one bucket is one task's work"
+
+
 def test_detects_the_time_column(spark):
     t = in_memory(spark, ["Host", "Seen"], [["a", "2024-01-01 00:00:00"], ["b", "x"], ["c", ""]])
     assert T.detect_time_column(t.with_df(t.df.where("c0 <> 'a'"))).first()["time_column"] is None

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import Timeline
@@ -34,6 +35,8 @@ LAYOUTS: list[tuple[str, str]] = [
 ]
 #: Words in a header that speak for a time column.
 TIME_WORDS = ["time", "date", "timestamp", "created", "modified", "accessed", "when"]
+#: Rows of a block in an interval join; two blocks make at most the square of this many pairs at once.
+BLOCK = 128
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 SAMPLE, RATE, NAMED_RATE, BONUS = 200, 0.6, 0.3, 0.15
 
@@ -189,20 +192,37 @@ def around(c: Column, instant: datetime, minutes: int = 5, ntz: bool = False) ->
     return F.coalesce((c >= _at(t - timedelta(minutes=minutes), ntz)) & (c < _at(t + timedelta(minutes=minutes, seconds=1), ntz)), F.lit(False))
 
 
+def _blocks(df: DataFrame, time: str, width: int, name: str) -> DataFrame:
+    """Rows that follow each other within a bucket of time, in blocks of at most ``BLOCK``: an array ``name`` of the rows and their seconds, and the seconds it covers.
+
+    Rows are numbered in an order of all columns, so that a task that runs again makes the same blocks.
+    """
+    rows = df.select(F.unix_seconds(F.col(time).cast("timestamp")).alias("at"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).where("at IS NOT NULL")
+    ties = [c for c, kind in rows.dtypes if "map<" not in kind and kind != "variant"]
+    number = F.row_number().over(W.partitionBy("bucket").orderBy(*ties)) - 1
+    numbered = rows.withColumn("bucket", F.floor(F.col("at") / width)).withColumn("piece", F.floor(number / BLOCK))
+    found = numbered.groupBy("bucket", "piece").agg(F.collect_list(F.struct(*rows.columns)).alias(name), F.min("at").alias("low"), F.max("at").alias("high"))
+    return found.select(name, *[F.col(c).alias(f"{name}_{c}") for c in ("bucket", "piece", "low", "high")])
+
+
 def around_anchors(events: DataFrame, time: str, anchors: DataFrame, anchor_time: str, minutes: int = 5) -> DataFrame:
     """Pairs of events and anchors within so many minutes, as an interval join.
 
-    Both sides are put into buckets as wide as the window; an anchor looks into
-    its own bucket and the two beside it, so the join is an equi-join on the
-    bucket followed by the exact range, and never a nested loop.
+    Both sides are put into buckets as wide as the window and there into blocks
+    of rows; a block of anchors looks into the buckets that it reaches, so the
+    join is an equi-join of blocks on the bucket, and never a nested loop. Pairs
+    of blocks are dealt among the tasks, whatever bucket they are of, and only
+    then become pairs of rows: the work is that of the pairs that there are.
     """
     width = minutes * 60
-    seconds = lambda c: F.unix_seconds(F.date_trunc("second", F.col(c)).cast("timestamp"))
-    left = events.withColumn("_bucket", F.floor(seconds(time) / width))
-    right = anchors.withColumn("_at", seconds(anchor_time))
-    right = right.withColumn("_bucket", F.explode(F.sequence(F.floor((F.col("_at") - width) / width), F.floor((F.col("_at") + width) / width))))
-    near = (seconds(time) >= F.col("_at") - width) & (seconds(time) <= F.col("_at") + width)
-    return left.join(right, "_bucket").where(near).drop("_bucket", "_at")
+    left, right = _blocks(events, time, width, "e"), _blocks(anchors, anchor_time, width, "a")
+    reached = F.sequence(F.floor((F.col("a_low") - width) / width), F.floor((F.col("a_high") + width) / width))
+    right = right.withColumn("e_bucket", F.explode(reached))
+    meet = (F.col("e_low") <= F.col("a_high") + width) & (F.col("e_high") >= F.col("a_low") - width)
+    dealt = left.join(right, "e_bucket").where(meet).select("e", "a", "e_bucket", "e_piece", "a_bucket", "a_piece").repartition("e_bucket", "e_piece", "a_bucket", "a_piece")
+    pairs = dealt.select(F.explode("e").alias("e"), "a").select("e", F.explode("a").alias("a"))
+    cells = [F.col(side)[f"c{i}"].alias(c) for side, df in (("e", events), ("a", anchors)) for i, c in enumerate(df.columns)]
+    return pairs.where((F.col("a.at") >= F.col("e.at") - width) & (F.col("a.at") <= F.col("e.at") + width)).select(*cells)
 
 
 def _best_column(counted: DataFrame) -> DataFrame:
