@@ -155,6 +155,31 @@ def test_spans(spark):
     assert sorted((r["start"], r["end"]) for r in merged.collect()) == [(0, 4), (6, 7)]
 
 
+def test_spans_are_joined_where_cells_are_read(spark):
+    from tidemark.functions.predicates import Condition, FilterSpec
+
+    cells = [["", ""], ["the here", "aaa"], ["otherer \U0001f600 erthe", "x"], ["none", "er"], ["the" * 70_000, "heer the\u0001her"]]
+    t = delimited.in_memory(spark, ["Summary", "Note"], cells)
+    words = ["the", "he", "er"]
+    spec = FilterSpec(conditions=[Condition("any", [w]) for w in words], match_all=False)
+    found = profile.highlights(t, spec)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan, "matches are shuffled and sorted"
+    wanted = []
+    for row, line in enumerate(cells):
+        for c, cell in enumerate(line):
+            covered = []
+            for start, end in sorted((k, k + len(w)) for w in words for k in range(len(cell)) if cell.startswith(w, k)):
+                if covered and start <= covered[-1][1]:
+                    covered[-1][1] = max(end, covered[-1][1])
+                else:
+                    covered.append([start, end])
+            wanted += [(row, f"c{c}", *x) for x in covered]
+    assert sorted(tuple(r) for r in found.collect()) == wanted
+    apart = profile.spans(t, [("any", w) for w in words])
+    assert sorted(tuple(r) for r in profile.merge_spans(apart, ["row_id", "column"]).select("row_id", "column", "start", "end").collect()) == wanted
+
+
 def test_master_over_two_shapes(spark):
     from dataclasses import replace
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.ordering import sort_key
 from ..functions.predicates import FilterSpec, Term, check_regex, contains, text
@@ -14,6 +19,8 @@ from ..storage import cut
 DISTINCT_LIMIT = 2000
 #: Rows of a view, for each value wanted, that are looked at before all are.
 HEAD = 4
+#: Spans that leave a task at once.
+SPANS = 1 << 16
 
 
 def tag_counts(tags: DataFrame, tag_defs: DataFrame) -> DataFrame:
@@ -64,28 +71,57 @@ def _quoted(needle: str) -> str:
     return "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def spans(t: Timeline, terms: list[Term] | list[tuple[str, str]], cased: bool = False) -> DataFrame:
+def _places(parts: Column) -> Column:
+    """The characters of each part of a cell without its mark, and of the match that it begins with."""
+    return F.transform(parts, lambda p, i: F.struct((F.length(p) - F.when(i > 0, 1).otherwise(0)).alias("width"), F.length(F.substring_index(p, _END, 1)).alias("match")))
+
+
+def spans(t: Timeline, terms: list[Term] | list[tuple[str, str]], cased: bool = False, joined: bool = False) -> DataFrame:
     """The row's key, column, start, end of every non-empty match of each (field, value) or (field, value, is regex) term, in characters, ignoring case unless ``cased``.
 
-    ``any`` looks into every data column. A match is a row: running lengths give
-    the places, so the work grows with the matches of a cell.
+    ``any`` looks into every data column; ``joined`` joins overlapping and touching spans of a cell. The
+    matches of a cell are placed by running lengths, and joined, in batches of the rows as they are
+    read, so the work grows with the matches, and nothing is shuffled or sorted beyond a batch.
     """
-    parts = []
+    found: dict[str, list[Column]] = {}
     for name, value, *regex in terms:
         target = t.resolve(name) if name != "data" else "any"
         pattern = ("" if cased else "(?iu)") + (check_regex(value) if regex and regex[0] else _quoted(value))
         for c in t.data_columns if target == "any" else [target]:
-            parts.append(F.struct(F.lit(c).alias("column"), F.lit(len(parts)).alias("term"), _marked(t.text(c), pattern).alias("parts")))
-    if not parts:
+            found.setdefault(c, []).append(_marked(t.text(c), pattern))
+    if not found:
         return t.df.select(*t.key, F.lit("").alias("column"), F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
-    hit = F.filter(F.array(*parts), lambda x: F.size(x["parts"]) > 1)
-    cells = t.df.select(*t.key, F.explode(hit).alias("x"))
-    rows = cells.select(*t.key, "x.column", "x.term", F.posexplode("x.parts").alias("i", "part"))
-    width = F.length("part") - F.when(F.col("i") > 0, 1).otherwise(0)
-    before = W.partitionBy(*t.key, "column", "term").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("width", width).withColumn("start", F.sum("width").over(before).cast("int")).where("i > 0")
-    placed = placed.withColumn("end", (F.col("start") + F.length(F.substring_index("part", _END, 1))).cast("int"))
-    return placed.where(F.col("end") > F.col("start")).select(*t.key, "column", "start", "end")
+    hits = [F.struct(F.lit(c).alias("column"), F.transform(F.filter(F.array(*parts), lambda p: F.size(p) > 1), _places).alias("terms")) for c, parts in found.items()]
+    cells = t.df.select(*t.key, F.explode(F.filter(F.array(*hits), lambda x: F.size(x["terms"]) > 0)).alias("x")).select(*t.key, "x.column", "x.terms")
+    schema = StructType([*(StructField(f.name, f.dataType) for f in cells.schema.fields[:-1]), StructField("start", IntegerType()), StructField("end", IntegerType())])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of_cell = batch.column("terms").flatten()
+            parts = of_cell.flatten()
+            n = of_cell.value_lengths().to_numpy()
+            row = np.repeat(np.repeat(np.arange(batch.num_rows), batch.column("terms").value_lengths().to_numpy()), n)
+            width, match = (parts.field(f).to_numpy().astype(np.int64) for f in ("width", "match"))
+            first = np.cumsum(n) - n
+            start = np.cumsum(width) - width
+            start -= np.repeat(start[first], n)
+            kept = match > 0
+            kept[first] = False  # what stands before the first match
+            row, start, end = row[kept], start[kept], (start + match)[kept]
+            if joined and len(row):
+                order = np.lexsort((end, start, row))
+                row, start, end = row[order], start[order], end[order]
+                apart = row * (int(end.max()) + 1)  # cells one after the other
+                new = np.flatnonzero(np.concatenate([[True], (apart + start)[1:] > np.maximum.accumulate(apart + end)[:-1]]))
+                row, start, end = row[new], start[new], np.maximum.reduceat(end, new)
+            for k in range(0, len(row), SPANS):
+                some = slice(k, k + SPANS)
+                named = [c.take(pa.array(row[some])) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*named, pa.array(start[some], pa.int32()), pa.array(end[some], pa.int32())], schema.names)
+
+    return cells.mapInArrow(placed, schema)
 
 
 def regex_spans(df: DataFrame, key: str, column: str, pattern: str) -> DataFrame:
@@ -96,11 +132,11 @@ def regex_spans(df: DataFrame, key: str, column: str, pattern: str) -> DataFrame
 
 def highlights(t: Timeline, spec: FilterSpec) -> DataFrame:
     """The row's key, column, start, end of what a filter spec looks for, overlapping and touching spans joined; what is excluded is not shown."""
-    return merge_spans(spans(t, spec.terms(), spec.cased), [*t.key, "column"])
+    return spans(t, spec.terms(), spec.cased, joined=True)
 
 
 def merge_spans(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Overlapping or touching spans of a cell joined."""
+    """Overlapping or touching spans of a cell joined, wherever they come from; those of one timeline's terms are joined by :func:`spans`."""
     by = W.partitionBy(*keys).orderBy("start", "end")
     far = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
     new = found.withColumn("new", F.when(far.isNull() | (F.col("start") > far), 1).otherwise(0))

@@ -231,7 +231,7 @@ R.add("a4_search_values", a4_search_values, f"{DOCS_SQL}, v AS (SELECT DISTINCT
 
 
 def h1_match_spans(spark, sf_dir):
-    return A.spans(base.docs(spark, sf_dir), [("Summary", "Token"), ("lang", "e"), ("any", "src1")])
+    return A.spans(base.bare_docs(spark, sf_dir), [("Summary", "Token"), ("lang", "e"), ("any", "src1")])
 
 
 _SPANS_SQL = """SELECT row_id, '{c}' AS "column", CAST(s AS INTEGER) AS start, CAST(s + {n} AS INTEGER) AS "end" FROM (
@@ -245,7 +245,7 @@ R.add(
 
 
 def h1_regex_spans(spark, sf_dir):
-    return A.regex_spans(base.docs(spark, sf_dir).df, "row_id", "text", r"[0-9a-f]{40}")
+    return A.regex_spans(base.bare_docs(spark, sf_dir).df, "row_id", "text", r"[0-9a-f]{40}")
 
 
 R.add(
@@ -271,9 +271,9 @@ R.add("h1_filter_spans", h1_filter_spans, f"{DOCS_SQL} {_H1}")
 
 
 def h2_merge_spans(spark, sf_dir):
-    """Spans of overlapping needles in a column, joined."""
-    found = A.spans(base.docs(spark, sf_dir), [("Summary", "the"), ("Summary", "he"), ("Summary", "er")])
-    return A.merge_spans(found, ["row_id", "column"]).groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("width"))
+    """Spans of overlapping needles in a column, joined; the overlay is not looked at, so no text is shuffled to meet it."""
+    found = A.spans(base.bare_docs(spark, sf_dir), [("Summary", "the"), ("Summary", "he"), ("Summary", "er")], joined=True)
+    return found.groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("width"))
 
 
 _H2 = " UNION ALL ".join(_SPANS_SQL.format(c="text", v=v, n=len(v)) for v in ("the", "he", "er"))
