@@ -37,6 +37,18 @@ def test_ablations_add_up(spark, documents, prose):
     assert got["few_words"] == (1, 0) and got["repeated_words"] == (2, 0)
 
 
+def test_repeats_are_hashed_by_doubling_and_exact_at_the_edges(spark, documents):
+    texts = ["", " \t", *(" ".join(["a"] * n) for n in (7, 8, 9, 17)), *(" ".join("abcdefgh"[:k] * 3) for k in (3, 5, 8)), "a b c d e f g h x " * 2, "a b c d e f g h y\x0ba b c d e f g h", "a b c d e f g h b a d c f e h g"]
+    df = documents(list(enumerate(texts)))
+    book = quality.ledger(df)
+    assert "xxhash64(slice(" not in book._jdf.queryExecution().optimizedPlan().toString(), "each window is cut out and hashed whole"
+    for r in book.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", texts[r["doc_id"]])
+        windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        covered = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(8)}
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(words), sum(map(len, words)), len(covered)), texts[r["doc_id"]]
+
+
 def secret_spans(text):
     keys = "(password|passwd|secret|token|api_?key)"
     out = []

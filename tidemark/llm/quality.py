@@ -51,14 +51,19 @@ POLICY = "v1"
 def _repeats() -> list[tuple[str, Column]]:
     """Steps, each over the columns before, that end in ``n_repeat_words``.
 
-    Windows are compared by their 64-bit hashes. Only texts in which some hash
+    Windows are compared by their 64-bit hashes, which are made by doubling, so that
+    ``WINDOW``, a power of two, costs its logarithm a word and not itself. Only texts in which some hash
     occurs twice are sorted; in those, each window that has an equal neighbour
     in the sorted order covers the words up to the next such window.
     """
-    windows = F.when(
-        F.col("n_words") >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.col("n_words") - WINDOW + 1), lambda i: F.xxhash64(F.slice("words", i, WINDOW))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    def doubled(of: str, half: int) -> Column:
+        return F.transform(of, lambda x, i: F.xxhash64(x, F.get(of, i + half)))
+
+    runs, size = [], 1  # hashes of the 2, 4, ... words from each word on
+    while size < WINDOW:
+        runs.append((f"runs{2 * size}", doubled(f"runs{size}" if runs else "words", size)))
+        size *= 2
+    windows = F.slice(runs[-1][0], F.lit(1), F.greatest(F.col("n_words") - WINDOW + 1, F.lit(0)))
     ordered = F.when(
         F.size(F.array_distinct("windows")) < F.size("windows"),
         F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
@@ -78,7 +83,7 @@ def _repeats() -> list[tuple[str, Column]]:
             lambda total, x: total + x,
         ),
     ).otherwise(0)
-    return [("windows", windows), ("ordered", ordered), ("twice", twice), ("n_repeat_words", covered.cast("long"))]
+    return [*runs, ("windows", windows), ("ordered", ordered), ("twice", twice), ("n_repeat_words", covered.cast("long"))]
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -91,7 +96,7 @@ def ledger(docs: DataFrame) -> DataFrame:
         "doc_id",
         "words",
         F.size("words").alias("n_words"),
-        F.length(F.regexp_replace("text", SPACE_RUN, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.length(F.regexp_replace("text", "[^!]+", ""))).cast("long").alias("n_bangs"),
         F.size("lines").cast("long").alias("n_lines"),
